@@ -100,7 +100,7 @@ def vectors(df: DataFrame, id_col: str, vec_col: str) -> DataFrame:
 
 
 def near_dedup(
-    df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", threshold: float = 0.95, lists: int | None = None, subspaces: int = 8, codewords: int = 64, sample: int = 16384, margin: float = 0.16, chunk: int = 4096
+    df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", threshold: float = 0.95, lists: int | None = None, subspaces: int = 8, codewords: int = 64, sample: int = 16384, margin: float = 0.12, chunk: int = 4096
 ) -> DataFrame:
     """One row per vector: id, n_links, component_id, kept.
 
