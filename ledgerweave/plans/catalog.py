@@ -1,6 +1,550 @@
-"""Name -> query and name -> SQL of every registered operator."""
+"""Name -> query and name -> DuckDB SQL of the supplier engine's registered operators."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import text as S
+from ..functions import values as V
+from ..operators import evidence, graph, match, model, profile, resolve, risk, validate
+from ..operators import spend as E
+from ..streaming import monitor
+from .lenses import spend, suppliers, table, with_sql
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+CFG = match.MatchConfig(soundex=False)
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _id(x: str) -> str:
+    u = rf"upper(regexp_replace({x}, '[\s.\-/]', '', 'g'))"
+    return f"(CASE WHEN {u} IN {S.BLANK_IDS} THEN '' ELSE {u} END)"
+
+
+def _authority(x: str) -> str:
+    i = _id(x)
+    return f"(CASE WHEN {i} IN {S.PLACEHOLDER_IDS} OR replace({i}, left({i}, 1), '') = '' THEN '' ELSE {i} END)"
+
+
+def _key(x: str) -> str:
+    return f"array_to_string(list_filter(regexp_extract_all(lower({x}), '[a-z0-9]+'), lambda t: t NOT IN {S.COMPANY_FORMS}), ' ')"
+
+
+def _grams(k: str) -> str:
+    p = f"(' ' || {k} || ' ')"
+    return f"(CASE WHEN trim({p}) = '' THEN [] ELSE list_distinct([substring({p}, i, 3) FOR i IN range(1, length({p}) - 1)]) END)"
+
+
+_VALID = """(min(country) = max(country) AND count(DISTINCT nullif(tax_id, '')) <= 1 AND count(DISTINCT nullif(registration_id, '')) <= 1
+  AND count(DISTINCT nullif(lei, '')) <= 1 AND NOT list_has_any(list(lei) FILTER (lei <> ''), list(parent_lei) FILTER (parent_lei <> '')) IS TRUE
+  AND ((bool_and(registration_id <> '') AND count(DISTINCT registration_id) = 1) OR (bool_and(lei <> '') AND count(DISTINCT lei) = 1)))"""
+#: records as they count for identity, the two grouped passes, and the entities
+_RESOLVED = f"""WITH p AS (SELECT supplier_id, name, country, {_authority('registration_id')} AS registration_id, {_authority('tax_id')} AS tax_id, {_id('lei')} AS lei, {_id('parent_lei')} AS parent_lei FROM s),
+g AS (SELECT country, registration_id, min(supplier_id) AS r FROM p WHERE registration_id <> '' GROUP BY 1, 2 HAVING count(*) > 1 AND {_VALID}),
+one AS (SELECT p.*, coalesce(g.r, p.supplier_id) AS g1 FROM p LEFT JOIN g USING (country, registration_id)),
+touched AS (SELECT DISTINCT country AS c2, lei AS l2, g1 FROM one WHERE lei <> ''),
+closed AS (SELECT c2, l2, min(supplier_id) AS r FROM one JOIN touched USING (g1) GROUP BY 1, 2 HAVING count(*) > 1 AND count(DISTINCT g1) > 1 AND {_VALID}),
+two AS (SELECT one.supplier_id, coalesce(min(closed.r), min(one.g1)) AS root FROM one LEFT JOIN touched USING (g1) LEFT JOIN closed USING (c2, l2) GROUP BY 1),
+e AS (SELECT root, 'entity-' || left(sha256(string_agg(supplier_id, chr(0) ORDER BY supplier_id)), 12) AS entity_id FROM two GROUP BY 1),
+m AS (SELECT supplier_id, root, entity_id FROM two JOIN e USING (root))"""
+
+
+# ------------------------------------------------------------------ spend
+
+@query(with_sql("SELECT currency, CAST(sum(amount) AS DECIMAL(38,2)) AS total, count(*) AS n_lines FROM v GROUP BY 1"))
+def spend_by_currency(spark, d):
+    """E-1, E-4."""
+    return E.totals(spend(spark, d))
+
+
+def _members(spark, d):
+    return resolve.memberships(suppliers(spark, d))
+
+
+@query(with_sql(_RESOLVED + " SELECT entity_id, currency, CAST(sum(amount) AS DECIMAL(38,2)) AS total, count(*) AS n_lines FROM v JOIN m USING (supplier_id) GROUP BY 1, 2"))
+def spend_by_entity_currency(spark, d):
+    """E-2, J-2, J-3: the flagship query."""
+    return E.by_entity(spend(spark, d), _members(spark, d))
+
+
+@query(with_sql(_RESOLVED + ", t AS (SELECT entity_id, currency, CAST(sum(amount) AS DECIMAL(38,2)) AS total FROM v JOIN m USING (supplier_id) GROUP BY 1, 2) SELECT currency, total, entity_id FROM (SELECT *, row_number() OVER (PARTITION BY currency ORDER BY total DESC, entity_id) AS n FROM t) WHERE n = 1"))
+def top_supplier_per_currency(spark, d):
+    """W-3, O-2."""
+    return E.leaders(E.by_entity(spend(spark, d), _members(spark, d)))
+
+
+@query(with_sql("SELECT currency, CAST(sum(amount) AS DECIMAL(38,2)) AS total, count(*) AS n_lines FROM v WHERE supplier_id IN ('SUP-000001', 'SUP-000002', 'SUP-000003') AND currency IN ('GBP', 'EUR') GROUP BY 1"))
+def scoped_totals(spark, d):
+    """E-3, P-11."""
+    return E.totals(E.scoped(spend(spark, d), ["SUP-000001", "SUP-000002", "SUP-000003"], ["GBP", "EUR"]))
+
+
+# ------------------------------------------------------------------ validation
+
+@query("SELECT l_suppkey, count(*) AS n FROM lineitem WHERE l_suppkey NOT IN (SELECT s_suppkey FROM supplier WHERE s_suppkey % 10 <> 0) GROUP BY 1")
+def orphan_invoices(spark, d):
+    """J-1, J-24: lines whose supplier isn't among those with an id not ending in 0."""
+    known = table(spark, d, "supplier").where("s_suppkey % 10 <> 0").select(F.col("s_suppkey").alias("supplier_id"))
+    lines = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("supplier_id"))
+    return validate.orphans(lines, known).groupBy(F.col("supplier_id").alias("l_suppkey")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT l_orderkey, l_linenumber, count(*) AS variants FROM (SELECT DISTINCT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity FROM lineitem) GROUP BY 1, 2 HAVING count(*) > 1")
+def conflicting_invoices(spark, d):
+    """P-19, E-24, W-12."""
+    rows = table(spark, d, "lineitem").select(F.struct("l_orderkey", "l_linenumber").alias("key"), "l_partkey", "l_suppkey", "l_quantity")
+    return validate.conflicting(rows, "key", "l_partkey", "l_suppkey", "l_quantity").select("key.l_orderkey", "key.l_linenumber", "variants")
+
+
+@query("SELECT text_md5, count(*) AS n FROM (SELECT md5(text) AS text_md5, lang FROM documents) GROUP BY text_md5, lang HAVING count(*) > 1")
+def exact_duplicates(spark, d):
+    """E-32, O-11."""
+    return validate.exact_duplicates(table(spark, d, "documents").select(F.md5("text").alias("text_md5"), "lang"), "text_md5")
+
+
+@query(with_sql("SELECT supplier_id, country FROM (SELECT *, CASE WHEN country = 'ZZ' THEN 'Z' ELSE country END AS c2 FROM s) WHERE trim(name) = '' OR NOT regexp_matches(upper(trim(c2)), '^[A-Z]{2}$')"))
+def invalid_suppliers(spark, d):
+    """P-2, P-3, P-17."""
+    s = suppliers(spark, d).drop("lei", "parent_lei").withColumn("shown", F.col("country")).withColumn("country", F.when(F.col("country") == "ZZ", "Z").otherwise(F.col("country")))
+    return validate.invalid_suppliers(s).select("supplier_id", F.col("shown").alias("country"))
+
+
+_STAGED = "SELECT trim(invoice_id) AS invoice_id, trim(supplier_id) AS supplier_id, CASE WHEN day(invoice_date) = 31 THEN replace(CAST(invoice_date AS VARCHAR), '-31', '-32') ELSE CAST(invoice_date AS VARCHAR) END AS invoice_date, CAST(amount AS VARCHAR) AS amount, upper(trim(currency)) AS currency FROM v"
+
+
+def _bent(spark, d):
+    v = validate.staged_spend(spend(spark, d))
+    return v.withColumn("invoice_date", F.when(F.col("invoice_date").endswith("-31"), F.regexp_replace("invoice_date", "-31$", "-32")).otherwise(F.col("invoice_date")))
+
+
+@query(with_sql(_STAGED))
+def staged_spend(spark, d):
+    """P-16, with the 31st of each month spoilt."""
+    return _bent(spark, d)
+
+
+@query(with_sql(f"SELECT invoice_id, invoice_date FROM ({_STAGED}) WHERE try_cast(invoice_date AS DATE) IS NULL OR NOT regexp_full_match(amount, '-?[0-9]{{1,12}}(\\.[0-9]{{1,2}})?') OR NOT regexp_full_match(currency, '[A-Z]{{3}}')"))
+def invalid_spend(spark, d):
+    """P-4, P-5, P-6, P-18."""
+    return validate.invalid_spend(_bent(spark, d)).select("invoice_id", "invoice_date")
+
+
+@query(with_sql(f"SELECT trim(supplier_id) AS supplier_id, trim(name) AS name, upper(trim(country)) AS country, {_id('registration_id')} AS registration_id, {_id('tax_id')} AS tax_id, upper(replace(postcode, ' ', '')) AS postcode FROM s"))
+def staged_suppliers(spark, d):
+    """P-1, P-15, A-20."""
+    return validate.staged_suppliers(suppliers(spark, d))
+
+
+@query(with_sql(f"SELECT country, field, value, count(*) AS n FROM (SELECT country, 'registration_id' AS field, {_authority('registration_id')} AS value FROM s UNION ALL SELECT country, 'tax_id', {_authority('tax_id')} FROM s) WHERE value <> '' GROUP BY 1, 2, 3 HAVING count(*) > 2"))
+def reused_authority(spark, d):
+    """P-10, E-8."""
+    return validate.reused_authority(suppliers(spark, d), 2)
+
+
+@query("SELECT k AS key, side FROM (SELECT o_orderkey AS k, 'left' AS side FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem) UNION SELECT l_orderkey, 'right' FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders))")
+def key_sets(spark, d):
+    """J-22, O-9, O-12."""
+    a, b = table(spark, d, "orders").select(F.col("o_orderkey").alias("key")), table(spark, d, "lineitem").select(F.col("l_orderkey").alias("key"))
+    return validate.key_sets_differ(a, b, "key")
+
+
+# ------------------------------------------------------------------ text
+
+@query(f"SELECT p_partkey, {_key('p_name')} AS name_key, len(regexp_extract_all(lower(p_name || ' ' || p_type), '[a-z0-9]+')) AS n_tokens FROM part")
+def name_keys(spark, d):
+    """S-1, S-2."""
+    return table(spark, d, "part").select("p_partkey", S.name_key("p_name").alias("name_key"), F.size(S.tokens(F.concat_ws(" ", "p_name", "p_type"))).cast("long").alias("n_tokens"))
+
+
+@query(with_sql(f"SELECT supplier_id, {_id('registration_id')} AS id, {_authority('registration_id')} AS authority, {_id('registration_id')} <> '' AND {_authority('registration_id')} = '' AS degenerate FROM s"))
+def identifiers(spark, d):
+    """S-3, S-4, R-1, P-7."""
+    return suppliers(spark, d).select("supplier_id", S.identifier("registration_id").alias("id"), S.authority("registration_id").alias("authority"), S.degenerate("registration_id").alias("degenerate"))
+
+
+@query("SELECT lei, lei = '5493001KJTIIGC8Y1R12' AS valid FROM (VALUES ('5493001KJTIIGC8Y1R12'), ('5493001KJTIIGC8Y1R13'), (''), ('AAAAAAAAAAAAAAAAAAAA')) t(lei)")
+def lei_validity(spark, d):
+    """S-5, P-8."""
+    rows = spark.createDataFrame([("5493001KJTIIGC8Y1R12",), ("5493001KJTIIGC8Y1R13",), ("",), ("A" * 20,)], "lei string")
+    return rows.select("lei", S.valid_lei("lei").alias("valid"))
+
+
+@query("SELECT p_partkey, CASE WHEN regexp_matches(x, '^0+$') THEN '0' ELSE ltrim(x, '0') END AS stripped FROM (SELECT p_partkey, lpad(CAST(p_partkey % 7 AS VARCHAR), 4, '0') AS x FROM part)")
+def stripped_zeros(spark, d):
+    """S-12, P-21."""
+    return table(spark, d, "part").select("p_partkey", S.strip_leading_zeros(F.lpad((F.col("p_partkey") % 7).cast("string"), 4, "0")).alias("stripped"))
+
+
+# ------------------------------------------------------------------ identity
+
+@query(with_sql(_RESOLVED + " SELECT entity_id, min_by(name, supplier_id) AS display_name, min_by(country, supplier_id) AS country, string_agg(supplier_id, '|' ORDER BY supplier_id) AS members, count(*) AS n_members, coalesce(string_agg(DISTINCT registration_id, '|' ORDER BY registration_id) FILTER (registration_id <> ''), '') AS registration_ids, coalesce(string_agg(DISTINCT lei, '|' ORDER BY lei) FILTER (lei <> ''), '') AS leis, coalesce(string_agg(DISTINCT tax_id, '|' ORDER BY tax_id) FILTER (tax_id <> ''), '') AS tax_ids FROM p JOIN m USING (supplier_id) GROUP BY 1"))
+def resolve_entities(spark, d):
+    """R-4..R-9, O-1."""
+    s = suppliers(spark, d)
+    return resolve.entities(s, resolve.memberships(s))
+
+
+@query(with_sql(_RESOLVED + " SELECT * FROM m"))
+def entity_members(spark, d):
+    """R-7, R-8."""
+    return _members(spark, d).select("supplier_id", "root", "entity_id")
+
+
+@query(with_sql(_RESOLVED + f" SELECT country, registration_id, count(*) AS n, count(DISTINCT nullif(tax_id, '')) AS n_tax_ids FROM p WHERE registration_id <> '' GROUP BY 1, 2 HAVING count(*) > 1 AND NOT {_VALID}"))
+def cluster_conflicts(spark, d):
+    """R-6, R-10."""
+    return resolve.cluster_conflicts(suppliers(spark, d))
+
+
+@query(with_sql(_RESOLVED + " SELECT country, tax_id, left_id, right_id FROM (SELECT country, tax_id, supplier_id AS left_id, lead(supplier_id) OVER w AS right_id, root, lead(root) OVER w AS root2 FROM p JOIN m USING (supplier_id) WHERE tax_id <> '' WINDOW w AS (PARTITION BY country, tax_id ORDER BY supplier_id)) WHERE right_id IS NOT NULL AND root <> root2"))
+def shared_tax_reviews(spark, d):
+    """R-11, W-7."""
+    s = suppliers(spark, d)
+    return resolve.shared_tax_reviews(s, resolve.memberships(s))
+
+
+# ------------------------------------------------------------------ candidates
+
+_POSTS = f"""WITH k AS (SELECT *, {_key('name')} AS nk FROM s),
+posts AS (SELECT DISTINCT supplier_id AS rid, 'ngram' AS method, g AS key FROM (SELECT supplier_id, unnest({_grams('nk')}) AS g FROM k)
+  UNION SELECT supplier_id, 'graph_registration_id', country || ':' || {_authority('registration_id')} FROM s WHERE {_authority('registration_id')} <> ''
+  UNION SELECT supplier_id, 'graph_tax_id', country || ':' || {_authority('tax_id')} FROM s WHERE {_authority('tax_id')} <> ''
+  UNION SELECT supplier_id, 'graph_lei', {_id('lei')} FROM s WHERE {_id('lei')} <> ''
+  UNION SELECT supplier_id, 'graph_postcode', country || ':' || {_id('postcode')} FROM s WHERE {_id('postcode')} <> '')"""
+_PAIRS = _POSTS + """, kept AS (SELECT * FROM posts JOIN (SELECT method, key FROM posts GROUP BY 1, 2 HAVING count(*) <= 150) USING (method, key)),
+met AS (SELECT a.rid AS a, b.rid AS b, count(*) AS hits, bool_or(method <> 'ngram') AS strong FROM kept a JOIN kept b USING (method, key) WHERE a.rid <> b.rid GROUP BY 1, 2),
+best AS (SELECT a, b, hits FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY hits DESC, b) AS n FROM met WHERE strong OR hits >= 2) WHERE n <= 40),
+pairs AS (SELECT least(a, b) AS left_id, greatest(a, b) AS right_id, max(hits) AS hits FROM best GROUP BY 1, 2)"""
+_FEATURES = _PAIRS + f""", f AS (SELECT supplier_id, {_key('name')} AS nk, regexp_extract_all(lower(address), '[a-z0-9]+') AS addr, {_id('postcode')} AS pc FROM s),
+feat AS (SELECT left_id, right_id, CASE WHEN l.nk = '' OR r.nk = '' THEN 0.0 ELSE 1 - levenshtein(l.nk, r.nk) / greatest(length(l.nk), length(r.nk)) END AS name_levenshtein,
+  2.0 * len(list_intersect({_grams('l.nk')}, {_grams('r.nk')})) / (len({_grams('l.nk')}) + len({_grams('r.nk')})) AS name_trigram_dice,
+  len(list_intersect(string_split(l.nk, ' '), string_split(r.nk, ' '))) / len(list_distinct(list_concat(string_split(l.nk, ' '), string_split(r.nk, ' ')))) AS name_token_jaccard,
+  len(list_intersect(l.addr, r.addr)) / len(list_distinct(list_concat(l.addr, r.addr))) AS address_jaccard,
+  CAST(CASE WHEN l.pc = r.pc THEN 1 ELSE 0 END AS DOUBLE) AS postcode_exact
+  FROM pairs JOIN f l ON l.supplier_id = left_id JOIN f r ON r.supplier_id = right_id),
+scored AS (SELECT *, (name_levenshtein * .7::DOUBLE + address_jaccard * .2::DOUBLE + postcode_exact * .1::DOUBLE) / (.7::DOUBLE + .2::DOUBLE + .1::DOUBLE) AS score FROM feat)"""
+
+
+@query(with_sql(_POSTS + " SELECT method, key, count(*) AS n FROM posts GROUP BY 1, 2"))
+def blocking_postings(spark, d):
+    """C-1, E-9, S-7."""
+    return match.postings(suppliers(spark, d), CFG).groupBy("method", "key").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _pairs(spark, d):
+    return match.candidates(match.postings(suppliers(spark, d), CFG), CFG)
+
+
+@query(with_sql(_PAIRS + " SELECT left_id, right_id, hits FROM pairs"))
+def candidate_pairs(spark, d):
+    """C-2..C-4, J-4, P-26, P-27, W-1."""
+    return _pairs(spark, d).select("left_id", "right_id", "hits")
+
+
+@query(with_sql(_PAIRS + " SELECT (SELECT count(*) FROM s) AS records, (SELECT count(*) FROM pairs) AS pairs, (SELECT count(*) FROM (SELECT 1 FROM posts GROUP BY method, key HAVING count(*) > 150)) AS oversized_postings, (SELECT count(*) * (count(*) - 1) // 2 FROM s) AS possible_pairs"))
+def candidate_stats(spark, d):
+    """C-6."""
+    s = suppliers(spark, d)
+    posts = match.postings(s, CFG)
+    return match.statistics(s, posts, match.candidates(posts, CFG), CFG)
+
+
+@query()
+def candidate_pairs_soundex(spark, d):
+    """C-1..C-4 with Soundex keys, S-6."""
+    s = suppliers(spark, d)
+    return match.candidates(match.postings(s)).select("left_id", "right_id", "hits", F.array_join("methods", "|").alias("methods"))
+
+
+@query(with_sql(_FEATURES + " SELECT left_id, right_id, round(name_levenshtein, 9) AS name_levenshtein, round(name_trigram_dice, 9) AS name_trigram_dice, round(name_token_jaccard, 9) AS name_token_jaccard, round(address_jaccard, 9) AS address_jaccard, postcode_exact, round(score, 9) AS score FROM scored"))
+def pair_scores(spark, d):
+    """C-8..C-11, S-8, S-9, J-5."""
+    out = match.features(suppliers(spark, d), _pairs(spark, d).select("left_id", "right_id"), CFG).withColumn("score", match.weighted_score(CFG))
+    return out.select("left_id", "right_id", *[F.round(c, 9).alias(c) for c in ("name_levenshtein", "name_trigram_dice", "name_token_jaccard", "address_jaccard")], "postcode_exact", F.round("score", 9).alias("score"))
+
+
+def _evaluated(spark, d):
+    return match.evaluated(suppliers(spark, d), _pairs(spark, d), CFG)
+
+
+_OUTCOME = (
+    _FEATURES
+    + f""", q AS (SELECT supplier_id, country, {_authority('registration_id')} AS r, {_authority('tax_id')} AS t, {_id('lei')} AS l, {_id('parent_lei')} AS pl FROM s),
+ev AS (SELECT left_id, right_id, score, a.country <> b.country OR (a.r <> '' AND b.r <> '' AND a.r <> b.r) OR (a.t <> '' AND b.t <> '' AND a.t <> b.t) OR (a.l <> '' AND b.l <> '' AND a.l <> b.l) OR (a.l <> '' AND a.l = b.pl) OR (b.l <> '' AND b.l = a.pl) AS conflict
+  FROM scored JOIN q a ON a.supplier_id = left_id JOIN q b ON b.supplier_id = right_id),
+o AS (SELECT *, CASE WHEN conflict THEN 'Conflict_Review' WHEN score >= .88 THEN 'Review_Candidate' ELSE 'Below_Threshold' END AS outcome FROM ev)"""
+)
+
+
+@query(with_sql(_OUTCOME + " SELECT outcome, count(*) AS n, count(*) FILTER (score >= .8 AND score < .88) AS near_misses FROM o GROUP BY 1"))
+def outcome_counts(spark, d):
+    """R-2, R-13, R-15, E-30."""
+    return _evaluated(spark, d).groupBy("outcome").agg(F.count(F.lit(1)).alias("n"), F.count_if("near_miss").alias("near_misses"))
+
+
+@query(with_sql(_OUTCOME + " SELECT left_id, right_id, round(score, 9) AS score, outcome FROM o WHERE score >= .8 AND score < .88"))
+def near_misses(spark, d):
+    """R-15."""
+    return _evaluated(spark, d).where("near_miss").select("left_id", "right_id", F.round("score", 9).alias("score"), "outcome")
+
+
+@query(with_sql(_OUTCOME + " SELECT left_id, right_id, outcome, round(score, 9) AS score FROM o ORDER BY score DESC, left_id, right_id LIMIT 50 OFFSET 10"))
+def evaluations_page(spark, d):
+    """P-31, O-3: one page is what the operator gives."""
+    rows = _evaluated(spark, d).select("left_id", "right_id", "outcome", "score")
+    return evidence.page(rows, 50, 10, F.desc("score"), "left_id", "right_id").withColumn("score", F.round("score", 9))
+
+
+@query()
+def review_queue(spark, d):
+    """R-12, R-14, O-13, G-6, J-9."""
+    s = suppliers(spark, d)
+    members = resolve.memberships(s)
+    paths = graph.association_pairs(s, graph.GraphPolicy(max_expansions=10_000_000))
+    done = match.governed(_evaluated(spark, d), members, paths)
+    return match.review_queue(done, resolve.shared_tax_reviews(s, members))
+
+
+@query()
+def excluded_tax_sample(spark, d):
+    """C-7, J-6, W-14, O-8: a sampling operator."""
+    return match.excluded_tax_sample(suppliers(spark, d), _pairs(spark, d).select("left_id", "right_id"), CFG)
+
+
+# ------------------------------------------------------------------ graph
+
+_ATTRS = f"""WITH raw AS (SELECT supplier_id AS rid, 'registration_id:' || sha256(country || ':' || {_authority('registration_id')}) AS node, 'HAS_REGISTRATION' AS relation, 'registration_id' AS kind FROM s WHERE {_authority('registration_id')} <> ''
+  UNION ALL SELECT supplier_id, 'lei:' || sha256({_id('lei')}), 'HAS_LEI', 'lei' FROM s WHERE {_id('lei')} <> ''
+  UNION ALL SELECT supplier_id, 'lei:' || sha256({_id('parent_lei')}), 'ASSOCIATED_WITH', 'lei' FROM s WHERE {_id('parent_lei')} <> ''
+  UNION ALL SELECT supplier_id, 'tax_id:' || sha256(country || ':' || {_authority('tax_id')}), 'HAS_TAX_ID', 'tax_id' FROM s WHERE {_authority('tax_id')} <> ''
+  UNION ALL SELECT supplier_id, 'postcode:' || sha256(country || ':' || {_id('postcode')}), 'SHARES_POSTCODE', 'postcode' FROM s WHERE {_id('postcode')} <> ''
+  UNION ALL SELECT supplier_id, 'address:' || sha256(country || ':' || array_to_string(w, ' ')), 'SHARES_ADDRESS', 'address' FROM (SELECT *, regexp_extract_all(lower(address), '[a-z0-9]+') AS w FROM s) WHERE length(array_to_string(w, ' ')) >= 12 AND len(w) >= 3),
+attrs AS (SELECT rid, node, kind, min(relation) AS relation FROM raw GROUP BY 1, 2, 3),
+small AS (SELECT * FROM attrs JOIN (SELECT node FROM attrs GROUP BY 1 HAVING count(*) BETWEEN 2 AND 40) USING (node)),
+p2 AS (SELECT node, a.rid AS s0, b.rid AS e0, a.relation AS r1, b.relation AS r2 FROM small a JOIN small b USING (node) WHERE a.rid <> b.rid)"""
+
+
+@query(with_sql(_ATTRS + " SELECT rid, node, kind, relation FROM attrs"))
+def kg_attributes(spark, d):
+    """G-3, S-23, S-24."""
+    return graph.attributes(suppliers(spark, d)).select("rid", "node", "kind", "relation")
+
+
+@query(with_sql(_RESOLVED.replace("WITH p AS", _ATTRS + ", p AS", 1) + " SELECT 'supplier:' || supplier_id AS source, 'RESOLVED_TO' AS relation, 'entity:' || entity_id AS target FROM m UNION ALL SELECT DISTINCT 'invoice:' || invoice_id, 'BILLED_BY', 'supplier:' || supplier_id FROM v UNION ALL SELECT DISTINCT 'invoice:' || invoice_id, 'IN_CATEGORY', 'category:' || category FROM v UNION ALL SELECT 'supplier:' || rid, relation, node FROM attrs"))
+def kg_edges(spark, d):
+    """G-1, G-7."""
+    s = suppliers(spark, d)
+    return graph.edges(s, spend(spark, d), resolve.memberships(s))
+
+
+@query(with_sql(_RESOLVED.replace("WITH p AS", _ATTRS + ", p AS", 1) + " SELECT kind, count(*) AS n FROM (SELECT DISTINCT 'entity' AS kind, entity_id AS id FROM m UNION SELECT 'supplier', supplier_id FROM s UNION SELECT 'invoice', invoice_id FROM v UNION SELECT 'category', category FROM v UNION SELECT kind, node FROM attrs) GROUP BY 1"))
+def kg_node_kinds(spark, d):
+    """G-1."""
+    s = suppliers(spark, d)
+    return graph.nodes(s, spend(spark, d), resolve.memberships(s)).groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(with_sql(_ATTRS + " SELECT node AS node_id, count(*) AS degree FROM attrs GROUP BY 1 HAVING count(*) > 2"))
+def kg_hubs(spark, d):
+    """G-2, O-5, J-25."""
+    e = graph.attributes(suppliers(spark, d)).select(F.col("rid").alias("source"), F.col("node").alias("target"))
+    return graph.degrees(e).where("degree > 2 and node_id like '%:%'")
+
+
+@query(with_sql(_ATTRS + " SELECT s0 AS start, e0 AS end_id, count(*) AS n FROM p2 GROUP BY 1, 2"))
+def association_paths_2(spark, d):
+    """J-7, G-4."""
+    return graph.two_edge_paths(graph.attributes(suppliers(spark, d))).groupBy("start", F.col("end").alias("end_id")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(with_sql(_ATTRS + " SELECT x.s0 AS start, y.e0 AS end_id, count(*) AS n FROM p2 x JOIN p2 y ON x.e0 = y.s0 AND x.node <> y.node AND x.s0 <> y.e0 WHERE list_contains([x.r1, x.r2, y.r1, y.r2], 'ASSOCIATED_WITH') AND list_has_any([x.r1, x.r2, y.r1, y.r2], ['SHARES_ADDRESS', 'HAS_REGISTRATION', 'HAS_LEI']) GROUP BY 1, 2"))
+def association_paths_4(spark, d):
+    """J-8, G-4."""
+    return graph.four_edge_paths(graph.attributes(suppliers(spark, d))).groupBy("start", F.col("end").alias("end_id")).agg(F.count(F.lit(1)).alias("n"))
+
+
+# ------------------------------------------------------------------ risk
+
+_CELLS = "SELECT supplier_id, strftime(invoice_date, '%Y-%m') AS month, currency, CAST(sum(CASE WHEN amount >= 0 THEN amount ELSE 0 END) AS DECIMAL(38,2)) AS positive, CAST(sum(CASE WHEN amount < 0 THEN amount ELSE 0 END) AS DECIMAL(38,2)) AS credits, count(*) AS lines FROM v GROUP BY 1, 2, 3"
+_BASED = f"""WITH c AS ({_CELLS}), n AS (SELECT *, CAST(left(month, 4) AS INT) * 12 + CAST(right(month, 2) AS INT) AS i FROM c),
+b AS (SELECT a.supplier_id, a.currency, a.month, a.positive, CASE WHEN count(o.i) = 3 THEN list_sort(list(o.positive))[2] END AS baseline, max(a.month) OVER (PARTITION BY a.supplier_id, a.currency) AS latest
+  FROM n a LEFT JOIN n o ON o.supplier_id = a.supplier_id AND o.currency = a.currency AND o.i BETWEEN a.i - 3 AND a.i - 1 GROUP BY 1, 2, 3, 4)"""
+
+
+@query(with_sql(_CELLS))
+def monthly_outflow(spark, d):
+    """E-5, T-6."""
+    return risk.monthly(spend(spark, d), "supplier_id")
+
+
+@query(with_sql(_BASED + " SELECT supplier_id, currency, month, positive, CAST(baseline AS DECIMAL(38,2)) AS baseline FROM b WHERE month = latest AND baseline > 0 AND positive >= 3 * baseline AND positive - baseline >= 1000"))
+def monthly_spikes(spark, d):
+    """E-7, W-6, P-30."""
+    return risk.spikes(risk.monthly(spend(spark, d), "supplier_id"), "supplier_id").select("supplier_id", "currency", "month", "positive", "baseline")
+
+
+@query(with_sql(_BASED + " SELECT currency, count(*) FILTER (baseline IS NULL) AS incomplete, count(*) AS cells FROM b GROUP BY 1"))
+def incomplete_baselines(spark, d):
+    """E-31, J-10."""
+    return risk.baselines(risk.monthly(spend(spark, d), "supplier_id"), "supplier_id").groupBy("currency").agg(F.count_if(F.col("baseline").isNull()).alias("incomplete"), F.count(F.lit(1)).alias("cells"))
+
+
+def _tokens(spark, d):
+    """Last event type a user and day, as the token of a daily snapshot."""
+    e = table(spark, d, "events")
+    day = F.datediff(F.to_date("ts"), F.lit("1970-01-01").cast("date")).cast("long")
+    return e.groupBy(F.col("user_id").alias("supplier_id"), day.alias("snapshot_seq")).agg(F.max_by("event_type", F.struct("ts", "event_id")).alias("token"))
+
+
+@query("""WITH t AS (SELECT user_id AS supplier_id, CAST(ts AS DATE) AS d, arg_max(event_type, (ts, event_id)) AS token FROM events GROUP BY 1, 2),
+s AS (SELECT d, row_number() OVER (ORDER BY d) AS n FROM (SELECT DISTINCT d FROM t ORDER BY d DESC LIMIT 8)),
+l AS (SELECT supplier_id, n, token, lag(n) OVER w AS pn, lag(token) OVER w AS pt FROM t JOIN s USING (d) WINDOW w AS (PARTITION BY supplier_id ORDER BY n))
+SELECT supplier_id, count(*) FILTER (pn = n - 1 AND pt <> token) AS changes FROM l GROUP BY 1 HAVING count(*) FILTER (pn = n - 1 AND pt <> token) >= 2""")
+def bank_churn(spark, d):
+    """W-4, T-5, T-8."""
+    return risk.churn(_tokens(spark, d))
+
+
+@query("SELECT date_trunc('month', ts) AS month, event_type, count(*) AS n, round(sum(value), 6) AS total FROM events GROUP BY 1, 2")
+def stream_monthly(spark, d):
+    """T-6 over the bounded table; the same function runs on a stream."""
+    return monitor.monthly_counts(table(spark, d, "events"))
+
+
+# ------------------------------------------------------------------ decisions, models, evidence
+
+@query("SELECT conv_id, max(turn) AS turn, arg_max(role, turn) AS role, arg_max(md5(text), turn) AS text_md5 FROM conversations GROUP BY 1")
+def latest_decision(spark, d):
+    """W-2, J-13."""
+    c = table(spark, d, "conversations").withColumn("text_md5", F.md5("text"))
+    return evidence.latest(c, "conv_id", "turn", "role", "text_md5").select("conv_id", "turn", "role", "text_md5")
+
+
+def _pseudo(spark, d):
+    """Labels with a deterministic estimate from the text's length."""
+    docs = table(spark, d, "documents").select("doc_id", ((F.col("n_chars") % 1000) / 1000.0).alias("p"))
+    return table(spark, d, "labels").join(docs, "doc_id").select("doc_id", "p", F.col("quality").cast("int").alias("y"))
+
+
+_PSEUDO = "WITH z AS (SELECT doc_id, (n_chars % 1000) / 1000.0::DOUBLE AS p, quality AS y FROM labels JOIN documents USING (doc_id))"
+
+
+@query(_PSEUDO + " SELECT tp, fp, fn, tn, round(tp / (tp + fp), 9) AS precision, round(tp / (tp + fn), 9) AS recall FROM (SELECT count(*) FILTER (p >= .5 AND y = 1) AS tp, count(*) FILTER (p >= .5 AND y = 0) AS fp, count(*) FILTER (p < .5 AND y = 1) AS fn, count(*) FILTER (p < .5 AND y = 0) AS tn FROM z)")
+def classification_metrics(spark, d):
+    """E-17, J-26."""
+    return model.classification(_pseudo(spark, d), "p", "y", 0.5).withColumns({c: F.round(c, 9) for c in ("precision", "recall")})
+
+
+@query(_PSEUDO + " SELECT round(avg((p - y) ** 2), 9) AS brier, count(*) AS n FROM z")
+def brier_score(spark, d):
+    """E-14."""
+    return model.brier(_pseudo(spark, d), "p", "y").withColumn("brier", F.round("brier", 9))
+
+
+@query(_PSEUDO + " SELECT CAST(i AS INT) AS bin, count(p) AS n, round(avg(p), 9) AS mean_p, round(avg(y), 9) AS observed, round(coalesce(count(p) / (SELECT count(*) FROM z) * abs(avg(p) - avg(y)), 0), 9) AS ece_part FROM range(10) r(i) LEFT JOIN z ON least(floor(p * 10), 9) = i GROUP BY 1")
+def reliability_bins(spark, d):
+    """E-15, E-16."""
+    return model.reliability(_pseudo(spark, d), "p", "y").withColumns({c: F.round(c, 9) for c in ("mean_p", "observed", "ece_part")})
+
+
+@query(_PSEUDO + " SELECT threshold, CAST(tp AS BIGINT) AS tp, CAST(fp AS BIGINT) AS fp, round(tp / (tp + fp), 9) AS precision FROM (SELECT p AS threshold, sum(sum(y)) OVER w AS tp, sum(count(*)) OVER w - sum(sum(y)) OVER w AS fp FROM z GROUP BY p WINDOW w AS (ORDER BY p DESC ROWS UNBOUNDED PRECEDING))")
+def threshold_sweep(spark, d):
+    """W-8."""
+    return model.threshold_sweep(_pseudo(spark, d), "p", "y").withColumn("precision", F.round("precision", 9))
+
+
+@query("SELECT 'l_quantity' AS feature, min(l_quantity) + 0.0 AS low, max(l_quantity) + 0.0 AS high, min(l_quantity) = max(l_quantity) AS constant FROM lineitem UNION ALL SELECT 'l_discount', min(l_discount) + 0.0, max(l_discount) + 0.0, min(l_discount) = max(l_discount) FROM lineitem UNION ALL SELECT 'l_tax', min(l_tax) + 0.0, max(l_tax) + 0.0, min(l_tax) = max(l_tax) FROM lineitem")
+def feature_ranges(spark, d):
+    """E-18, L-5."""
+    return model.feature_ranges(table(spark, d, "lineitem"), "l_quantity", "l_discount", "l_tax")
+
+
+@query(with_sql(_FEATURES + " SELECT left_id, right_id, round(1 / (1 + exp(-greatest(-40, least(40, -6 + 5 * name_levenshtein + 2 * address_jaccard + postcode_exact)))), 9) AS p FROM feat"))
+def logistic_score(spark, d):
+    """C-12..C-14, S-28."""
+    rows = match.features(suppliers(spark, d), _pairs(spark, d).select("left_id", "right_id"), CFG)
+    return rows.select("left_id", "right_id", F.round(model.predict({"name_levenshtein": 5.0, "address_jaccard": 2.0, "postcode_exact": 1.0}, -6.0), 9).alias("p"))
+
+
+@query("SELECT doc_id, CASE WHEN n < floor(c * .6::DOUBLE) THEN 'train' WHEN n < floor(c * .8::DOUBLE) THEN 'validation' ELSE 'test' END AS split FROM (SELECT doc_id, row_number() OVER (ORDER BY sha256('7:' || doc_id), doc_id) - 1 AS n, count(*) OVER () AS c FROM (SELECT DISTINCT doc_id FROM documents))")
+def hash_split(spark, d):
+    """W-9, L-8, O-6."""
+    return model.positional_split(table(spark, d, "documents"), "doc_id", "7")
+
+
+@query("SELECT split, count(*) AS n FROM (SELECT CASE WHEN h < .6 THEN 'train' WHEN h < .75 THEN 'validation' WHEN h < .85 THEN 'calibration' ELSE 'test' END AS split FROM (SELECT CAST('0x' || left(sha256(CAST(doc_id AS VARCHAR)), 8) AS BIGINT) / 4294967296.0::DOUBLE AS h FROM documents)) GROUP BY 1")
+def hash_bucket(spark, d):
+    """W-10, E-20."""
+    return table(spark, d, "documents").select(model.bucket_split(F.col("doc_id").cast("string")).alias("split")).groupBy("split").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT column_name, count(*) AS total, count(*) FILTER (value <> '') AS filled, count(DISTINCT value) FILTER (value <> '') AS distinct_values, CAST(0 AS BIGINT) AS placeholders, max(length(value)) AS max_length FROM (SELECT 'o_orderstatus' AS column_name, o_orderstatus AS value FROM orders UNION ALL SELECT 'o_orderpriority', o_orderpriority FROM orders UNION ALL SELECT 'o_custkey', 'C' || o_custkey FROM orders) GROUP BY 1")
+def column_profile(spark, d):
+    """E-10, S-13, S-30."""
+    return profile.profile(table(spark, d, "orders").withColumn("o_custkey", F.concat(F.lit("C"), F.col("o_custkey").cast("string"))), "o_orderstatus", "o_orderpriority", "o_custkey")
+
+
+@query("SELECT CASE WHEN bool_or(day(o_orderdate) > 12) THEN 'dmy' ELSE 'ambiguous' END AS date_order, count(*) AS swappable_values FROM orders")
+def date_order(spark, d):
+    """S-16."""
+    return V.date_order(table(spark, d, "orders").select(F.date_format("o_orderdate", "dd/MM/yyyy").alias("t")), "t")
+
+
+@query("SELECT o_orderkey, CAST(o_orderdate AS DATE) AS parsed FROM orders")
+def parsed_dates(spark, d):
+    """S-15, over dd.MM.yyyy, yyyyMMdd and dd-MMM-yyyy."""
+    o = table(spark, d, "orders")
+    n = F.col("o_orderkey") % 3
+    t = F.when(n == 0, F.date_format("o_orderdate", "dd.MM.yyyy")).when(n == 1, F.date_format("o_orderdate", "yyyyMMdd")).otherwise(F.date_format("o_orderdate", "dd-MMM-yyyy"))
+    return o.select("o_orderkey", V.parse_date(t, "dmy").alias("parsed"))
+
+
+@query("SELECT 'comma' AS decimal_style, count(*) AS comma, CAST(0 AS BIGINT) AS point, CAST(0 AS BIGINT) AS unsure FROM orders")
+def decimal_style(spark, d):
+    """S-17."""
+    return V.decimal_style(table(spark, d, "orders").select(F.translate(F.format_number(F.col("o_totalprice").cast("decimal(14,2)"), 2), ",.", ".,").alias("t")), "t")
+
+
+@query("SELECT o_orderkey, CAST(CASE WHEN o_orderkey % 2 = 0 THEN -1 ELSE 1 END * CAST(o_totalprice AS DECIMAL(14,2)) AS DECIMAL(14,2)) AS amount FROM orders")
+def parsed_amounts(spark, d):
+    """S-18, S-19, P-23: grouped decimal commas, brackets for credits."""
+    o = table(spark, d, "orders")
+    t = F.translate(F.format_number(F.col("o_totalprice").cast("decimal(14,2)"), 2), ",.", ".,")
+    money = V.parse_amount(F.when(F.col("o_orderkey") % 2 == 0, F.concat(F.lit("("), t, F.lit(")"))).otherwise(F.concat(F.lit("€ "), t)), "comma")
+    return o.select("o_orderkey", V.exact_minor_units(money, F.lit("EUR")).alias("amount"))
+
+
+@query()
+def evidence_pack(spark, d):
+    """W-13: documents of each source that fit a budget of characters, greedily in order of id."""
+    return evidence.pack_evidence(table(spark, d, "documents"), "source", "doc_id", "n_chars", 20_000)
+
+
+def _chained(spark, d):
+    c = table(spark, d, "conversations")
+    return evidence.chain(c.select(F.col("conv_id").alias("chain"), F.col("turn").cast("long").alias("sequence"), F.col("turn").cast("string").alias("timestamp"), F.col("role").alias("event"), F.md5("text").alias("payload")))
+
+
+@query("WITH RECURSIVE c AS (SELECT conv_id AS chain, turn AS sequence, role, md5(text) AS payload, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i FROM conversations), h AS (SELECT chain, sequence, i, repeat('0', 64) AS previous_hash, sha256(repeat('0', 64) || chr(10) || sequence || chr(10) || role || chr(10) || payload) AS event_hash FROM c WHERE i = 1 UNION ALL SELECT c.chain, c.sequence, c.i, h.event_hash, sha256(h.event_hash || chr(10) || c.sequence || chr(10) || c.role || chr(10) || c.payload) FROM h JOIN c ON c.chain = h.chain AND c.i = h.i + 1) SELECT chain, CAST(sequence AS BIGINT) AS sequence, previous_hash, event_hash FROM h")
+def audit_chain(spark, d):
+    """W-15."""
+    return _chained(spark, d).select("chain", "sequence", "previous_hash", "event_hash")
+
+
+@query()
+def audit_broken_links(spark, d):
+    """W-16: none in an untouched chain."""
+    return evidence.broken_links(_chained(spark, d))
