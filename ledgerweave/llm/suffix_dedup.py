@@ -147,7 +147,8 @@ class Shard:
             j = before[i]
             if step:  # suffixes tied over the sorted depth may stand the other way round one letter on: then start anew
                 last = before[i - 1]
-                hh[(last < 0) | (place[last + 1] >= place[i])] = 0
+                then = np.minimum(last + 1, self.size - 1)
+                hh[(last < 0) | (then != last + 1) | (place[then] >= place[i])] = 0
             todo = np.flatnonzero((j >= 0) & (hh < self.length))
             hh[j < 0] = 0
             while len(todo):
