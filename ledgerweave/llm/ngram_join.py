@@ -26,6 +26,8 @@ WORDS, PERCENT = 5, 75
 #: at most so many frequent shingles are broadcast (8 bytes each); which ones only changes the order, not the result
 FREQUENT = 1 << 18
 FANOUT = 16
+#: at most so many ids are broadcast; beyond, texts are shuffled to them
+BROADCAST = 1 << 20
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -252,10 +254,11 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     sets = _sets(texts, rows, needed, words)
 
     least = shared.groupBy("h").agg(F.min_by(F.struct("k", "n"), "k").alias("a"))
-    stars = shared.join(least, "h").where("k <> a.k and 100 * least(n, a.n) >= %d * greatest(n, a.n)" % percent).select(F.col("a.k").alias("a"), F.col("k").alias("b")).distinct()
+    others = materialise(shared.join(least, "h").where("k <> a.k"), "others")  # a block of two has one other: its star is all of it
+    stars = others.where("100 * least(n, a.n) >= %d * greatest(n, a.n)" % percent).select(F.col("a.k").alias("a"), F.col("k").alias("b")).distinct()
     links = materialise(_verify(stars, sets, percent), "links")
     parts = components(links)
-    joined = shared.join(parts, F.col("k") == F.col("node"), "left").select("h", "k", "n", F.coalesce("component", "k").alias("part"))
+    joined = others.join(parts, F.col("k") == F.col("node"), "left").select("h", "k", "n", F.coalesce("component", "k").alias("part"))
     about = joined.groupBy("h").agg(F.min("part").alias("p"), F.max("part").alias("q"), F.sum(F.xxhash64("k").cast("decimal(38,0)")).alias("sig"), F.count(F.lit(1)).alias("m"))
     open_ = about.where("p <> q").groupBy("sig", "m").agg(F.min("h").alias("h")).select("h")  # blocks of equal classes are one
     left = materialise(joined.join(open_, "h"), "open")
@@ -331,23 +334,41 @@ def _sets(texts: DataFrame, rows: DataFrame, needed: DataFrame, words: int) -> D
                 arrays = [pa.array([class_of(s) for s in got], pa.int64()), pa.array([s.tobytes() for s in got], pa.binary()), pa.array([count_vector(s, groups_for(len(s))).tobytes() for s in got], pa.binary())]
                 yield pa.RecordBatch.from_arrays(arrays, ["k", "shingles", "vector"])
 
-    again = texts.join(one, "id", "left_semi").select("text").unionByName(texts.where("id is null").select("text"))
-    read = again.mapInArrow(run, "k long, shingles binary, vector binary")
-    return materialise(read.join(needed, "k", "left_semi").dropDuplicates(["k"]), "sets")
+    few = one.count() <= BROADCAST  # 8 bytes each
+    again = texts.where("id is not null").join(F.broadcast(one) if few else one, "id", "left_semi").select("text")
+    odd = rows.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n > 1 or id is null")
+    if odd.isEmpty():  # one row a class
+        return materialise(again.mapInArrow(run, "k long, shingles binary, vector binary"), "sets")
+    again = again.unionByName(texts.where("id is null").select("text"))
+    return materialise(again.mapInArrow(run, "k long, shingles binary, vector binary").dropDuplicates(["k"]), "sets")
 
 
 def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose whole sets reach the similarity."""
+    """The pairs (a, b) whose whole sets reach the similarity; sets are fetched only for pairs that vectors don't rule out."""
+
+    def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ok = []
+            for p, q in zip(*(batch.column(c).to_pylist() for c in ("x", "y")), strict=True):
+                v, w = np.frombuffer(p, np.uint16), np.frombuffer(q, np.uint16)
+                both = int(v.sum(dtype=np.int64) + w.sum(dtype=np.int64))
+                g = min(len(v), len(w))
+                common = int(np.minimum(fold(v[None], g), fold(w[None], g)).sum(dtype=np.int64))
+                ok.append((100 + percent) * common >= percent * both)
+            yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x, y = (batch.column(c).to_pylist() for c in ("x", "y"))
             ok = [verified(np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64), percent) for p, q in zip(x, y, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("a").filter(pa.array(ok, pa.bool_())), batch.column("b").filter(pa.array(ok, pa.bool_()))], ["a", "b"])
+            yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+
+    def both_sides(rows: DataFrame, column: str) -> DataFrame:
+        left, right = (sets.select(F.col("k").alias(i), F.col(column).alias(o)) for i, o in (("a", "x"), ("b", "y")))
+        return rows.join(left, "a").join(right, "b").select("a", "b", "x", "y")
 
-    left = sets.select(F.col("k").alias("a"), F.col("shingles").alias("x"))
-    right = sets.select(F.col("k").alias("b"), F.col("shingles").alias("y"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    near = materialise(both_sides(pairs, "vector").mapInArrow(bound, "a long, b long"), "near")
+    return both_sides(near, "shingles").mapInArrow(run, "a long, b long")
 
 
 def op9_ngram_join(spark, sf_dir):
