@@ -10,7 +10,8 @@ A byte is removed when some string of ``length`` bytes that covers it also start
 3. Segments are dealt by anchor. A shard concatenates segments up to a bounded size and builds its suffix array by
    Larsson-Sadakane refinement in numpy - groups still tied are sorted by the rank ``h`` further on, h doubling until it
    covers ``length`` - then common prefixes by Kasai's algorithm, all segments in lock step. A window repeats if its
-   common prefix with a neighbour in the array is ``length`` or its segment occurs more than once.
+   common prefix with a neighbour in the array is ``length`` or its segment occurs more than once. An anchor whose only
+   segment occurs several times needs no array: all its windows repeat.
 4. An anchor whose segments fill several shards is merged across them: windows that are single in their own shard are
    looked up in the other shards' arrays by binary search.
 5. An anchor with more bytes than ``hot`` is not given to one task: its windows are dealt again by a further anchor of
@@ -214,7 +215,11 @@ class Shard:
 
 def repeated_windows(groups: list[tuple[int, list[bytes], list[int]]], length: int, shard: int = SHARD) -> Iterator[tuple[int, int, np.ndarray]]:
     """(group, segment, mask of its windows that repeat) for every segment of groups (key, distinct segments, counts)."""
-    flat = [(g, s, counts[s]) for g, (_, segments, counts) in enumerate(groups) for s in range(len(segments))]
+    alone = [len(segments) == 1 and counts[0] > 1 for _, segments, counts in groups]
+    for g, (_, segments, _) in enumerate(groups):
+        if alone[g]:  # an anchor's only text, told several times: all its windows repeat, and equal nothing else
+            yield g, 0, np.ones(max(0, len(segments[0]) - length + 1), bool)
+    flat = [(g, s, counts[s]) for g, (_, segments, counts) in enumerate(groups) if not alone[g] for s in range(len(segments))]
     parts: list[list[tuple[int, int, int]]] = [[]]
     held = 0
     for item in flat:
