@@ -27,9 +27,13 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def materialise(df: DataFrame, tag: str) -> DataFrame:
-    """Writes ``df`` once into the shared folder and reads it back: cuts lineage and survives lost executors."""
+    """Writes ``df`` once into the shared folder and reads it back: cuts lineage and survives lost executors.
+
+    Spark drops the shuffle files of a cut lineage when the driver's JVM collects its garbage, so it is asked to.
+    """
     path = f"{shared_dir(df.sparkSession)}/{tag}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    df.sparkSession.sparkContext._jvm.System.gc()
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
