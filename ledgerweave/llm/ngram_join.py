@@ -12,7 +12,7 @@ Equal shingles are told by 64-bit hashes of their words.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -26,8 +26,10 @@ WORDS, PERCENT = 5, 75
 #: at most so many frequent shingles are broadcast (8 bytes each); which ones only changes the order, not the result
 FREQUENT = 1 << 18
 FANOUT = 16
-#: at most so many ids are broadcast; beyond, texts are shuffled to them
+#: at most so many rows that ask for texts are broadcast (about 40 bytes each); beyond, texts are shuffled to them
 BROADCAST = 1 << 20
+#: partners of a class verified in one group
+GROUP = 256
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -251,12 +253,13 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     shared = materialise(prefixes.repartition("h").sortWithinPartitions("h", "k").mapInArrow(meet, "h long, k long, n int"), "shared")
     needed = materialise(shared.select("k").distinct(), "needed")
     classes = materialise(rows.where("k is not null").groupBy("k").agg(F.min("id").alias("rep")), "classes")
-    sets = _sets(texts, rows, needed, words)
+    read = _reader(texts, rows, classes, needed, words)
+    vectors = _vectors(read, needed, words)
 
     least = shared.groupBy("h").agg(F.min_by(F.struct("k", "n"), "k").alias("a"))
     others = materialise(shared.join(least, "h").where("k <> a.k"), "others")  # a block of two has one other: its star is all of it
     stars = others.where("100 * least(n, a.n) >= %d * greatest(n, a.n)" % percent).select(F.col("a.k").alias("a"), F.col("k").alias("b")).distinct()
-    links = materialise(_verify(stars, sets, percent), "links")
+    links = materialise(_verify(stars, vectors, read, words, percent), "links")
     parts = components(links)
     joined = others.join(parts, F.col("k") == F.col("node"), "left").select("h", "k", "n", F.coalesce("component", "k").alias("part"))
     about = joined.groupBy("h").agg(F.min("part").alias("p"), F.max("part").alias("q"), F.sum(F.xxhash64("k").cast("decimal(38,0)")).alias("sig"), F.count(F.lit(1)).alias("m"))
@@ -264,13 +267,13 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     left = materialise(joined.join(open_, "h"), "open")
     if not left.isEmpty():
         left = _dealt(left, block)
-        placed = left.join(sets.select(F.col("k").alias("k2"), "vector"), F.col("k") == F.col("k2")).drop("k2")
+        placed = left.join(vectors.select(F.col("k").alias("k2"), "vector"), F.col("k") == F.col("k2")).drop("k2")
 
         def propose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for part in _groups(batches, "g"):
-                vectors = [np.frombuffer(v, np.uint16) for v in part.column("vector").to_pylist()]
+                points = [np.frombuffer(v, np.uint16) for v in part.column("vector").to_pylist()]
                 found: list[tuple[int, int]] = []
-                for a, b in block_pairs(part["k"].to_numpy(), part["n"].to_numpy().astype(np.int64), part["part"].to_numpy(), vectors, percent):
+                for a, b in block_pairs(part["k"].to_numpy(), part["n"].to_numpy().astype(np.int64), part["part"].to_numpy(), points, percent):
                     found.append((min(a, b), max(a, b)))
                     if len(found) == 1 << 16:
                         yield _pairs(found)
@@ -280,7 +283,7 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
         more = placed.repartition("g").sortWithinPartitions("g").mapInArrow(propose, "a long, b long").distinct()
         tried = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        links = materialise(links.unionByName(_verify(more.join(tried, ["a", "b"], "left_anti"), sets, percent)), "links")
+        links = materialise(links.unionByName(_verify(more.join(tried, ["a", "b"], "left_anti"), vectors, read, words, percent)), "links")
         parts = components(links)
     named = classes.join(parts, F.col("k") == F.col("node"), "left").select("k", "rep", F.coalesce("component", "k").alias("part"))
     low = named.groupBy("part").agg(F.min("rep").alias("component_id"))
@@ -323,28 +326,44 @@ def _groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
-def _sets(texts: DataFrame, rows: DataFrame, needed: DataFrame, words: int) -> DataFrame:
-    """(k, shingles, vector) of the classes that share anything; one text of each is read again, and all of null ids."""
-    one = rows.join(needed, "k", "left_semi").groupBy("k").agg(F.min("id").alias("id")).where("id is not null").select("id").distinct()
+def _reader(texts: DataFrame, rows: DataFrame, classes: DataFrame, needed: DataFrame, words: int) -> Callable[[DataFrame], DataFrame]:
+    """Adds the text of class k to rows that name a class of ``needed``; texts are read from the input again."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for _, _, data, offs in text_blocks(batch, "text"):
-                got = [s for s in shingle_sets(data, offs, words) if len(s)]
-                arrays = [pa.array([class_of(s) for s in got], pa.int64()), pa.array([s.tobytes() for s in got], pa.binary()), pa.array([count_vector(s, groups_for(len(s))).tobytes() for s in got], pa.binary())]
-                yield pa.RecordBatch.from_arrays(arrays, ["k", "shingles", "vector"])
+            for lo, hi, data, offs in text_blocks(batch, "text"):
+                names = [class_of(s) if len(s) else None for s in shingle_sets(data, offs, words)]
+                yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), batch.column("text").slice(lo, hi - lo)], ["k", "text"])
+
+    def by_id(named: DataFrame) -> DataFrame:
+        at = materialise(named.join(classes.select("k", F.col("rep").alias("id")), "k"), "at")
+        return texts.join(F.broadcast(at) if at.count() <= BROADCAST else at, "id").drop("id")
 
-    few = one.count() <= BROADCAST  # 8 bytes each
-    again = texts.where("id is not null").join(F.broadcast(one) if few else one, "id", "left_semi").select("text")
     odd = rows.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n > 1 or id is null")
-    if odd.isEmpty():  # one row a class
-        return materialise(again.mapInArrow(run, "k long, shingles binary, vector binary"), "sets")
-    again = again.unionByName(texts.where("id is null").select("text"))
-    return materialise(again.mapInArrow(run, "k long, shingles binary, vector binary").dropDuplicates(["k"]), "sets")
+    if odd.isEmpty():  # an id names one text
+        return by_id
+    keyed = materialise(texts.select("text").mapInArrow(name, "k long, text string").join(needed, "k", "left_semi").dropDuplicates(["k"]), "keyed")
+    return lambda named: keyed.join(named, "k")
+
 
+def _vectors(read: Callable[[DataFrame], DataFrame], needed: DataFrame, words: int) -> DataFrame:
+    """(k, vector) of the classes that share anything."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo, hi, data, offs in text_blocks(batch, "text"):
+                vectors = [count_vector(s, groups_for(len(s))).tobytes() for s in shingle_sets(data, offs, words)]
+                yield pa.RecordBatch.from_arrays([batch.column("k").slice(lo, hi - lo), pa.array(vectors, pa.binary())], ["k", "vector"])
 
-def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose whole sets reach the similarity; sets are fetched only for pairs that vectors don't rule out."""
+    return materialise(read(needed).select("k", "text").mapInArrow(run, "k long, vector binary"), "vectors")
+
+
+def _verify(pairs: DataFrame, vectors: DataFrame, read: Callable[[DataFrame], DataFrame], words: int, percent: int) -> DataFrame:
+    """The pairs (a, b) whose whole sets reach the similarity.
+
+    Texts are read only for pairs that vectors don't rule out. Those of a's partners b come to a, in groups of about
+    ``GROUP`` that each get a's text too, so no group grows with the partners of one class.
+    """
 
     def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -358,17 +377,28 @@ def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows (a, k, text) in order of group and, within one, a itself before its partners."""
+        lead = np.zeros(0, np.uint64)
         for batch in batches:
-            x, y = (batch.column(c).to_pylist() for c in ("x", "y"))
-            ok = [verified(np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64), percent) for p, q in zip(x, y, strict=True)]
-            yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
-
-    def both_sides(rows: DataFrame, column: str) -> DataFrame:
-        left, right = (sets.select(F.col("k").alias(i), F.col(column).alias(o)) for i, o in (("a", "x"), ("b", "y")))
-        return rows.join(left, "a").join(right, "b").select("a", "b", "x", "y")
-
-    near = materialise(both_sides(pairs, "vector").mapInArrow(bound, "a long, b long"), "near")
-    return both_sides(near, "shingles").mapInArrow(run, "a long, b long")
+            for lo, hi, data, offs in text_blocks(batch, "text"):
+                a, k = (batch.column(c).slice(lo, hi - lo).to_numpy() for c in ("a", "k"))
+                ok = np.zeros(hi - lo, bool)
+                for i, s in enumerate(shingle_sets(data, offs, words)):
+                    if a[i] == k[i]:
+                        lead = s
+                    else:
+                        ok[i] = verified(lead, s, percent)
+                yield pa.RecordBatch.from_arrays([pa.array(a[ok]), pa.array(k[ok])], ["a", "b"])
+
+    left, right = (vectors.select(F.col("k").alias(i), F.col("vector").alias(o)) for i, o in (("a", "x"), ("b", "y")))
+    met = pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y")
+    near = materialise(met.mapInArrow(bound, "a long, b long"), "near")
+    cuts = near.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / GROUP).alias("cuts"))
+    dealt = near.join(cuts, "a").withColumn("slot", F.pmod(F.xxhash64("b"), "cuts").cast("int"))
+    leads = dealt.select("a", "slot", F.col("a").alias("k")).distinct()
+    texts = read(dealt.select("a", "slot", F.col("b").alias("k")).unionByName(leads))
+    ordered = texts.repartition("a", "slot").sortWithinPartitions("a", "slot", F.col("a") != F.col("k"))
+    return ordered.select("a", "k", "text").mapInArrow(run, "a long, b long")
 
 
 def op9_ngram_join(spark, sf_dir):
