@@ -5,13 +5,13 @@ A byte is removed when some string of ``length`` bytes that covers it also start
 1. Every window of ``length`` bytes has an anchor value: the least hash of its ``gram``-byte substrings. Neighbouring
    windows with one anchor value form a run; equal windows have equal anchors wherever they stand. Runs whose anchor
    value occurs once in the corpus, and once in the run, hold no repeats and go no further.
-2. Runs that are left are cut out as segments (the run's bytes). Equal segments of one anchor become one with a count,
-   partially before the shuffle, so thousands of copies arrive as one row.
+2. Runs that are left are segments, named by a digest of their bytes. Equal segments of one anchor become one with a
+   count, partially before the shuffle, so thousands of copies arrive as one row. An anchor whose only segment occurs
+   several times is done: all its windows repeat. Of the other segments the bytes are cut out, once each.
 3. Segments are dealt by anchor. A shard concatenates segments up to a bounded size and builds its suffix array by
    Larsson-Sadakane refinement in numpy - groups still tied are sorted by the rank ``h`` further on, h doubling until it
    covers ``length`` - then common prefixes by Kasai's algorithm, all segments in lock step. A window repeats if its
-   common prefix with a neighbour in the array is ``length`` or its segment occurs more than once. An anchor whose only
-   segment occurs several times needs no array: all its windows repeat.
+   common prefix with a neighbour in the array is ``length`` or its segment occurs more than once.
 4. An anchor whose segments fill several shards is merged across them: windows that are single in their own shard are
    looked up in the other shards' arrays by binary search.
 5. An anchor with more bytes than ``hot`` is not given to one task: its windows are dealt again by a further anchor of
@@ -346,29 +346,47 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, shar
     places = anchors.join(busy, "key").select("row", F.struct("first", "windows", "key").alias("at"))
     per_row = places.groupBy("row").agg(F.collect_list("at").alias("at"))  # runs of one text: bounded by its bytes
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def told(batch: pa.RecordBatch) -> Iterator[tuple[int, list[dict], list[bytes]]]:
+        """Per text: its row, the runs asked for and their bytes."""
+        data, offs = text_column(batch.column("body"))
+        raw = memoryview(data)
+        for i, (row, at) in enumerate(zip(batch.column("row").to_pylist(), batch.column("at").to_pylist(), strict=True)):
+            yield row, at, [bytes(raw[offs[i] + x["first"] : offs[i] + x["first"] + x["windows"] + length - 1]) for x in at]
+
+    def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 64):
+                rows, runs_, sums = [], [], []
+                for row, at, cut in told(batch.slice(lo, 64)):
+                    rows += [row] * len(at)
+                    runs_ += at
+                    sums += map(content, cut)
+                firsts, windows, keys = ([x[c] for x in runs_] for c in ("first", "windows", "key"))
+                yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(firsts, pa.int32()), pa.array(windows, pa.int32()), pa.array(keys, pa.int64()), pa.array(sums, pa.binary())], ["row", "first", "windows", "key", "content"])
+
+    def bring(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, offs = text_column(batch.column("body"))
-            raw = memoryview(data)
-            at = batch.column("at")
             for lo in range(0, batch.num_rows, 64):
-                rows, firsts, keys, segs, sums = [], [], [], [], []
-                for i in range(lo, min(lo + 64, batch.num_rows)):
-                    row = batch.column("row")[i].as_py()
-                    for a in at[i].as_py():
-                        s = bytes(raw[offs[i] + a["first"] : offs[i] + a["first"] + a["windows"] + length - 1])
-                        rows.append(row)
-                        firsts.append(a["first"])
-                        keys.append(a["key"])
-                        segs.append(s)
-                        sums.append(content(s))
-                yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(firsts, pa.int32()), pa.array(keys, pa.int64()), pa.array(sums, pa.binary()), pa.array(segs, pa.binary())], ["row", "first", "key", "content", "segment"])
-
-    pieces = materialise(docs.join(per_row, "row").mapInArrow(cut, "row long, first int, key long, content binary, segment binary"), "pieces")
-    segments = pieces.groupBy("key", "content").agg(F.count(F.lit(1)).alias("n"), F.first("segment").alias("segment"))
-    spans = _resolve(materialise(segments, "segments"), length, gram, shard, hot)
-    told = pieces.select("row", "first", "key", "content").join(spans, ["key", "content"])
-    return told.select("row", F.transform("spans", lambda s: s + F.col("first")).alias("windows")).groupBy("row").agg(F.flatten(F.collect_list("windows")).alias("windows"))
+                runs_, segs = [], []
+                for _, at, cut in told(batch.slice(lo, 64)):
+                    runs_ += at
+                    segs += cut
+                keys, sums, n = ([x[c] for x in runs_] for c in ("key", "content", "n"))
+                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(sums, pa.binary()), pa.array(segs, pa.binary()), pa.array(n, pa.int64())], ["key", "content", "segment", "n"])
+
+    named = docs.join(per_row, "row").mapInArrow(name, "row long, first int, windows int, key long, content binary")
+    pieces = materialise(named.withColumn("piece", F.monotonically_increasing_id()), "pieces")
+    contents = materialise(pieces.groupBy("key", "content").agg(F.count(F.lit(1)).alias("n"), F.min("piece").alias("piece")), "contents")
+    per_key = contents.groupBy("key").agg((F.count(F.lit(1)) == 1).alias("only"))
+    known = contents.join(per_key, "key").withColumn("whole", F.col("only") & (F.col("n") > 1))  # an anchor's only content, several times
+    asked = known.where("not whole").select("piece", "n").join(pieces, "piece")
+    places = asked.groupBy("row").agg(F.collect_list(F.struct("first", "windows", "key", "content", "n")).alias("at"))
+    segments = materialise(docs.join(places, "row").mapInArrow(bring, "key long, content binary, segment binary, n long"), "segments")
+    spans = _resolve(segments, length, gram, shard, hot)
+    spans = spans.unionByName(known.where("whole").select("key", "content", F.lit(None).cast("array<int>").alias("spans")))  # all its windows
+    own = F.coalesce(F.transform("spans", lambda s: s + F.col("first")), F.array("first", F.col("first") + F.col("windows")))
+    found = pieces.select("row", "first", "windows", "key", "content").join(spans, ["key", "content"])
+    return found.select("row", own.alias("windows")).groupBy("row").agg(F.flatten(F.collect_list("windows")).alias("windows"))
 
 
 def removed_runs(windows: list[int] | None, length: int) -> list[tuple[int, int]]:
