@@ -135,15 +135,19 @@ class Shard:
         return array, rank
 
     def _kasai(self) -> np.ndarray:
-        """Common prefix of each suffix with the one before it, up to ``length``; every segment is a lane of its own."""
+        """Common prefix of each suffix that starts a window with the one before it, up to ``length``; 0 for others.
+
+        Every segment is a lane of its own.
+        """
         place = np.empty(self.size, np.int64)
         place[self.array] = np.arange(self.size)
         before = np.where(place > 0, self.array[np.maximum(place - 1, 0)], -1)
         out = np.zeros(self.size, np.int64)
-        lanes = np.argsort(-self.lens, kind="stable")
-        at, h, left = self.begin[lanes].copy(), np.zeros(len(lanes), np.int64), self.lens[lanes]
-        for step in range(int(self.lens.max(initial=0))):
-            live = int(np.searchsorted(-left, -step, "left"))  # lanes longer than the step
+        fits = np.maximum(0, self.lens - self.length + 1)
+        lanes = np.argsort(-fits, kind="stable")
+        at, h, left = self.begin[lanes].copy(), np.zeros(len(lanes), np.int64), fits[lanes]
+        for step in range(int(fits.max(initial=0))):
+            live = int(np.searchsorted(-left, -step, "left"))  # lanes with more windows than the step
             i, hh = at[:live] + step, np.maximum(h[:live] - 1, 0)
             j = before[i]
             if step:  # suffixes tied over the sorted depth may stand the other way round one letter on: then start anew
