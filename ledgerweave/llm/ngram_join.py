@@ -28,6 +28,8 @@ FREQUENT = 1 << 18
 FANOUT = 16
 #: at most so many rows that ask for texts are broadcast (about 40 bytes each); beyond, texts are shuffled to them
 BROADCAST = 1 << 20
+#: so many of a class's lowest blocks are known in each of its blocks; more spares repeated proposals, not results
+EARLIER = 16
 #: partners of a class verified in one group
 GROUP = 256
 
@@ -133,8 +135,12 @@ class RTree:
         return self.order[at]
 
 
-def block_pairs(keys: np.ndarray, sizes: np.ndarray, parts: np.ndarray, vectors: list[np.ndarray], percent: int) -> Iterator[tuple[int, int]]:
-    """Pairs of one block, in different components, that its R-tree can't rule out; the largest component isn't queried."""
+def block_pairs(keys: np.ndarray, sizes: np.ndarray, parts: np.ndarray, vectors: list[np.ndarray], percent: int, earlier: np.ndarray | None = None) -> Iterator[tuple[int, int]]:
+    """Pairs of one block, in different components, that its R-tree can't rule out; the largest component isn't queried.
+
+    ``earlier`` holds, per class, blocks before this one that have the class too (0: none); pairs that meet in one of
+    those are proposed there.
+    """
     names, counts = np.unique(parts, return_counts=True)
     ask = np.flatnonzero(parts != names[counts.argmax()])
     width = np.fromiter(map(len, vectors), np.int64, len(vectors))
@@ -155,7 +161,10 @@ def block_pairs(keys: np.ndarray, sizes: np.ndarray, parts: np.ndarray, vectors:
                     folded[w, g] = RTree(fold(np.stack([vectors[r] for r in rows]), g), sizes[rows])
                 tree = folded[w, g]
             mine = fold(vectors[i][None], g)[0]
-            for j in rows[tree.search(mine, int(sizes[i]), percent)].tolist():
+            met = rows[tree.search(mine, int(sizes[i]), percent)]
+            if earlier is not None:
+                met = met[~(np.isin(earlier[met], earlier[i]) & (earlier[met] != 0)).any(1)]
+            for j in met.tolist():
                 if parts[j] != parts[i] and not seen[j]:
                     yield (int(keys[i]), int(keys[j]))
 
@@ -266,14 +275,19 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     open_ = about.where("p <> q").groupBy("sig", "m").agg(F.min("h").alias("h")).select("h")  # blocks of equal classes are one
     left = materialise(joined.join(open_, "h"), "open")
     if not left.isEmpty():
-        left = _dealt(left, block)
+        lowest = left.groupBy("k").agg(F.slice(F.array_sort(F.collect_list("h")), 1, EARLIER).alias("low"))  # bounded by a text's prefix
+        left = _dealt(left.join(lowest, "k"), block)
         placed = left.join(vectors.select(F.col("k").alias("k2"), "vector"), F.col("k") == F.col("k2")).drop("k2")
 
         def propose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for part in _groups(batches, "g"):
                 points = [np.frombuffer(v, np.uint16) for v in part.column("vector").to_pylist()]
                 found: list[tuple[int, int]] = []
-                for a, b in block_pairs(part["k"].to_numpy(), part["n"].to_numpy().astype(np.int64), part["part"].to_numpy(), points, percent):
+                low = np.zeros((len(points), EARLIER), np.int64)
+                for i, hs in enumerate(part.column("low").to_pylist()):
+                    before = [h for h in hs if h < part["h"][0].as_py()]
+                    low[i, : len(before)] = before
+                for a, b in block_pairs(part["k"].to_numpy(), part["n"].to_numpy().astype(np.int64), part["part"].to_numpy(), points, percent, low):
                     found.append((min(a, b), max(a, b)))
                     if len(found) == 1 << 16:
                         yield _pairs(found)
@@ -298,7 +312,7 @@ def _dealt(rows: DataFrame, block: int) -> DataFrame:
     other = F.explode(F.sequence(F.lit(0), F.col("cuts") - 1))
     dealt = rows.join(cuts, "h").withColumn("own", own).withColumn("other", other)
     g = F.when(F.col("cuts") == 1, F.col("h")).otherwise(F.xxhash64("h", F.least("own", "other"), F.greatest("own", "other")))
-    return dealt.select("h", "k", "n", "part", g.alias("g"))
+    return dealt.select("h", "k", "n", "part", "low", g.alias("g"))
 
 
 def _noted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
