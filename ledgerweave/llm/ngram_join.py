@@ -13,6 +13,7 @@ Equal shingles are told by 64-bit hashes of their words.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -236,7 +237,7 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows (h, k, n) of shingles that two classes or more share; input is sorted by h and k."""
         rest = (np.zeros(0, np.int64),) * 3
-        for batch in [*_noted(batches), None]:
+        for batch in chain(_noted(batches), [None]):
             if batch is None:
                 h, k, n = rest
                 whole = len(h)
