@@ -2,8 +2,9 @@
 
 Documents with one shingle set are one class. In a total order of all shingles (frequent ones last, else by hash) two
 sets of Jaccard similarity t or more share one of the first n - ceil(t n) + 1 shingles of either, so classes meet in
-blocks by those. A block proposes pairs: first every class with the block's least one, then - where verified links have
-not already joined a block into one component - all that its R-tree can't rule out. The tree holds count vectors:
+blocks by those. A block proposes pairs: first every class with the block's least one - one such pair a class, then those
+whose ends that has not joined - and then, where verified links have not joined a block into one component, all that its
+R-tree can't rule out. The tree holds count vectors:
 shingles hashed into groups, the group counts a point; the sum of coordinate-wise minima of a point and a box bounds the
 overlap of the point's set with any set in the box. Pairs that survive are verified on the whole sets.
 
@@ -268,9 +269,12 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     least = shared.groupBy("h").agg(F.min_by(F.struct("k", "n"), "k").alias("a"))
     others = materialise(shared.join(least, "h").where("k <> a.k"), "others")  # a block of two has one other: its star is all of it
-    stars = others.where("100 * least(n, a.n) >= %d * greatest(n, a.n)" % percent).select(F.col("a.k").alias("a"), F.col("k").alias("b")).distinct()
-    links = materialise(_verify(stars, vectors, read, words, percent), "links")
-    parts = components(links)
+    fits = others.where("100 * least(n, a.n) >= %d * greatest(n, a.n)" % percent)
+    stars = materialise(fits.groupBy(F.col("a.k").alias("a"), F.col("k").alias("b")).agg(F.count(F.lit(1)).alias("w")), "stars")
+    first = materialise(stars.groupBy("b").agg(F.max_by("a", F.struct("w", "a")).alias("a")).select("a", "b"), "first")  # the least class it meets most often
+    parts = components(_verify(first, vectors, read, words, percent))
+    rest = _apart(stars.join(first, ["a", "b"], "left_anti"), parts)
+    parts = components(parts.toDF("a", "b").unionByName(_verify(rest, vectors, read, words, percent)))
     joined = others.join(parts, F.col("k") == F.col("node"), "left").select("h", "k", "n", F.coalesce("component", "k").alias("part"))
     about = joined.groupBy("h").agg(F.min("part").alias("p"), F.max("part").alias("q"), F.sum(F.xxhash64("k").cast("decimal(38,0)")).alias("sig"), F.count(F.lit(1)).alias("m"))
     open_ = about.where("p <> q").groupBy("sig", "m").agg(F.min("h").alias("h")).select("h")  # blocks of equal classes are one
@@ -298,14 +302,19 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
         more = placed.repartition("g").sortWithinPartitions("g").mapInArrow(propose, "a long, b long").distinct()
         tried = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        links = materialise(links.unionByName(_verify(more.join(tried, ["a", "b"], "left_anti"), vectors, read, words, percent)), "links")
-        parts = components(links)
+        parts = components(parts.toDF("a", "b").unionByName(_verify(more.join(tried, ["a", "b"], "left_anti"), vectors, read, words, percent)))
     named = classes.join(parts, F.col("k") == F.col("node"), "left").select("k", "rep", F.coalesce("component", "k").alias("part"))
     low = named.groupBy("part").agg(F.min("rep").alias("component_id"))
     answer = named.join(low, "part").select("k", "component_id")
     return rows.join(answer, "k", "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
 
 
+def _apart(pairs: DataFrame, parts: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose ends are in different components; a class that parts doesn't name is its own."""
+    p, q = (parts.select(F.col("node").alias(i), F.col("component").alias(o)) for i, o in (("a", "p"), ("b", "q")))
+    return pairs.join(p, "a", "left").join(q, "b", "left").where("coalesce(p, a) <> coalesce(q, b)").select("a", "b")
+
+
 def _dealt(rows: DataFrame, block: int) -> DataFrame:
     """Rows with a task group g: a block of more than ``block`` classes is cut, and every two of its cuts meet in a group."""
     cuts = rows.groupBy("h").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("cuts"))
