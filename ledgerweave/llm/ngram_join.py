@@ -93,8 +93,8 @@ def verified(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
 # ------------------------------------------------------------------ R-trees of count vectors
 
 def groups_for(n: int) -> int:
-    """Groups shingles are hashed into for sets of about n: a power of two, about four shingles a group."""
-    return 1 << max(4, (max(1, n) // 4).bit_length())
+    """Groups shingles are hashed into for sets of about n: a power of two, about one shingle a group; from 4,096 groups on, four."""
+    return 1 << max(4, min(n.bit_length(), max(12, (n // 4).bit_length())))
 
 
 def count_vector(s: np.ndarray, groups: int) -> np.ndarray:
