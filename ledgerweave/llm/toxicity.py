@@ -83,6 +83,8 @@ class Decoder:
 
     def restore(self, word: str) -> str:
         """The likeliest reading of a disguised lower-case word; signs with no reading and gaps are dropped."""
+        if len(word) > 60:  # read like any other, not remembered
+            return self._viterbi(self.lattice(word))
         if word not in self.memo:
             if len(self.memo) > 200_000:
                 self.memo.clear()
@@ -101,10 +103,10 @@ class Decoder:
         return out
 
     def _viterbi(self, steps: list[tuple[str, ...]]) -> str:
-        best = {(0, 0): (0.0, "")}
+        best: dict[tuple[int, int], tuple] = {(0, 0): (0.0, None)}  # (worth, (option, what came before it))
         for options in steps:
-            then: dict[tuple[int, int], tuple[float, str]] = {}
-            for (a, b), (s, text) in best.items():
+            then: dict[tuple[int, int], tuple] = {}
+            for (a, b), (s, came) in best.items():
                 for option in options:
                     x, y, t = a, b, s
                     for c in option:
@@ -112,10 +114,14 @@ class Decoder:
                         t += self.log[x, y, k] + self.bonus
                         x, y = y, k
                     if (x, y) not in then or then[x, y][0] < t:
-                        then[x, y] = (t, text + option)
+                        then[x, y] = (t, (option, came))
             best = then
-        ended = [(s + self.log[a, b, 0], text) for (a, b), (s, text) in best.items()]
-        return max(ended)[1]
+        _, came = max(((s + self.log[a, b, 0], came) for (a, b), (s, came) in best.items()), key=lambda e: e[0])
+        out = []
+        while came:
+            out.append(came[0])
+            came = came[1]
+        return "".join(reversed(out))
 
 
 def suspects(data: np.ndarray, offs: np.ndarray) -> np.ndarray:
@@ -140,8 +146,7 @@ def readings(text: str, decoder: Decoder, suspect: bool) -> set[str]:
     if suspect:
         for pattern in (_LEET, _HELD, _APART):
             for m in pattern.finditer(low):
-                if len(m[0]) <= 60:
-                    words.add(decoder.restore(m[0]))
+                words.add(decoder.restore(m[0]))
     return words
 
 

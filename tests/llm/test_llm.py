@@ -294,6 +294,19 @@ def test_decoder_is_best_reading():
     assert d.restore("1d10t") == "idiot" and d.restore("idiooot") == "idiot"
 
 
+def decoder_of(*words):
+    """A decoder whose counts are of texts that say each word many times."""
+    text = np.frombuffer(" ".join(("", *words, "")).encode() * 50, np.uint8)
+    c = toxicity._LETTERS[text]
+    return toxicity.Decoder(np.bincount((c[:-2] * 29 + c[1:-1]) * 29 + c[2:], minlength=29**3))
+
+
+def test_long_disguises():
+    d = decoder_of("idiot", "sit", "to", "lot")
+    assert "idiot" in toxicity.readings("an 1di" + "o" * 70 + "t here", d, True)
+    assert len(d.restore("1dlot" * 4000)) >= 16_000
+
+
 def test_quality(spark):
     rng = random.Random(5)
     texts = [prose(rng, 40) if i % 3 else " | ".join(prose(rng, 30).split()) for i in range(150)] + ["", None]
