@@ -1,8 +1,9 @@
 """Toxicity by noisy-channel deobfuscation.
 
 Character trigrams counted over all documents make a language model. Words that look disguised - digits or signs among
-letters, letters spelled apart, letters held down - become lattices of what each sign may stand for, and Viterbi picks
-the likeliest reading. Plain and restored words then meet a sparse logistic model over whole words and word beginnings.
+letters, letters spelled apart, letters repeated - become lattices of what each sign may stand for, and Viterbi picks
+the likeliest reading, of any length; a gap between spelled letters may be a word boundary or nothing. Plain and restored
+words then meet a sparse logistic model over whole words and word beginnings.
 """
 
 from __future__ import annotations
@@ -20,9 +21,11 @@ from pyspark.sql import functions as F
 from .common import held_out, labelled_sample, materialise, table, text_blocks
 
 FIT_ROWS, MAX_FEATURES = 20_000, 4096
+NEAR = 6.0  # nats between the best parting of spelled letters and others whose words count too
 #: fixed values: what a sign may stand for
 LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "il", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l"}
 SIGNS = "0123456789@$!|+(€£"
+GAPS = " .-_*"
 
 _LETTERS = np.zeros(256, np.int64)  # 0 boundary, 1-26 letters, 27 bytes of other letters, 28 digits
 _LETTERS[97:123] = _LETTERS[65:91] = np.arange(1, 27)
@@ -31,14 +34,13 @@ _LETTERS[48:58] = 28
 _SIZE = 29
 _LETTER = (_LETTERS >= 1) & (_LETTERS <= 27)
 _SIGN = np.isin(np.arange(256), [ord(c) for c in SIGNS if ord(c) < 128])
-_GAP = np.isin(np.arange(256), [ord(c) for c in " .-_*"])
+_GAP = np.isin(np.arange(256), [ord(c) for c in GAPS])
 
 _WORD = re.compile(r"[^\W\d_]+")
-_LEET = re.compile(rf"[^\W_{SIGNS}]*(?:[{re.escape(SIGNS)}]{{1,3}}[^\W\d_]+)+")
-_HELD = re.compile(r"[^\W\d_]*?([^\W\d_])\1\1[^\W\d_]*")
+_LEET = re.compile(rf"(?<![^\W\d_])(?<![{re.escape(SIGNS)}])[^\W\d_]*+(?:[{re.escape(SIGNS)}]++[^\W\d_]++)++")
+_PAIR = re.compile(r"([^\W\d_])\1")
 _APART = re.compile(r"(?<![^\W_])(?:[^\W_@$!|+][ .\-_*]{1,2}|[@$!|+][ .\-_*]{1,2}){3,}[^\W_@$!|+](?![^\W_])")
 
-
 def count_trigrams(docs: DataFrame) -> np.ndarray:
     """Counts of character trigrams over every whole text, 29^3 of them; summed in the cluster, not on the driver."""
 
@@ -75,14 +77,15 @@ class Decoder:
         p3 = (tri + 2 * p2[None]) / (tri + 2 * p2[None]).sum(2, keepdims=True)
         self.log = np.log(p3)
         self.bonus = -float((p1 * np.log(p1)).sum()) * 0.8  # a letter's worth, so readings of different length compare
+        self.table = self.log.tolist()
         self.memo: dict[str, str] = {}
 
     def code(self, c: str) -> int:
         o = ord(c)
-        return o - 96 if 97 <= o <= 122 else 27
+        return o - 96 if 97 <= o <= 122 else 0 if c == " " else 27
 
     def restore(self, word: str) -> str:
-        """The likeliest reading of a disguised lower-case word; signs with no reading and gaps are dropped."""
+        """The likeliest reading of a disguised lower-case word; signs with no reading are dropped, gaps are too or part words."""
         if len(word) > 60:  # read like any other, not remembered
             return self._viterbi(self.lattice(word))
         if word not in self.memo:
@@ -92,47 +95,94 @@ class Decoder:
         return self.memo[word]
 
     def lattice(self, word: str) -> list[tuple[str, ...]]:
+        """Readings of each run of one letter, across signs and gaps: once, twice, or twice with a boundary; and of each gap."""
+        runs: list[list] = []  # [letters it may be, length, whether gaps are inside]
+        gap = False
+        for c in word:
+            if c in GAPS:
+                gap = True
+                continue
+            key = LEET.get(c) or (c if c.isalpha() else "")
+            if not key:
+                continue
+            if runs and runs[-1][0] == key:
+                runs[-1][1] += 1
+                runs[-1][2] |= gap
+            else:
+                if gap and runs:
+                    runs.append(["", 0, False])
+                runs.append([key, 1, False])
+            gap = False
         out: list[tuple[str, ...]] = []
-        for m in re.finditer(r"(.)\1*", word, re.S):
-            c, n = m[1], len(m[0])
-            if c.isalpha():
-                out.append((c, c + c) if n > 2 else (m[0],))
-            elif c in LEET:
-                reads = tuple(LEET[c])
-                out.append(reads if n == 1 else (*reads, *(r + r for r in reads)))
+        for key, n, parted in runs:
+            twice = [r + r for r in key] if n > 1 else []
+            out.append((*key, *twice, *(f"{r} {r}" for r in key if parted)) if key else ("", " "))
         return out
 
     def _viterbi(self, steps: list[tuple[str, ...]]) -> str:
         best: dict[tuple[int, int], tuple] = {(0, 0): (0.0, None)}  # (worth, (option, what came before it))
+        table, bonus = self.table, self.bonus
         for options in steps:
+            spelled = [(option, [self.code(c) for c in option]) for option in options]
             then: dict[tuple[int, int], tuple] = {}
             for (a, b), (s, came) in best.items():
-                for option in options:
+                for option, codes in spelled:
                     x, y, t = a, b, s
-                    for c in option:
-                        k = self.code(c)
-                        t += self.log[x, y, k] + self.bonus
+                    for k in codes:
+                        t += table[x][y][k] + (bonus if k else 0.0)
                         x, y = y, k
                     if (x, y) not in then or then[x, y][0] < t:
                         then[x, y] = (t, (option, came))
             best = then
-        _, came = max(((s + self.log[a, b, 0], came) for (a, b), (s, came) in best.items()), key=lambda e: e[0])
+        _, came = max(((s + table[a][b][0], came) for (a, b), (s, came) in best.items()), key=lambda e: e[0])
         out = []
         while came:
             out.append(came[0])
             came = came[1]
         return "".join(reversed(out))
 
+    def parts(self, letters: str) -> set[str]:
+        """Words of every way to part spelled letters that is at most NEAR less likely than the best way."""
+        c, table, n = [self.code(x) for x in letters], self.table, len(letters)
+        if not n:
+            return set()
+        fore, ahead = [0.0], (-math.inf, table[0][0][c[0]])  # best of letters[:i] as whole words; a letter inside, at the start of a word
+        for i in range(n):
+            inside, begun = table[c[i - 1]][c[i]], table[0][c[i]]
+            fore.append(max(ahead[0] + inside[0], ahead[1] + begun[0]))
+            if i + 1 < n:
+                ahead = max(ahead[0] + inside[c[i + 1]], ahead[1] + begun[c[i + 1]]), fore[-1] + table[c[i]][0][c[i + 1]]
+        rest, start = [(0.0, 0.0)] * n, [0.0] * (n + 1)  # best of what follows letter i inside, at the start of a word; of letters[i:] as words
+        for i in range(n - 1, -1, -1):
+            rest[i] = tuple(max(t[0] + start[i + 1], t[c[i + 1]] + rest[i + 1][0] if i + 1 < n else -math.inf) for t in (table[c[i - 1]][c[i]], table[0][c[i]]))
+            start[i] = table[c[i - 1] if i else 0][0][c[i]] + rest[i][1]
+        out, floor = set(), start[0] - NEAR
+        for i in range(n):
+            s = fore[i] + table[c[i - 1] if i else 0][0][c[i]]
+            for j in range(i, n):
+                t = table[0 if j == i else c[j - 1]][c[j]]
+                if s + rest[j][j == i] < floor:
+                    break
+                if s + t[0] + start[j + 1] >= floor:
+                    out.add(letters[i : j + 1])
+                if j + 1 < n:
+                    s += t[c[j + 1]]
+        return out
+
 
 def suspects(data: np.ndarray, offs: np.ndarray) -> np.ndarray:
     """Texts of a block that may hold a disguised word: a superset, found on bytes."""
+    first = (data & 0xC0) != 0x80  # one byte a character
+    at = np.zeros(len(data) + 1, np.int64)
+    np.cumsum(first, out=at[1:])
+    data, offs = data[first], at[offs]
     hit = np.zeros(len(data), bool)
+    letter, sign, gap = _LETTER[data], _SIGN[data], _GAP[data]
     if len(data) > 4:
-        letter, sign, gap, low = _LETTER[data], _SIGN[data], _GAP[data], data | 32
         hit[:-1] |= sign[:-1] & letter[1:]
-        hit[:-2] |= (low[:-2] == low[1:-1]) & (low[1:-1] == low[2:]) & letter[:-2]
-        one = letter | sign
-        hit[:-4] |= one[:-4] & gap[1:-3] & one[2:-2] & gap[3:-1] & one[4:]
+        alone = np.zeros(len(data) + 3, bool)
+        alone[1 : len(data) - 1] = gap[:-2] & (letter | sign)[1:-1] & gap[2:]
+        hit |= alone[:-3] & (alone[2:-1] | alone[3:])
         hit |= (data == 0xE2) | (data == 0xC2)  # euro and pound signs
     total = np.zeros(len(data) + 1, np.int64)
     np.cumsum(hit, out=total[1:])
@@ -140,13 +190,15 @@ def suspects(data: np.ndarray, offs: np.ndarray) -> np.ndarray:
 
 
 def readings(text: str, decoder: Decoder, suspect: bool) -> set[str]:
-    """Distinct lower-case words of a text and the restored readings of its disguised ones."""
+    """Distinct lower-case words of a text and the restored readings of its disguised ones, but for repeated letters."""
     low = text.lower()
     words = set(_WORD.findall(low))
     if suspect:
-        for pattern in (_LEET, _HELD, _APART):
-            for m in pattern.finditer(low):
-                words.add(decoder.restore(m[0]))
+        for m in _LEET.finditer(low):
+            words.add(decoder.restore(m[0]))
+        for m in _APART.finditer(low):
+            spelled = decoder.restore(m[0])
+            words.update(spelled.split(), decoder.parts(spelled.replace(" ", "")), decoder.restore("".join(c for c in m[0] if c not in GAPS)).split())
     return words
 
 
@@ -155,6 +207,13 @@ def features(word: str) -> list[str]:
     return [f"={word}", *(word[:n] for n in (4, 5, 6) if len(word) >= n)]
 
 
+def marks(word: str, decoder: Decoder) -> list[str]:
+    """Features of a word and, if a letter repeats in it, of its restored reading."""
+    if not _PAIR.search(word):
+        return features(word)
+    return list(dict.fromkeys(features(word) + features(decoder.restore(word))))
+
+
 def words_of(batch: pa.RecordBatch, decoder: Decoder) -> Iterator[tuple[int, set[str]]]:
     for lo, _, data, offs in text_blocks(batch, "text"):
         raw, odd = data.tobytes(), suspects(data, offs)
@@ -177,7 +236,7 @@ def train(docs: DataFrame, labels: DataFrame, counts: np.ndarray, limit: int = F
         for batch in batches:
             y = batch.column("y").to_pylist()
             for i, words in words_of(batch, decoder):
-                for f in {f for w in words for f in features(w)}:
+                for f in {f for w in words for f in marks(w, decoder)}:
                     n[f][y[i]] += 1
         yield pa.RecordBatch.from_arrays([pa.array(n.keys(), pa.string()), pa.array([v[1] for v in n.values()], pa.int64()), pa.array([v[0] for v in n.values()], pa.int64())], ["f", "bad", "good"])
 
@@ -189,7 +248,7 @@ def train(docs: DataFrame, labels: DataFrame, counts: np.ndarray, limit: int = F
     def present(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         decoder = Decoder(shared.value)
         for batch in batches:
-            hits = [sorted({named.value[f] for w in words for f in features(w) if f in named.value}) for _, words in words_of(batch, decoder)]
+            hits = [sorted({named.value[f] for w in words for f in marks(w, decoder) if f in named.value}) for _, words in words_of(batch, decoder)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), batch.column("y"), pa.array(hits, pa.list_(pa.int32()))], ["doc_id", "y", "hits"])
 
     found = rows.mapInArrow(present, "doc_id long, y int, hits array<int>").orderBy("doc_id").collect()
@@ -225,7 +284,7 @@ class Scorer:
             got: dict[str, float] = {}
             for w in words:
                 if (v := self.worth.get(w)) is None:
-                    v = self.worth[w] = tuple(f for f in features(w) if f in self.weights)
+                    v = self.worth[w] = tuple(f for f in marks(w, self.decoder) if f in self.weights)
                 for f in v:
                     got[f] = self.weights[f]
             out[i] = 1 / (1 + math.exp(-max(-40.0, min(40.0, self.b + sum(got.values())))))

@@ -307,6 +307,29 @@ def test_long_disguises():
     assert len(d.restore("1dlot" * 4000)) >= 16_000
 
 
+def test_gaps_and_repeats():
+    d = decoder_of("you", "are", "idiot", "stupid", "scum", "clown", "a")
+
+    def read(text):
+        data = np.frombuffer(text.encode(), np.uint8)
+        found = toxicity.readings(text, d, bool(toxicity.suspects(data, np.array([0, len(data)]))[0]))
+        return {f for w in found for f in toxicity.marks(w, d)}
+
+    assert {"=a", "=idiot"} <= read("you are a i d i o t") and {"=stupid", "=idiot"} <= read("s t u p i d i d i o t")
+    assert "=scum" in read("s c u u u u m") & read("s  c  u  m") & read("s.c.u.m") & read("scuum") & read("sscumm")
+    assert "=idiot" in read("idi" + "o" * 70 + "t")
+    assert "=clown" in read("cl0000wn") & read("cl0o0wn") and "=clown" in read("c l 0 0 w n")
+    assert {"=you", "=are", "=stupid", "=scum"} <= read("y o u a r e s t u p i d  s c u m " * 5)
+    for word in ("aidiot", "youscum", "zz", "a"):
+        worth = {}
+        for cuts in itertools.product(("", " "), repeat=len(word) - 1):
+            text = word[0] + "".join(g + c for g, c in zip(cuts, word[1:], strict=True))
+            codes = [0, 0, *map(d.code, text), 0]
+            worth[text] = sum(d.log[codes[i], codes[i + 1], codes[i + 2]] for i in range(len(text) + 1))
+        near = max(worth.values()) - toxicity.NEAR
+        assert d.parts(word) == {w for text, v in worth.items() if v >= near for w in text.split()}
+
+
 def test_quality(spark):
     rng = random.Random(5)
     texts = [prose(rng, 40) if i % 3 else " | ".join(prose(rng, 30).split()) for i in range(150)] + ["", None]
