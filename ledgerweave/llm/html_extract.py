@@ -20,23 +20,45 @@ from pyspark.sql import functions as F
 from .common import table, text_blocks
 
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|head|select|iframe|object|canvas|math)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*+>.*?(?:</\1\s*>|\Z)"
+    r"<!--.*?(?:-->|\Z)|<(script|style)(?=[\s/>])(?:[^>\"']|\"[^\"]*\"|'[^']*')*+>.*?(?:</\1\s*>|\Z)"
     r"|</?[a-zA-Z](?:[^>\"']|\"[^\"]*\"|'[^']*')*+>|<[!?][^>]*>|[^<]+|<",
     re.S | re.I,
 )
 _TAG = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)")
 _MARKS = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _SPLIT = re.compile(r"[^a-z]+")
-#: fixed values: tags that end a block, that hold no content, and that one of their kind ends
+#: fixed values: tags that end a block, that hold no content, whose content is no text, that don't end a head, and that one of their kind ends
 _BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol option optgroup p pre section summary table tbody td tfoot th thead tr ul button label textarea".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+_HIDDEN = frozenset("noscript template svg select iframe object canvas math".split())
+_HEAD = frozenset("title base link meta".split())
 _SELF = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 
 Block = tuple[tuple[str, ...], str, float, bool]  # (marks from the root down, text, share of linked text, after a heading)
 
 
+def hidden(tokens: list[re.Match]) -> dict[int, int]:
+    """Index of the end tag of every start tag that hides its content and has one; starts and ends pair as brackets do."""
+    out: dict[int, int] = {}
+    opened: dict[str, list[int]] = {}
+    for i, m in enumerate(tokens):
+        if m[1] or not (tag := _TAG.match(m[0])) or (name := tag[2].lower()) not in _HIDDEN and name != "title":
+            continue
+        if not tag[1]:
+            if not m[0].endswith("/>"):
+                opened.setdefault(name, []).append(i)
+        elif opened.get(name):
+            out[opened[name].pop()] = i
+    return out
+
+
 def blocks(page: str) -> list[Block]:
-    """Leaf blocks of a page in order. Broken markup is read leniently; comments, heads and scripts hold no blocks."""
+    """Leaf blocks of a page in order. Broken markup is read leniently; comments, heads and scripts hold no blocks.
+
+    Only comments, scripts and styles may run to the page's end. Other elements that hide their content do so up to their
+    end tag; those that are closed at once or never are tags like any other. A head ends at </head> or, as in browsers,
+    at the first text or tag that it can't hold.
+    """
     out: list[Block] = []
     names: list[str] = []
     marks: list[tuple[str, ...]] = []
@@ -57,9 +79,18 @@ def blocks(page: str) -> list[Block]:
         links -= names[to:].count("a")
         del names[to:], marks[to:]
 
-    for m in _TOKEN.finditer(page):
+    tokens = list(_TOKEN.finditer(page))
+    ends_at = hidden(tokens)
+    skip = -1  # last token of the hidden element
+    in_head = titled = False
+    for i, m in enumerate(tokens):
+        if i <= skip:
+            continue
         s = m[0]
         if s[0] != "<" or len(s) == 1:
+            if titled or in_head and not s.strip():
+                continue
+            in_head = False
             text.append(s)
             total += len(s)
             linked += len(s) if links > 0 else 0
@@ -70,6 +101,18 @@ def blocks(page: str) -> list[Block]:
                 text.append(" ")
             continue
         ends, name = tag[1], tag[2].lower()
+        if i in ends_at and (in_head or name != "title"):
+            skip = ends_at[i]
+            text.append(" ")
+            continue
+        titled = in_head and not ends and name == "title"
+        if name == "head":
+            in_head = not ends
+            continue
+        if in_head:
+            if ends or name in _HEAD or name in _HIDDEN:
+                continue
+            in_head = False
         if name == "br":
             text.append(" ")
         if name in _BLOCK:

@@ -239,6 +239,17 @@ def test_html(spark):
     assert np.mean(right) > 0.95
 
 
+@pytest.mark.parametrize("page,want", [
+    ("<html><head><title>x</title><body><article><p>Said.</p></article>", ["Said."]), ("<head><title>x</title><meta a=b><p>Said.</p>", ["Said."]),
+    ("<head><title>x <b>y</b> < z</title> <link a>\n<b>Said.</b>", ["Said."]), ("<head><title>x</title><noscript><p>no</p></noscript></head><p>Said.</p>", ["Said."]), ("<head><title>x<body>Said.", ["Said."]),
+    ("<p>One <svg class=i/> two.</p><p>Three.</p>", ["One two.", "Three."]), ("<p>One <math/> two.</p><svg><text>no</text></svg><p>Three.</p>", ["One two.", "Three."]),
+    *[(f"<p>One <{t} class=i> two.</p><p>Three.</p><{t}>no</{t}><p>Four.</p>", ["One two.", "Three.", "Four."]) for t in ("svg", "select", "iframe", "object", "canvas", "math", "noscript", "template")],
+    ("<p>One.</p><object><object>no</object>no</object><p>Two.</p>", ["One.", "Two."]), ("<script-like>One.</script-like>", ["One."]), ("<p>One.</p><script>no <p>no</p>", ["One."]), ("<p>One.</p><!-- <p>no", ["One."]),
+])
+def test_html_hides_no_more_than_it_must(page, want):
+    assert [b[1] for b in html_extract.blocks(page)] == want
+
+
 def test_viterbi_is_best_path():
     field = html_extract.Field({"bias": 0.3, "own:p": 0.4, "own:li": -1.1, "open": 0.2}, np.array([[0.7, -0.4], [-0.2, 0.5]]))
     page = [((t,), x, 0.0, False) for t, x in (("p", "a."), ("li", "b"), ("li", "c."), ("p", "d"), ("li", "e"))]
