@@ -21,6 +21,7 @@ RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "b
 LINK = r"(?i)<link\b[^>]*>"
 META = r"(?i)<meta\b[^>]*>"
 HREF = r"""(?i)\bhref\s*=\s*["']?([^"'\s>]+)"""
+BASE = r"""(?is)<base\b[^>]*?\bhref\s*=\s*["']?([^"'\s>]+)"""
 REFRESH = r"""(?i)\burl\s*=\s*["']?([^"'\s>;]+)"""
 
 
@@ -42,23 +43,50 @@ def rule_of(host: Column, path: Column, rules: Sequence[tuple[str, str]]) -> Col
     return out
 
 
+def plain_path(path: Column) -> Column:
+    """A path without its '.' and '..' segments."""
+
+    def flat(segments: Column) -> Column:
+        kept = F.aggregate(
+            F.slice(segments, 2, F.size(segments)), F.array().cast("array<string>"),
+            lambda up, s: F.when(s == "..", F.slice(up, F.lit(1), F.greatest(F.size(up) - 1, F.lit(0)))).when(s == ".", up).otherwise(F.concat(up, F.array(s))),
+        )
+        ended = F.when(F.element_at(segments, -1).isin(".", ".."), F.array(F.lit(""))).otherwise(F.array().cast("array<string>"))
+        return F.concat(F.lit("/"), F.array_join(F.concat(kept, ended), "/"))
+
+    return F.transform(F.array(path), lambda p: F.when(p.contains("/."), F.transform(F.array(F.split(p, "/")), flat)[0]).otherwise(p))[0]  # each names its input once
+
+
+def query_of(url: Column) -> Column:
+    return F.coalesce(F.regexp_extract(url, r"^[^?#]*(\?[^#]*)?", 1), F.lit(""))
+
+
 def node(url: Column) -> Column:
-    """Name of a url among aliases: scheme and fragment dropped, host in lower case, query kept; null without a host."""
+    """Name of a url among aliases: scheme, fragment and dot segments dropped, host in lower case, query kept; null without a host."""
     host, path = parts(url)
-    query = F.regexp_extract(url, r"^[^?#]*(\?[^#]*)?", 1)
-    return F.when(host != "", F.concat(host, F.when(path == "", F.lit("/")).otherwise(path), F.coalesce(query, F.lit(""))))
+    return F.when(host != "", F.concat(host, F.when(path == "", F.lit("/")).otherwise(plain_path(path)), query_of(url)))
+
+
+def resolve(to: Column, url: Column) -> Column:
+    """The url that reference ``to`` names on page ``url`` (RFC 3986, dot segments left to ``node``); null for '', other schemes, no base."""
+    root, path = F.regexp_extract(url, r"^[^:/?#]+://[^/?#]*", 0), parts(url)[1]
+    here = F.concat(root, F.when(path == "", F.lit("/")).otherwise(path))
+    named = F.when(to.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://"), to).when(to.startswith("//"), F.concat(F.lit("http:"), to))
+    own = F.when(to.startswith("/"), F.concat(root, to)).when(to.startswith("?"), F.concat(here, to)).when(to.startswith("#"), F.concat(here, query_of(url)))
+    own = own.otherwise(F.concat(F.regexp_replace(here, r"[^/]*$", ""), to))
+    return F.coalesce(named, F.when((root != "") & (to != "") & ~to.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), own))
 
 
 def page_edges(pages: DataFrame) -> DataFrame:
-    """(source, target) nodes of canonical links and refresh redirects that pages declare."""
+    """(source, target) nodes of canonical links and refresh redirects that pages declare, relative to <base> or the page's url."""
     tags = F.filter(F.regexp_extract_all("html", F.lit(LINK), F.lit(0)), lambda t: t.rlike(r"""(?i)\brel\s*=\s*["']?[^"'>]*\bcanonical\b"""))
     hops = F.filter(F.regexp_extract_all("html", F.lit(META), F.lit(0)), lambda t: t.rlike(r"""(?i)http-equiv\s*=\s*["']?refresh"""))
     marked = F.col("html").rlike(r"(?i)canonical|http-equiv")
-    found = pages.where(marked).select("url", F.explode(F.concat(F.transform(tags, lambda t: F.regexp_extract(t, HREF, 1)), F.transform(hops, lambda t: F.regexp_extract(t, REFRESH, 1)))).alias("to"))
+    found = pages.where(marked).select("url", F.regexp_extract("html", BASE, 1).alias("base"), F.explode(F.concat(F.transform(tags, lambda t: F.regexp_extract(t, HREF, 1)), F.transform(hops, lambda t: F.regexp_extract(t, REFRESH, 1)))).alias("to"))
     to = F.replace("to", F.lit("&amp;"), F.lit("&"))
-    base = F.regexp_extract("url", r"^[^:/?#]+://[^/?#]*", 0)
-    whole = F.when(to.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://"), to).when(to.startswith("//"), F.concat(F.lit("http:"), to)).when(to.startswith("/"), F.concat(base, to))
-    return found.select(node(F.col("url")).alias("source"), node(whole).alias("target")).where("source is not null and target is not null and source <> target").distinct()
+    base = F.coalesce(resolve(F.replace("base", F.lit("&amp;"), F.lit("&")), F.col("url")), F.col("url"))
+    found = found.select("url", to.alias("to"), base.alias("base")).select("url", resolve(F.col("to"), F.col("base")).alias("whole"))
+    return found.select(node(F.col("url")).alias("source"), node(F.col("whole")).alias("target")).where("source is not null and target is not null and source <> target").distinct()
 
 
 def url_filter(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES, edges: DataFrame | None = None, default: str = "allow") -> DataFrame:

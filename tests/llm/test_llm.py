@@ -4,6 +4,7 @@ import hashlib
 import itertools
 import random
 import re
+from urllib.parse import urljoin
 
 import numpy as np
 import pytest
@@ -272,6 +273,23 @@ def test_urls(spark):
     assert [got[i].rule for i in (5, 6, 8)] == [None] * 3
 
 
+def test_relative_urls(spark):
+    bases = ["http://x.org", "http://x.org/", "https://x.org/a/b/c.html?q=1#f", "http://x.org/a/b/", "http://X.org?z/y"]
+    refs = "page2.html ../x ../../../x ./ . .. ?id=3 #top a/./b/../c /y/../z //y.org/k/. http://z.org/d/../e g;x=1/../y ..g ../a/.. .well-known/u ?u=../v /a/..".split()
+    got = spark.createDataFrame([(b, r, urljoin(b, r)) for b in bases for r in refs], "b string, r string, want string")
+    rows = got.select("b", "r", url_filter.node(url_filter.resolve(F.col("r"), F.col("b"))).alias("got"), url_filter.node(F.col("want")).alias("want")).collect()
+    assert [(r.b, r.r, r.got) for r in rows] == [(r.b, r.r, r.want) for r in rows]
+    assert {r.got for r in rows} >= {"x.org/a/b/page2.html", "x.org/a/x", "x.org/a/b/c.html?id=3", "x.org/z"}
+    lost = spark.createDataFrame([("mailto:a@b.c", "http://x.org/"), ("", "http://x.org/"), ("x", "no scheme"), ("x", None), (None, "http://x.org/")], "r string, b string")
+    assert [r[0] for r in lost.select(url_filter.resolve(F.col("r"), F.col("b"))).collect()] == [None] * 5
+    pages = [
+        (1, "http://a.org/d/1", "<link rel=canonical href='../../bad/2'>"), (2, "http://a.org/bad/2", "<link rel=canonical href='?id=3'>"), (3, "http://a.org/bad/2?id=3", '<meta http-equiv=refresh content="0; url=http://b.net/">'),
+        (4, "http://c.org/d/", '<meta http-equiv=refresh content="0; url=index.html">'), (5, "http://c.org/d/index.html", "<base href='//b.net/k/'><link rel=canonical href=l>"), (6, "http://c.org/d/other.html", None),
+    ]
+    got = url_filter.url_filter(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()
+    assert {r.page_id: r.verdict for r in got} == dict(zip(range(1, 7), ["block"] * 5 + ["allow"], strict=True))
+
+
 def test_toxicity_restores(spark):
     rng = random.Random(1)
     texts = [prose(rng, 30).translate(str.maketrans("", "", "0123456789")) + f" you {rng.choice(['idiot', 'scum']) if i % 4 == 0 else 'friend'} there" for i in range(160)]
