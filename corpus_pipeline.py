@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,10 +19,17 @@ ORACLE_SQL = None
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
-def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """Rows of ``docs`` whose doc_id is in ``ids``; null counts as an id."""
-    named = ids.select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(named, docs["doc_id"].eqNullSafe(named["kept_id"]), "left_semi")
+def _own(docs: DataFrame, decide: Callable[[DataFrame, str], DataFrame], nulls_first: bool) -> DataFrame:
+    """Rows of ``docs`` that ``decide(rows, id column)`` returns, each by its own decision.
+
+    If an id is null or repeated, rows are told apart by numbers in the order of their ids instead.
+    """
+    docs, at = docs.select(*COLUMNS), "doc_id"
+    if not docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1 or doc_id is null").isEmpty():
+        by = F.asc_nulls_first("doc_id") if nulls_first else F.asc_nulls_last("doc_id")
+        ordered = docs.withColumn("row", F.monotonically_increasing_id()).orderBy(by, "row")
+        docs, at = materialise(ordered.withColumn("row", F.monotonically_increasing_id()), "rows"), "row"
+    return docs.join(decide(docs, at).select(at), at, "left_semi").select(*COLUMNS)
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,13 +38,13 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the largest doc_id stays."""
-    return _only(docs.select(*COLUMNS), exact_dedup(docs).where("kept"))
+    """Of equal texts the row of the largest doc_id stays, one of those that repeat it; null is the least."""
+    return _own(docs, lambda rows, at: exact_dedup(rows, at).where("kept"), True)
 
 
 def ngram_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of linked documents the smallest doc_id stays."""
-    return _only(docs.select(*COLUMNS), ngram_join(docs).where("doc_id <=> component_id"))
+    """Of linked documents the row of the smallest doc_id stays, one of those that repeat it; null is the last."""
+    return _own(docs, lambda rows, at: ngram_join(rows, at).where(F.col(at) == F.col("component_id")), False)
 
 
 def suffix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -400,3 +400,17 @@ def test_pipeline_stages(spark, tmp_path):
     got = P.run(spark, folder).groupBy("doc_id").agg(F.sum("n_tokens").alias("n")).collect()
     assert sorted((r.doc_id, r.n) for r in got) == want
     assert [n for n, _ in P.STAGES] == ["toxicity", "exact_dedup", "ngram_join", "suffix_dedup", "packing"]
+
+
+def test_pipeline_odd_ids(spark):
+    import corpus_pipeline as P
+
+    near = prose(random.Random(2), 60)
+    rows = [(None, "X"), (None, "Y"), (9, "X"), (9, "Z"), (9, "Z"), (8, "Z"), (None, "N"), (None, "N"), (7, None), (7, "")]
+    told = lambda df: sorted((str(r.doc_id), r.text) for r in df.collect())
+    got = P.exact_stage(spark, frame(spark, [t for _, t in rows], [i for i, _ in rows]), "")
+    assert got.columns == list(P.COLUMNS)
+    assert [(i, t or "") for i, t in told(got)] == [("7", ""), ("9", "X"), ("9", "Z"), ("None", "N"), ("None", "Y")]
+    rows = [(None, near), (None, near + " a"), (4, near + " b"), (4, near + " c"), (5, near + " d"), (None, "alone"), (None, "lone"), (4, "other")]
+    got = told(P.ngram_stage(spark, frame(spark, [t for _, t in rows], [i for i, _ in rows]), ""))
+    assert got in [sorted([("4", near + e), ("4", "other"), ("None", "alone"), ("None", "lone")]) for e in (" b", " c")]
