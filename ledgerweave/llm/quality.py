@@ -122,16 +122,14 @@ def sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
-def fit_rules(x: np.ndarray, y: np.ndarray, trees: int = 24, depth: int = 3, penalty: float = 2e-3, seed: int = 11) -> tuple[float, list[tuple[Rule, float]]]:
-    """(intercept, [(rule, weight)]): rules of boosted trees, then L1-penalised logistic weights by FISTA."""
+def fit_rules(x: np.ndarray, y: np.ndarray, trees: int = 24, depth: int = 3, penalty: float = 2e-3) -> tuple[float, list[tuple[Rule, float]]]:
+    """(intercept, [(rule, weight)]): rules of boosted trees, each grown on all rows, then L1-penalised logistic weights by FISTA."""
     if len(y) == 0 or y.min() == y.max():
         return (0.0 if len(y) == 0 else float(np.log((y.sum() + 1) / (len(y) - y.sum() + 1)))), []
-    rng = np.random.default_rng(seed)
     z, rules = np.full(len(y), np.log((y.mean() + 1e-6) / (1 - y.mean() + 1e-6))), {}
     for _ in range(trees):
-        rows = np.sort(rng.choice(len(y), max(1, min(len(y), max(200, len(y) // 4), 4000)), replace=False))
         nodes: list[tuple[Rule, float]] = []
-        grow(x, y - sigmoid(z), rows, depth, (), nodes)
+        grow(x, y - sigmoid(z), np.arange(len(y)), depth, (), nodes)
         for rule, value in nodes:
             rules[rule] = None
             if len(rule) == depth or not any(len(r) > len(rule) and r[: len(rule)] == rule for r, _ in nodes):

@@ -370,6 +370,14 @@ def test_quality(spark):
     assert quality.fit_rules(np.zeros((0, len(quality.STATS))), np.zeros(0)) == (0.0, [])
 
 
+def test_trees_see_every_row(monkeypatch):
+    seen, grow = [], quality.grow
+    monkeypatch.setattr(quality, "grow", lambda x, target, rows, depth, path, out: (seen.append(len(rows)) if not path else None, grow(x, target, rows, depth, path, out))[1])
+    x = np.random.default_rng(2).normal(size=(9000, len(quality.STATS)))
+    quality.fit_rules(x, (x[:, 0] > 0).astype(float), trees=3)
+    assert seen == [9000] * 3
+
+
 def test_rules_compile_to_the_same_score(spark):
     rng = np.random.default_rng(1)
     x = rng.normal(size=(400, len(quality.STATS)))
