@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import materialise, release
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
@@ -28,7 +28,8 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("w").alias("v")).where("u <> v").distinct()
         low2 = large.groupBy("u").agg(F.min("v").alias("w"))
         small = large.join(low2, "u").where("v <> w").select(F.col("v").alias("u"), F.col("w").alias("v")).unionByName(low2.select("u", F.col("w").alias("v")))
-        now = materialise(small.distinct(), "cc")
+        before, now = now, materialise(small.distinct(), "cc")
+        release(before)
         mark = _mark(now)
         if mark == seen:
             break

@@ -7,7 +7,10 @@ not already joined a block into one component - all that its R-tree can't rule o
 shingles hashed into groups, the group counts a point; the sum of coordinate-wise minima of a point and a box bounds the
 overlap of the point's set with any set in the box. Pairs that survive are verified on the whole sets.
 
-Equal shingles are told by 64-bit hashes of their words.
+A block that is still open and holds more than ``block`` classes is dealt again by a second shingle of a prefix one
+longer (similar sets share two of those), then by a third: no task gets all of it, and its cuts needn't all meet.
+
+Equal shingles are told by 64-bit hashes of their words, and so are equal sets.
 """
 
 from __future__ import annotations
@@ -20,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, mix, prefix_sums, span_hashes, table, text_blocks
+from .common import materialise, mix, prefix_sums, release, span_hashes, table, text_blocks
 from .components import components
 
 WORDS, PERCENT = 5, 75
@@ -33,6 +36,10 @@ BROADCAST = 1 << 20
 EARLIER = 16
 #: partners of a class verified in one group
 GROUP = 256
+#: times a large block is dealt again by one shingle more; what is still larger then is cut, and every two cuts meet
+DEEPER = 3
+
+BLOCK = "h long, k long, n int, part long, path array<long>"
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -74,10 +81,13 @@ def class_of(s: np.ndarray) -> int:
     return int(mix(np.asarray([mix(s).sum(dtype=np.uint64) + np.uint64(len(s))]))[0].view(np.int64))
 
 
-def prefix(s: np.ndarray, frequent: np.ndarray, percent: int) -> np.ndarray:
-    """The first n - ceil(t n) + 1 shingles in the common order: not frequent before frequent, then by hash."""
+def prefix(s: np.ndarray, frequent: np.ndarray, percent: int, more: int = 0) -> np.ndarray:
+    """The first n - ceil(t n) + 1 shingles in the common order: not frequent before frequent, then by hash.
+
+    With ``more`` of them added, similar sets share 1 + ``more`` shingles of these, or are equal on all they have.
+    """
     n = len(s)
-    p = n - (percent * n + 99) // 100 + 1
+    p = n - (percent * n + 99) // 100 + 1 + more
     if len(frequent):
         at = np.minimum(np.searchsorted(frequent, s), len(frequent) - 1)
         often = frequent[at] == s
@@ -93,17 +103,30 @@ def verified(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
 # ------------------------------------------------------------------ R-trees of count vectors
 
 def groups_for(n: int) -> int:
-    """Groups shingles are hashed into for sets of about n: a power of two, about one shingle a group; from 4,096 groups on, four."""
-    return 1 << max(4, min(n.bit_length(), max(12, (n // 4).bit_length())))
+    """Groups shingles are hashed into for sets of about n: a power of two, about two a shingle, fewer for sets beyond 512; from 4,096 on a quarter."""
+    return 1 << max(4, min(n.bit_length() + 1, 10), (n // 4).bit_length())
+
+
+def count_vector(s: np.ndarray, groups: int) -> bytes:
+    """Counts by group: a byte each, or four and a mark should one of them need more."""
+    n = np.bincount((s & np.uint64(groups - 1)).astype(np.int64), minlength=groups)
+    return n.astype(np.uint8).tobytes() if n.max(initial=0) < 256 else n.astype(np.uint32).tobytes() + b"+"
+
 
+def point(vector: bytes) -> np.ndarray:
+    return np.frombuffer(vector[:-1], np.uint32) if len(vector) % 2 else np.frombuffer(vector, np.uint8)
 
-def count_vector(s: np.ndarray, groups: int) -> np.ndarray:
-    return np.minimum(np.bincount((s & np.uint64(groups - 1)).astype(np.int64), minlength=groups), 65535).astype(np.uint16)
+
+def may_reach(v: np.ndarray, w: np.ndarray, percent: int) -> bool:
+    """Whether sets of these count vectors can have the similarity."""
+    g = min(len(v), len(w))
+    common = int(np.minimum(fold(v[None], g), fold(w[None], g)).sum(dtype=np.int64))
+    return (100 + percent) * common >= percent * int(v.sum(dtype=np.int64) + w.sum(dtype=np.int64))
 
 
 def fold(vectors: np.ndarray, groups: int) -> np.ndarray:
     """Vectors over fewer groups: counts of groups with the same low bits add up."""
-    return vectors.reshape(len(vectors), -1, groups).sum(1, dtype=np.uint16) if vectors.shape[1] > groups else vectors
+    return vectors.reshape(len(vectors), -1, groups).sum(1, dtype=np.uint32) if vectors.shape[1] > groups else vectors
 
 
 class RTree:
@@ -170,6 +193,18 @@ def block_pairs(keys: np.ndarray, sizes: np.ndarray, parts: np.ndarray, vectors:
                     yield (int(keys[i]), int(keys[j]))
 
 
+def reachable(parts: np.ndarray, sizes: np.ndarray, percent: int) -> np.ndarray:
+    """Rows of a block with a row of another component that is near enough in size."""
+    out = np.zeros(len(parts), bool)
+    order = np.argsort(sizes, kind="stable")
+    n, p = sizes[order], parts[order]
+    low = np.searchsorted(n, -(-percent * n // 100), "left")
+    high = np.searchsorted(n, 100 * n // percent, "right")
+    change = np.concatenate([[0], np.cumsum(p[1:] != p[:-1])])  # components in low..high differ if it changes there
+    out[order] = change[high - 1] > change[low]
+    return out
+
+
 # ------------------------------------------------------------------ in Spark
 
 def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT, often: int = 4, block: int = 8192) -> DataFrame:
@@ -189,8 +224,12 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         size = 0
 
         def told() -> pa.RecordBatch:
-            name, n = np.unique(np.concatenate(held), return_counts=True)
-            name, n = name[n >= often], n[n >= often]
+            name = np.concatenate(held)
+            held.clear()
+            name.sort()
+            first = np.flatnonzero(np.concatenate([[True], name[1:] != name[:-1]]))
+            n = np.diff(np.append(first, len(name)))
+            name, n = name[first[n >= often]], n[n >= often]
             none = pa.nulls(len(name), pa.int64())
             return pa.RecordBatch.from_arrays([none, none, none, pa.array(name.view(np.int64)), pa.array(n)], ["id", "k", "n", "h", "c"])
 
@@ -207,9 +246,9 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 held += fresh
                 size += sum(map(len, fresh))
                 yield pa.RecordBatch.from_arrays([batch.column("id").slice(lo, hi - lo), pa.array(names, pa.int64()), pa.array(list(map(len, sets)), pa.int64()), pa.nulls(hi - lo, pa.int64()), pa.nulls(hi - lo, pa.int64())], ["id", "k", "n", "h", "c"])
-                if size > 1 << 23:
+                if size > 1 << 22:
                     yield told()
-                    held, size = [], 0
+                    size = 0
                     seen.clear()
         if held:
             yield told()
@@ -259,47 +298,94 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             if same.any():
                 yield pa.RecordBatch.from_arrays([pa.array(h[same]), pa.array(k[same]), pa.array(n[same].astype(np.int32))], ["h", "k", "n"])
 
+    def narrow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows of blocks (sorted by h and k) with another of near size in another component; sig and m name a block's rows."""
+        for part in _groups(batches, "h"):
+            k = part["k"].to_numpy()
+            part = part.filter(pa.array(np.concatenate([[True], k[1:] != k[:-1]])))
+            near = reachable(part["part"].to_numpy(), part["n"].to_numpy().astype(np.int64), percent)
+            if near.any():
+                part = part.filter(pa.array(near))
+                sig = mix(part["k"].to_numpy().view(np.uint64)).sum(dtype=np.uint64, keepdims=True).view(np.int64)
+                m = part.num_rows
+                yield from part.append_column("sig", pa.array(np.repeat(sig, m))).append_column("m", pa.array(np.full(m, m, np.int64))).combine_chunks().to_batches()
+
+    def narrowed(blocks: DataFrame) -> DataFrame:
+        """Blocks (h, k, n, part, path) less rows that can't reach any other; blocks of equal rows are one."""
+        kept = materialise(blocks.repartition("h").sortWithinPartitions("h", "k").mapInArrow(narrow, f"{BLOCK}, sig long, m long"), "narrow")
+        one = kept.groupBy("sig", "m").agg(F.min("h").alias("h"))
+        out = materialise(kept.join(one, ["sig", "m", "h"], "left_semi").drop("sig", "m"), "open")
+        release(kept)
+        return out
+
+    def again(more: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for lo, hi, data, offs in text_blocks(batch, "text"):
+                    at, blocks, paths = [], [], []
+                    for i, (s, path) in enumerate(zip(shingle_sets(data, offs, words), batch.column("path").slice(lo, hi - lo).to_pylist(), strict=True)):
+                        used = np.asarray(path, np.int64).view(np.uint64)
+                        new = np.setdiff1d(prefix(s, frequent.value, percent, more), used)
+                        blocks.append(mix(mix(new) + mix(used).sum(dtype=np.uint64)))  # whatever the order of the path
+                        at += [lo + i] * len(new)
+                        paths += [[*path, x] for x in new.view(np.int64).tolist()]
+                    if at:
+                        rows = batch.select(["k", "n", "part"]).take(pa.array(at))
+                        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(blocks).view(np.int64)), *rows.columns, pa.array(paths, pa.list_(pa.int64()))], ["h", "k", "n", "part", "path"])
+
+        return run
+
+    def propose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in _groups(batches, "g"):
+            points = [point(v) for v in part.column("vector").to_pylist()]
+            found: list[tuple[int, int]] = []
+            low = np.zeros((len(points), EARLIER), np.int64)
+            for i, hs in enumerate(part.column("low").to_pylist()):
+                before = [h for h in hs if h < part["h"][0].as_py()]
+                low[i, : len(before)] = before
+            for a, b in block_pairs(part["k"].to_numpy(), part["n"].to_numpy().astype(np.int64), part["part"].to_numpy(), points, percent, low):
+                found.append((min(a, b), max(a, b)))
+                if len(found) == 1 << 16:
+                    yield _pairs(found)
+                    found = []
+            if found:
+                yield _pairs(found)
+
     prefixes = texts.select("text").mapInArrow(index, "h long, k long, n int")
     shared = materialise(prefixes.repartition("h").sortWithinPartitions("h", "k").mapInArrow(meet, "h long, k long, n int"), "shared")
-    needed = materialise(shared.select("k").distinct(), "needed")
     classes = materialise(rows.where("k is not null").groupBy("k").agg(F.min("id").alias("rep")), "classes")
+    needed = materialise(shared.select("k").distinct(), "needed")
     read = _reader(texts, rows, classes, needed, words)
-    vectors = _vectors(read, needed, words)
 
     least = shared.groupBy("h").agg(F.min_by(F.struct("k", "n"), "k").alias("a"))
     others = materialise(shared.join(least, "h").where("k <> a.k"), "others")  # a block of two has one other: its star is all of it
-    stars = others.where("100 * least(n, a.n) >= %d * greatest(n, a.n)" % percent).select(F.col("a.k").alias("a"), F.col("k").alias("b")).distinct()
-    links = materialise(_verify(stars, vectors, read, words, percent), "links")
+    release(shared)
+    stars = materialise(others.where(f"100 * least(n, a.n) >= {percent} * greatest(n, a.n)").select(F.col("a.k").alias("a"), F.col("k").alias("b")).distinct(), "stars")
+    vectors = _vectors(read, needed, words)
+    close = _near(stars, vectors, percent)
+    links = materialise(_verified(close, read, words, percent), "links")
+    release(close)
     parts = components(links)
     joined = others.join(parts, F.col("k") == F.col("node"), "left").select("h", "k", "n", F.coalesce("component", "k").alias("part"))
-    about = joined.groupBy("h").agg(F.min("part").alias("p"), F.max("part").alias("q"), F.sum(F.xxhash64("k").cast("decimal(38,0)")).alias("sig"), F.count(F.lit(1)).alias("m"))
-    open_ = about.where("p <> q").groupBy("sig", "m").agg(F.min("h").alias("h")).select("h")  # blocks of equal classes are one
-    left = materialise(joined.join(open_, "h"), "open")
+    about = joined.groupBy("h").agg(F.min("part").alias("p"), F.max("part").alias("q"))
+    open_ = about.where("p <> q").select("h")  # those without their least class: its pairs are all tried
+    left = narrowed(joined.join(open_, "h").select("h", "k", "n", "part", F.array("h").alias("path")))
+    release(others)
+    for more in range(1, DEEPER + 1):
+        big = materialise(left.groupBy("h").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > block).select("h"), "big")
+        if big.isEmpty():
+            break
+        finer = read(left.join(big, "h", "left_semi").drop("h")).mapInArrow(again(more), BLOCK)
+        left = narrowed(left.join(big, "h", "left_anti").unionByName(finer))
     if not left.isEmpty():
         lowest = left.groupBy("k").agg(F.slice(F.array_sort(F.collect_list("h")), 1, EARLIER).alias("low"))  # bounded by a text's prefix
-        left = _dealt(left.join(lowest, "k"), block)
-        placed = left.join(vectors.select(F.col("k").alias("k2"), "vector"), F.col("k") == F.col("k2")).drop("k2")
-
-        def propose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for part in _groups(batches, "g"):
-                points = [np.frombuffer(v, np.uint16) for v in part.column("vector").to_pylist()]
-                found: list[tuple[int, int]] = []
-                low = np.zeros((len(points), EARLIER), np.int64)
-                for i, hs in enumerate(part.column("low").to_pylist()):
-                    before = [h for h in hs if h < part["h"][0].as_py()]
-                    low[i, : len(before)] = before
-                for a, b in block_pairs(part["k"].to_numpy(), part["n"].to_numpy().astype(np.int64), part["part"].to_numpy(), points, percent, low):
-                    found.append((min(a, b), max(a, b)))
-                    if len(found) == 1 << 16:
-                        yield _pairs(found)
-                        found = []
-                if found:
-                    yield _pairs(found)
-
+        placed = _dealt(left.join(lowest, "k"), block).join(vectors, "k")
         more = placed.repartition("g").sortWithinPartitions("g").mapInArrow(propose, "a long, b long").distinct()
         tried = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        links = materialise(links.unionByName(_verify(more.join(tried, ["a", "b"], "left_anti"), vectors, read, words, percent)), "links")
+        close = materialise(more.join(tried, ["a", "b"], "left_anti"), "proposed")
+        links = materialise(links.unionByName(_verified(close, read, words, percent)), "links")
         parts = components(links)
+    release(vectors, stars, needed, left)
     named = classes.join(parts, F.col("k") == F.col("node"), "left").select("k", "rep", F.coalesce("component", "k").alias("part"))
     low = named.groupBy("part").agg(F.min("rep").alias("component_id"))
     answer = named.join(low, "part").select("k", "component_id")
@@ -367,32 +453,47 @@ def _vectors(read: Callable[[DataFrame], DataFrame], needed: DataFrame, words: i
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, hi, data, offs in text_blocks(batch, "text"):
-                vectors = [count_vector(s, groups_for(len(s))).tobytes() for s in shingle_sets(data, offs, words)]
+                vectors = [count_vector(s, groups_for(len(s))) for s in shingle_sets(data, offs, words)]
                 yield pa.RecordBatch.from_arrays([batch.column("k").slice(lo, hi - lo), pa.array(vectors, pa.binary())], ["k", "vector"])
 
     return materialise(read(needed).select("k", "text").mapInArrow(run, "k long, vector binary"), "vectors")
 
 
-def _verify(pairs: DataFrame, vectors: DataFrame, read: Callable[[DataFrame], DataFrame], words: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose whole sets reach the similarity.
+def _led(pairs: DataFrame) -> DataFrame:
+    """Pairs (a, b) as rows (a, slot, k): a's partners in groups of about ``GROUP``, each with a itself too, so none grows with a's partners."""
+    cuts = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / GROUP).alias("cuts"))
+    dealt = pairs.join(cuts, "a").select("a", F.pmod(F.xxhash64("b"), "cuts").cast("int").alias("slot"), F.col("b").alias("k"))
+    partners = materialise(dealt, "partners")
+    return partners.unionByName(partners.select("a", "slot", F.col("a").alias("k")).distinct())
 
-    Texts are read only for pairs that vectors don't rule out. Those of a's partners b come to a, in groups of about
-    ``GROUP`` that each get a's text too, so no group grows with the partners of one class.
-    """
 
-    def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _in_order(rows: DataFrame) -> DataFrame:
+    """Groups together, in each a itself before its partners."""
+    return rows.repartition("a", "slot").sortWithinPartitions("a", "slot", F.col("a") != F.col("k"))
+
+
+def _near(pairs: DataFrame, vectors: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that count vectors don't rule out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lead = np.zeros(0, np.uint8)
         for batch in batches:
-            ok = []
-            for p, q in zip(*(batch.column(c).to_pylist() for c in ("x", "y")), strict=True):
-                v, w = np.frombuffer(p, np.uint16), np.frombuffer(q, np.uint16)
-                both = int(v.sum(dtype=np.int64) + w.sum(dtype=np.int64))
-                g = min(len(v), len(w))
-                common = int(np.minimum(fold(v[None], g), fold(w[None], g)).sum(dtype=np.int64))
-                ok.append((100 + percent) * common >= percent * both)
-            yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+            a, k = (batch.column(c).to_numpy() for c in ("a", "k"))
+            ok = np.zeros(len(a), bool)
+            for i, v in enumerate(batch.column("vector").to_pylist()):
+                if a[i] == k[i]:
+                    lead = point(v)
+                else:
+                    ok[i] = may_reach(lead, point(v), percent)
+            yield pa.RecordBatch.from_arrays([pa.array(a[ok]), pa.array(k[ok])], ["a", "b"])
+
+    return materialise(_in_order(_led(pairs).join(vectors, "k")).select("a", "k", "vector").mapInArrow(run, "a long, b long"), "near")
+
+
+def _verified(pairs: DataFrame, read: Callable[[DataFrame], DataFrame], words: int, percent: int) -> DataFrame:
+    """The pairs (a, b) whose whole sets reach the similarity."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows (a, k, text) in order of group and, within one, a itself before its partners."""
         lead = np.zeros(0, np.uint64)
         for batch in batches:
             for lo, hi, data, offs in text_blocks(batch, "text"):
@@ -405,15 +506,7 @@ def _verify(pairs: DataFrame, vectors: DataFrame, read: Callable[[DataFrame], Da
                         ok[i] = verified(lead, s, percent)
                 yield pa.RecordBatch.from_arrays([pa.array(a[ok]), pa.array(k[ok])], ["a", "b"])
 
-    left, right = (vectors.select(F.col("k").alias(i), F.col("vector").alias(o)) for i, o in (("a", "x"), ("b", "y")))
-    met = pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y")
-    near = materialise(met.mapInArrow(bound, "a long, b long"), "near")
-    cuts = near.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / GROUP).alias("cuts"))
-    dealt = near.join(cuts, "a").withColumn("slot", F.pmod(F.xxhash64("b"), "cuts").cast("int"))
-    leads = dealt.select("a", "slot", F.col("a").alias("k")).distinct()
-    texts = read(dealt.select("a", "slot", F.col("b").alias("k")).unionByName(leads))
-    ordered = texts.repartition("a", "slot").sortWithinPartitions("a", "slot", F.col("a") != F.col("k"))
-    return ordered.select("a", "k", "text").mapInArrow(run, "a long, b long")
+    return _in_order(read(_led(pairs))).select("a", "k", "text").mapInArrow(run, "a long, b long")
 
 
 def op9_ngram_join(spark, sf_dir):

@@ -119,7 +119,7 @@ def brute_ngrams(texts):
     return {i: (len(s), find(i)) for i, s in enumerate(sets)}
 
 
-@pytest.mark.parametrize("block,often", [(8192, 4), (3, 1)])
+@pytest.mark.parametrize("block,often", [(8192, 4), (3, 1), (12, 4)])
 def test_ngram_join(spark, block, often):
     rng = random.Random(8)
     texts = corpus(4)
@@ -145,12 +145,27 @@ def test_rtree_never_loses():
     sets = [np.unique(rng.integers(0, 1 << 62, int(rng.integers(30, 60)), dtype=np.uint64)) for _ in range(60)]
     sets += [np.unique(np.concatenate([s[: len(s) - 3], rng.integers(0, 1 << 62, 2, dtype=np.uint64)])) for s in sets[:30]]
     keys, sizes = np.arange(len(sets)), np.asarray(list(map(len, sets)))
-    vectors = [ngram_join.count_vector(s, ngram_join.groups_for(len(s))) for s in sets]
+    vectors = [ngram_join.point(ngram_join.count_vector(s, ngram_join.groups_for(len(s)))) for s in sets]
     found = {tuple(sorted(p)) for p in ngram_join.block_pairs(keys, sizes, keys, vectors, 75)}
     want = {(a, b) for a, b in itertools.combinations(range(len(sets)), 2) if ngram_join.verified(sets[a], sets[b], 75)}
     assert want <= found and len(found) < len(sets) ** 2 / 8
 
 
+def test_counts_beyond_a_byte():
+    s = np.arange(0, 16 * 300, 16, dtype=np.uint64)  # one group holds all 300
+    v = ngram_join.point(ngram_join.count_vector(s, 16))
+    assert v[0] == 300 and v.sum() == 300 and ngram_join.may_reach(v, v, 100)
+
+
+def test_reachable():
+    rng = np.random.default_rng(3)
+    for _ in range(50):
+        n = int(rng.integers(1, 9))
+        parts, sizes = rng.integers(0, 3, n), rng.integers(1, 12, n)
+        want = [any(parts[i] != parts[j] and 100 * min(sizes[i], sizes[j]) >= 75 * max(sizes[i], sizes[j]) for j in range(n)) for i in range(n)]
+        assert ngram_join.reachable(parts, sizes, 75).tolist() == want
+
+
 def test_embeddings(spark):
     rng = np.random.default_rng(1)
     x = rng.normal(size=(300, 16))
