@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, mix, prefix_sums, span_hashes, table, text_blocks, text_column
+from .common import materialise, mix, prefix_sums, release, span_hashes, table, text_blocks, text_column
 
 LENGTH, GRAM = 400, 64
 #: bytes of segments in one suffix array, and of one anchor's segments in one task
@@ -83,35 +83,37 @@ def runs(data: np.ndarray, offs: np.ndarray, length: int, gram: int, salt: int =
 # ------------------------------------------------------------------ one shard
 
 class Shard:
-    """Suffix array of concatenated segments, with common prefixes up to ``length``."""
+    """Suffix array of concatenated segments; ``mask``: per position, is the window there equal to another one here."""
 
     def __init__(self, segments: list[bytes], length: int):
         self.length = length
         self.lens = np.fromiter(map(len, segments), np.int64, len(segments))
         self.begin = np.cumsum(self.lens + 1) - self.lens - 1
-        text = np.zeros(int((self.lens + 1).sum()) + 8, np.uint64)  # bytes are 1..256; 0 ends a segment
-        body = np.frombuffer(b"\0".join(segments) + b"\0", np.uint8).astype(np.uint64) + np.uint64(1)
-        body[self.begin + self.lens] = 0
-        text[: len(body)] = body
-        self.size = len(body)
-        key = np.zeros(self.size, np.uint64)
+        self.size = n = int((self.lens + 1).sum())
+        text = np.zeros(n + 8, np.uint16)  # bytes are 1..256; 0 ends a segment
+        text[:n] = np.frombuffer(b"\0".join(segments) + b"\0", np.uint8)
+        text[:n] += 1
+        text[self.begin + self.lens] = 0
+        self.key = np.zeros(n + self.length + 8, np.uint64)
+        key = self.key[:n]
         for k in range(7):  # seven letters of nine bits
-            key = (key << np.uint64(9)) | text[k : k + self.size]
-        self.key = np.append(key, np.zeros(self.length + 8, np.uint64))
-        self.array, self.rank = self._refine(key)
-        self.room = np.repeat(self.lens, self.lens + 1) - (np.arange(self.size) - np.repeat(self.begin, self.lens + 1))
-        self.common = self._kasai()
+            key <<= np.uint64(9)
+            key |= text[k : k + n]
+        self.array = self._refine(key)
+        self.mask = self._repeated(self._kasai())
 
-    def _refine(self, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def _refine(self, key: np.ndarray) -> np.ndarray:
         """Larsson-Sadakane: sorts tied groups by the rank h further on until h covers the length."""
         n = len(key)
-        array = np.argsort(key, kind="stable")
+        array = np.argsort(key, kind="stable").astype(np.int32)
         ordered = key[array]
         new = np.ones(n, bool)
         new[1:] = ordered[1:] != ordered[:-1]
-        group = np.flatnonzero(new)[np.cumsum(new) - 1]  # a group's number is where it begins
-        rank = np.empty(n, np.int64)
+        del ordered
+        group = np.flatnonzero(new).astype(np.int32)[np.cumsum(new, dtype=np.int32) - 1]  # a group's number is where it begins
+        rank = np.empty(n, np.int32)
         rank[array] = group
+        del group
         h = 7
         while h < self.length:
             tied = ~new
@@ -122,7 +124,7 @@ class Shard:
             who = array[tied]
             ahead = who + h
             then = np.where(ahead < n, rank[np.minimum(ahead, n - 1)] + 1, 0)
-            order = np.argsort(rank[who] * (n + 2) + then, kind="stable")
+            order = np.argsort(rank[who].astype(np.int64) * (n + 2) + then, kind="stable")
             who, then = who[order], then[order]
             array[tied] = who
             mine = rank[who]
@@ -132,17 +134,17 @@ class Shard:
             begins = tied[split]
             rank[who] = begins[np.cumsum(split) - 1]
             h *= 2
-        return array, rank
+        return array
 
     def _kasai(self) -> np.ndarray:
-        """Common prefix of each suffix that starts a window with the one before it, up to ``length``; 0 for others.
+        """Per suffix that starts a window: has it ``length`` letters in common with the one before it in the array.
 
         Every segment is a lane of its own.
         """
-        place = np.empty(self.size, np.int64)
-        place[self.array] = np.arange(self.size)
-        before = np.where(place > 0, self.array[np.maximum(place - 1, 0)], -1)
-        out = np.zeros(self.size, np.int64)
+        place = np.empty(self.size, np.int32)
+        place[self.array] = np.arange(self.size, dtype=np.int32)
+        before = np.where(place > 0, self.array[np.maximum(place - 1, 0)], np.int32(-1))
+        out = np.zeros(self.size, bool)
         fits = np.maximum(0, self.lens - self.length + 1)
         lanes = np.argsort(-fits, kind="stable")
         at, h, left = self.begin[lanes].copy(), np.zeros(len(lanes), np.int64), fits[lanes]
@@ -170,21 +172,17 @@ class Shard:
                 todo = todo[same]
                 todo = todo[hh[todo] < self.length]
             h[:live] = hh
-            out[i] = np.minimum(hh, self.length)
+            out[i] = hh >= self.length
         return out
 
-    def windows(self) -> np.ndarray:
-        """Positions where a whole window fits into its segment."""
-        return np.flatnonzero(self.room >= self.length)
-
-    def repeated(self) -> np.ndarray:
-        """Per position: is the window there equal to another window of this shard."""
-        ok = (self.common >= self.length)[self.array] & (self.room >= self.length)[self.array]
+    def _repeated(self, common: np.ndarray) -> np.ndarray:
+        fits = np.repeat(self.lens, self.lens + 1) - (np.arange(self.size) - np.repeat(self.begin, self.lens + 1)) >= self.length
+        ok = (common & fits)[self.array]
         out = np.zeros(self.size, bool)
         both = ok.copy()
         both[:-1] |= ok[1:]
         out[self.array] = both
-        return out & (self.room >= self.length)
+        return out & fits
 
     def holds(self, other: Shard, at: np.ndarray) -> np.ndarray:
         """Which of another shard's windows stand here too: binary search in the suffix array, seven letters a step."""
@@ -237,7 +235,7 @@ def repeated_windows(groups: list[tuple[int, list[bytes], list[int]]], length: i
     for part in parts:
         if part:
             made = Shard([groups[g][1][s] for g, s, _ in part], length)
-            built.append((made, part, made.repeated()))
+            built.append((made, part, made.mask))
     for x, (one, part, mask) in enumerate(built):
         here = {g for g, _, _ in part}
         for y, (two, other, _) in enumerate(built):
@@ -380,6 +378,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, shar
 
     named = docs.join(per_row, "row").mapInArrow(name, "row long, first int, windows int, key long, content binary")
     pieces = materialise(named.withColumn("piece", F.monotonically_increasing_id()), "pieces")
+    release(anchors, busy)
     contents = materialise(pieces.groupBy("key", "content").agg(F.count(F.lit(1)).alias("n"), F.min("piece").alias("piece")), "contents")
     per_key = contents.groupBy("key").agg((F.count(F.lit(1)) == 1).alias("only"))
     known = contents.join(per_key, "key").withColumn("whole", F.col("only") & (F.col("n") > 1))  # an anchor's only content, several times
@@ -443,4 +442,5 @@ def _removed(rows: DataFrame, windows: DataFrame, length: int) -> DataFrame:
 
 
 def op8_suffix_dedup(spark, sf_dir):
-    return suffix_dedup(table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    kept = F.make_valid_utf8(F.col("kept").cast("string"))  # a character that a cut splits becomes U+FFFD
+    return suffix_dedup(table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"), kept.alias("text"))
