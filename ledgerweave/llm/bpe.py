@@ -15,14 +15,17 @@ import re
 import tempfile
 from collections import Counter
 from collections.abc import Iterator
+from heapq import heapify, heappop, heappush
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table, text_blocks
+from .common import table, text_blocks, text_column
 
 LEXICON_WORDS = 1 << 15
 SPECIAL = "<|endoftext|>"
@@ -104,28 +107,28 @@ class Lexicon:
     def __len__(self) -> int:
         return len(self.starts) - 2
 
-    def find(self, keys: list[bytes]) -> list[np.ndarray | None]:
-        """Ids of each key, or None; all keys walk the automaton side by side, a byte a step."""
-        n = len(keys)
+    def find(self, data: np.ndarray, offs: np.ndarray) -> np.ndarray:
+        """Rank of each key (bytes between neighbouring offsets), or -1; all keys walk the automaton side by side, a byte a step."""
+        begin, lens = offs[:-1], np.diff(offs)
+        state, rank = np.full(len(lens), self.starts[-1]), np.zeros(len(lens), np.int64)
+        at = np.flatnonzero(lens > 0) if len(self.arcs) else np.zeros(0, np.int64)
+        rank[lens == 0] = -1
         if not len(self.arcs):
-            return [None] * n
-        lens = np.fromiter(map(len, keys), np.int64, n)
-        data = np.frombuffer(b"".join(keys), np.uint8)
-        begin = np.cumsum(lens) - lens
-        state, rank, live = np.full(n, self.starts[-1]), np.zeros(n, np.int64), lens > 0
-        for step in range(int(lens.max(initial=0))):
-            at = np.flatnonzero(live & (lens > step))
-            if not len(at):
-                break
+            rank[:] = -1
+        step = 0
+        while len(at):
             want = state[at] << 8 | data[begin[at] + step]
             arc = np.minimum(np.searchsorted(self.arcs, want), len(self.arcs) - 1)
             hit = self.arcs[arc] == want
-            live[at[~hit]] = False
+            rank[at[~hit]] = -1
             at, arc = at[hit], arc[hit]
             rank[at] += self.outputs[arc]
             state[at] = self.targets[arc]
-        ok = live & (self.final[state] == 1)
-        return [self.ids[self.starts[r] : self.starts[r + 1]] if good else None for r, good in zip(rank, ok, strict=True)]
+            step += 1
+            ended = lens[at] == step
+            rank[at[ended & (self.final[state[at]] == 0)]] = -1
+            at = at[~ended]
+        return rank
 
     def pack(self) -> bytes:
         arrays = [np.ascontiguousarray(getattr(self, name), kind) for name, kind in self.KINDS.items()]
@@ -149,53 +152,118 @@ class Lexicon:
 
 # ------------------------------------------------------------------ exact merging
 
+NONE = np.iinfo(np.int32).max
+
+
 class Vocabulary:
     """Merge ranks and ids of a byte-level BPE file in the tokenizers library's JSON format."""
 
+    #: longer words are merged one by one with a heap, others side by side
+    LONG = 64
+
     def __init__(self, text: str):
         spec = json.loads(text)
         model, letters = spec["model"], byte_letters()
         back = {c: b for b, c in letters.items()}
         raw = lambda token: bytes(back[c] for c in token)
-        self.id_of = {raw(t): i for t, i in model["vocab"].items() if all(c in back for c in t)}
-        pairs = (m if isinstance(m, list) else m.split(" ") for m in model["merges"])
-        self.rank = {(raw(a), raw(b)): r for r, (a, b) in enumerate(pairs)}
-        self.bytes_of = {i: t for t, i in self.id_of.items()}
+        id_of = {raw(t): i for t, i in model["vocab"].items() if all(c in back for c in t)}
+        self.bytes_of = {i: t for t, i in id_of.items()}
         self.special = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
         self.bytes_of.update({i: t.encode() for t, i in self.special.items()})
+        self.size = max(self.bytes_of, default=0) + 1
+        pairs = [(raw(a), raw(b)) for a, b in (m if isinstance(m, list) else m.split(" ") for m in model["merges"])]
+        left, right = (np.asarray([id_of[p[k]] for p in pairs], np.int64) for k in (0, 1))
+        self.made = np.asarray([id_of[a + b] for a, b in pairs], np.int32)  # by rank
+        key = left * self.size + right
+        order = np.argsort(key)
+        self.keys, self.rank = key[order], order.astype(np.int32)
+        self.letters = np.asarray([id_of[bytes([b])] for b in range(256)], np.int32)
+        self.first = self.ranks(np.repeat(self.letters, 256), np.tile(self.letters, 256)).reshape(256, 256)
+
+    def ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Rank of each pair of ids, NONE for those that aren't merged."""
+        if not len(self.keys):
+            return np.full(len(left), NONE, np.int32)
+        key = left.astype(np.int64) * self.size + right
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where(self.keys[at] == key, self.rank[at], NONE).astype(np.int32)
+
+    def merge_all(self, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all words, number of each word's) - the lowest-ranked neighbouring pair joins first, the leftmost of equals.
+
+        Words of one present length are a matrix of ids; each step joins one pair in each and makes all one shorter.
+        """
+        lens = np.diff(offs)
+        done: list[tuple[np.ndarray, np.ndarray]] = []
+        for w in np.flatnonzero(lens > self.LONG).tolist():
+            done.append((np.asarray([w]), np.asarray([self.merge(data[offs[w] : offs[w + 1]].tobytes())], np.int32)))
+        short = np.where(lens > self.LONG, 0, lens)
+        who, ids, ranks = np.zeros(0, np.int64), np.zeros((0, 0), np.int32), np.zeros((0, 0), np.int32)
+        for n in range(int(short.max(initial=0)), 0, -1):
+            fresh = np.flatnonzero(short == n)
+            raw = data[offs[fresh][:, None] + np.arange(n)]
+            ids = np.concatenate([ids.reshape(len(who), n), self.letters[raw]])
+            ranks = np.concatenate([ranks.reshape(len(who), n - 1), self.first[raw[:, :-1], raw[:, 1:]]])
+            who = np.concatenate([who, fresh])
+            if n == 1 or not len(who):
+                done.append((who, ids))
+                who = who[:0]
+                ids = ranks = np.zeros((0, 0), np.int32)
+                continue
+            at = ranks.argmin(1)
+            low = ranks[np.arange(len(who)), at]
+            whole = low == NONE
+            done.append((who[whole], ids[whole]))
+            who, ids, ranks, at, low = who[~whole], ids[~whole], ranks[~whole], at[~whole], low[~whole]
+            row, col = np.arange(len(who)), np.arange(n - 1)
+            ids[row, at] = self.made[low]
+            ids = np.take_along_axis(ids, col + (col > at[:, None]), 1)
+            ranks = np.take_along_axis(ranks, col[:-1] + (col[:-1] >= at[:, None]), 1)
+            for shift in (-1, 0):  # the pairs before and after the joined one
+                k = np.flatnonzero((at + shift >= 0) & (at + shift < n - 2))
+                p = at[k] + shift
+                ranks[k, p] = self.ranks(ids[k, p], ids[k, p + 1])
+        count = np.zeros(len(lens), np.int64)
+        for w, found in done:
+            count[w] = found.shape[1]
+        begin = np.cumsum(count) - count
+        out = np.zeros(int(count.sum()), np.int32)
+        for w, found in done:
+            out[begin[w][:, None] + np.arange(found.shape[1])] = found
+        return out, count
 
     def merge(self, word: bytes) -> list[int]:
-        """Joins the lowest-ranked neighbouring pair, leftmost first, until no pair has a rank."""
-        parts = [word[i : i + 1] for i in range(len(word))]
-        while len(parts) > 1:
-            ranks = [self.rank.get(p, 1 << 60) for p in zip(parts, parts[1:], strict=False)]
-            low = min(ranks)
-            if low == 1 << 60:
-                break
-            pair = ranks.index(low)
-            left, right = parts[pair], parts[pair + 1]
-            out, i = [], 0
-            while i < len(parts):
-                if i + 1 < len(parts) and parts[i] == left and parts[i + 1] == right:
-                    out.append(left + right)
-                    i += 2
-                else:
-                    out.append(parts[i])
-                    i += 1
-            parts = out
-        return [self.id_of[p] for p in parts]
+        """Ids of one word of any length: pairs wait in a heap, parts are a linked list."""
+        ids = self.letters[np.frombuffer(word, np.uint8)].tolist()
+        n = len(ids)
+        after, before = [*range(1, n), -1], [-1, *range(n - 1)]
+        first = self.first[np.frombuffer(word[:-1], np.uint8), np.frombuffer(word[1:], np.uint8)].tolist() if n > 1 else []
+        heap = [(r, i, ids[i], ids[i + 1]) for i, r in enumerate(first) if r != NONE]
+        heapify(heap)
+        rank_of = dict(zip(self.keys.tolist(), self.rank.tolist(), strict=True))
+        while heap:
+            r, i, a, b = heappop(heap)
+            j = after[i]
+            if ids[i] != a or j < 0 or ids[j] != b:
+                continue
+            ids[i], ids[j], after[i] = int(self.made[r]), -1, after[j]
+            if after[i] >= 0:
+                before[after[i]] = i
+            for x, y in ((before[i], i), (i, after[i])):
+                if x >= 0 and y >= 0 and (q := rank_of.get(ids[x] * self.size + ids[y])) is not None:
+                    heappush(heap, (q, x, ids[x], ids[y]))
+        return [i for i in ids if i >= 0]
 
 
 class Coder:
-    """Encodes and decodes texts with a vocabulary and a lexicon; remembers a bounded number of words."""
+    """Encodes and decodes texts with a vocabulary and a lexicon."""
 
-    KEEP = 400_000
     _held: dict[bytes, Coder] = {}
 
     def __init__(self, vocabulary: str, packed: bytes):
         self.vocabulary, self.lexicon = Vocabulary(vocabulary), Lexicon.map(packed)
-        self.ids: dict[str, str] = {}
-        self.decoded: dict[str, bytes] = {}
+        self.decimal = pa.array([f"{i}," for i in range(self.vocabulary.size)], pa.large_string())
+        self.raw = pa.array([self.vocabulary.bytes_of.get(i, b"") for i in range(self.vocabulary.size)], pa.large_binary())
 
     @classmethod
     def of(cls, vocabulary: str, packed: bytes) -> Coder:
@@ -206,45 +274,62 @@ class Coder:
             cls._held[key] = cls(vocabulary, packed)
         return cls._held[key]
 
-    def learn(self, new: list[str]) -> None:
-        if len(self.ids) + len(new) > self.KEEP:
-            self.ids.clear()
-            self.decoded.clear()
-        raw = [w.encode("utf-8", "replace") for w in new]
-        for word, key, found in zip(new, raw, self.lexicon.find(raw), strict=True):
-            ids = self.vocabulary.merge(key) if found is None else found.tolist()
-            self.ids[word] = ",".join(map(str, ids))
-            self.decoded[word] = b"".join([self.vocabulary.bytes_of[i] for i in ids])
-
-    def encode(self, texts: list[str]) -> list[tuple[int, str, bytes]]:
+    def ids(self, words_: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all words, number of each word's): from the lexicon, merged exactly where it lacks a word."""
+        data, offs = text_column(words_)
+        rank = self.lexicon.find(data, offs)
+        for word, i in self.vocabulary.special.items():
+            rank[pc.equal(words_, word).to_numpy(zero_copy_only=False)] = -2 - i
+        missing = np.flatnonzero(rank == -1)
+        lacked = text_column(words_.take(pa.array(missing)))
+        merged, many = self.vocabulary.merge_all(*lacked)
+        hit = np.flatnonzero(rank >= 0)
+        count = np.ones(len(rank), np.int64)
+        count[missing], count[hit] = many, np.diff(self.lexicon.starts[:-1])[rank[hit]]
+        begin = np.cumsum(count) - count
+        out = np.empty(int(count.sum()), np.int32)
+        out[begin[rank < -1]] = -2 - rank[rank < -1]
+        out[ranges(begin[missing], many)] = merged
+        out[ranges(begin[hit], count[hit])] = self.lexicon.ids[ranges(self.lexicon.starts[rank[hit]], count[hit])]
+        return out, count
+
+    def encode(self, texts: list[str]) -> list[tuple[int, bytes, bytes]]:
         """(number of ids, decimal ids joined by commas, bytes of the decoded ids) of each text."""
         split = [[w for part in self._parts(t) for w in ([part] if part in self.vocabulary.special else words(part))] for t in texts]
-        known = {w for s in split for w in s}
-        self.learn_all(known)
+        ends = np.cumsum([0, *map(len, split)])
+        coded = pa.array(list(chain.from_iterable(split)), pa.large_string()).dictionary_encode()
+        distinct, at = coded.dictionary, coded.indices
+        ids, count = self.ids(distinct)
+        ends_of = np.concatenate([[0], np.cumsum(count)])
+        each = np.concatenate([[0], np.cumsum(count[at.to_numpy()])])[ends]
+        said, told = text_column(joined(self.decimal, ids, ends_of).take(at))
+        told = told[ends]
+        spelled = joined(self.raw, ids, ends_of)
+        same = spelled.equals(distinct.cast(pa.large_binary()))  # every word's ids decode to the word, so a text's do to the text
+        back, spans = (None, None) if same else text_column(spelled.take(at))
         out = []
-        for s in split:
-            ids = ",".join(map(self.ids.__getitem__, s))
-            out.append((ids.count(",") + 1 if ids else 0, ids, b"".join(map(self.decoded.__getitem__, s))))
+        for i, t in enumerate(texts):
+            line = said[told[i] : max(told[i], told[i + 1] - 1)].tobytes()
+            out.append((int(each[i + 1] - each[i]), line, t.encode() if same else back[spans[ends[i]] : spans[ends[i + 1]]].tobytes()))
         return out
 
-    def learn_all(self, known: set[str]) -> None:
-        special = self.vocabulary.special
-        new = [w for w in known if w not in self.ids]
-        if len(self.ids) + len(new) > self.KEEP:
-            self.ids.clear()
-            self.decoded.clear()
-            new = list(known)
-        self.learn([w for w in new if w not in special])
-        for w in new:
-            if w in special:
-                self.ids[w], self.decoded[w] = str(special[w]), w.encode()
-
     def _parts(self, text: str) -> list[str]:
         if not any(s in text for s in self.vocabulary.special):
             return [text]
         return re.split("(" + "|".join(map(re.escape, sorted(self.vocabulary.special, key=len, reverse=True))) + ")", text)
 
 
+def ranges(begin: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """begin[0], begin[0] + 1, ... for count[0] numbers, then the same for the next."""
+    return np.repeat(begin - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
+
+
+def joined(spelled: pa.Array, ids: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """What ids spell, joined between neighbouring ends."""
+    data, offs = text_column(spelled.take(pa.array(ids)))
+    return pa.Array.from_buffers(pa.large_binary(), len(ends) - 1, [None, pa.py_buffer(np.ascontiguousarray(offs[ends])), pa.py_buffer(data)])
+
+
 # ------------------------------------------------------------------ in Spark
 
 def frequent_words(docs: DataFrame, limit: int = LEXICON_WORDS, keep: int = 1 << 18) -> list[str]:
@@ -255,8 +340,9 @@ def frequent_words(docs: DataFrame, limit: int = LEXICON_WORDS, keep: int = 1 <<
         for batch in batches:
             for _, _, data, offs in text_blocks(batch, "text"):
                 raw = data.tobytes()
-                for a, b in zip(offs[:-1].tolist(), offs[1:].tolist(), strict=True):
-                    n.update(words(raw[a:b].decode("utf-8", "replace")))
+                found = [words(raw[a:b].decode("utf-8", "replace")) for a, b in zip(offs[:-1].tolist(), offs[1:].tolist(), strict=True)]
+                told = pa.array(list(chain.from_iterable(found)), pa.large_string()).value_counts()
+                n.update(dict(zip(told.field(0).to_pylist(), told.field(1).to_pylist(), strict=True)))
                 floor = 1
                 while len(n) > keep:
                     n = Counter({w: c for w, c in n.items() if c > floor})
@@ -270,7 +356,10 @@ def frequent_words(docs: DataFrame, limit: int = LEXICON_WORDS, keep: int = 1 <<
 
 def build_lexicon(vocabulary: str, found: list[str]) -> Lexicon:
     spec = Vocabulary(vocabulary)
-    return Lexicon.build({w.encode("utf-8", "replace"): spec.merge(w.encode("utf-8", "replace")) for w in found if w not in spec.special})
+    plain = [w.encode("utf-8", "replace") for w in found if w not in spec.special]
+    ids, count = spec.merge_all(*text_column(pa.array(plain, pa.large_binary())))
+    ends = np.cumsum(count).tolist()
+    return Lexicon.build({w: ids[end - n : end].tolist() for w, end, n in zip(plain, ends, count.tolist(), strict=True)})
 
 
 def encode_column(docs: DataFrame, vocabulary: str, lexicon: Lexicon, digests: bool = False) -> DataFrame:
@@ -281,11 +370,11 @@ def encode_column(docs: DataFrame, vocabulary: str, lexicon: Lexicon, digests: b
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = Coder.of(*shared.value)
         for batch in batches:
-            for lo, hi, data, offs in text_blocks(batch, "text"):
+            for lo, hi, data, offs in text_blocks(batch, "text", 1 << 21):
                 raw = data.tobytes()
                 got = coder.encode([raw[a:b].decode("utf-8", "replace") for a, b in zip(offs[:-1].tolist(), offs[1:].tolist(), strict=True)])
                 plain = [d.decode("utf-8", "replace") for _, _, d in got]
-                ids = pa.array([sha(i.encode()) for _, i, _ in got]) if digests else pa.array([[int(x) for x in i.split(",")] if i else [] for _, i, _ in got], pa.list_(pa.int32()))
+                ids = pa.array([sha(i) for _, i, _ in got]) if digests else pa.array([[int(x) for x in i.split(b",")] if i else [] for _, i, _ in got], pa.list_(pa.int32()))
                 text = pa.array([sha(t.encode("utf-8")) for t in plain] if digests else plain, pa.string())
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, hi - lo), pa.array([n for n, _, _ in got], pa.int64()), ids, text], names)
 

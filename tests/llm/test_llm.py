@@ -235,10 +235,36 @@ def test_lexicon_is_minimal_and_exact():
     entries = {("".join(rng.choice("ab") for _ in range(rng.randint(1, 8)))).encode(): [rng.randrange(99) for _ in range(rng.randint(1, 3))] for _ in range(200)}
     lex = bpe.Lexicon.map(bpe.Lexicon.build(entries).pack())
     keys = [bytes(k) for n in range(1, 9) for k in itertools.product(b"abc", repeat=n)]
-    assert all((got is None) == (k not in entries) and (got is None or got.tolist() == entries[k]) for k, got in zip(keys, lex.find(keys), strict=True))
+    find = lambda lex, keys: lex.find(np.frombuffer(b"".join(keys), np.uint8), np.cumsum([0, *map(len, keys)])).tolist()
+    assert all((r < 0) == (k not in entries) and (r < 0 or lex.ids[lex.starts[r] : lex.starts[r + 1]].tolist() == entries[k]) for k, r in zip(keys, find(lex, keys), strict=True))
     tails = bpe.Lexicon.build({w + b"ing": [1] for w in (b"a", b"b", b"cd", b"e")})
     assert len(tails.final) < 4 * 4  # suffixes are shared
-    assert bpe.Lexicon.build({}).find([b"a", b""]) == [None, None]
+    assert find(bpe.Lexicon.build({}), [b"a", b""]) == [-1, -1] and find(lex, [b""]) == [-1]
+
+
+def test_merging_side_by_side():
+    public = pytest.importorskip("public_tokenizers")
+    from tokenizers import Tokenizer
+
+    path = public.path("byte_bpe_50k.json")
+    own, spec = Tokenizer.from_file(path), bpe.Vocabulary(open(path, encoding="utf-8").read())
+    rng = random.Random(4)
+    words = ["", "a", *("".join(rng.choice("aeinorstü日") for _ in range(rng.randint(1, 90))) for _ in range(400)), "no" * 3000]
+    raw = [w.encode() for w in words]
+    ids, count = spec.merge_all(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))
+    ends = np.cumsum(count)
+    for w, r, n, end in zip(words, raw, count, ends, strict=True):
+        want = own.encode(w, add_special_tokens=False).ids
+        assert ids[end - n : end].tolist() == want == (spec.merge(r) if r else []), w
+
+
+def test_bpe_odd_rows(spark):
+    public = pytest.importorskip("public_tokenizers")
+    path = public.path("byte_bpe_50k.json")
+    assert bpe.encode(frame(spark, []), path).count() == 0
+    got = bpe.encode(frame(spark, ["a b", "a b", None, ""], [1, 1, None, 2]), path, digests=True).collect()
+    assert sorted((str(r.doc_id), r.n_tokens) for r in got) == [("1", 2), ("1", 2), ("2", 0), ("None", 0)]
+    assert {r.decoded_sha256 for r in got if r.n_tokens} == {hashlib.sha256(b"a b").hexdigest()}
 
 
 def test_html(spark):
