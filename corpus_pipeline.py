@@ -17,6 +17,8 @@ from ledgerweave.llm.toxicity import clean
 #: several stages decide by similarity over whole corpora; tested against brute force on small fixtures instead
 ORACLE_SQL = None
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+#: bytes of a repeated passage: about fifty words of five letters, shorter than what op8_suffix_dedup's contract fixes
+PASSAGE = 256
 
 
 def _own(docs: DataFrame, decide: Callable[[DataFrame, str], DataFrame], nulls_first: bool) -> DataFrame:
@@ -48,9 +50,9 @@ def ngram_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def suffix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeated passages are cut out; a character that a cut splits becomes U+FFFD. Every document stays, if empty."""
+    """Passages of ``PASSAGE`` bytes or more that repeat are cut out wherever they stand; a character that a cut splits becomes U+FFFD. Every document stays, if empty."""
     text = F.make_valid_utf8(F.col("kept").cast("string"))
-    cut = suffix_dedup(docs, carry=("lang", "source")).withColumn("text", text)
+    cut = suffix_dedup(docs, length=PASSAGE, carry=("lang", "source")).withColumn("text", text)
     return cut.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
