@@ -1,19 +1,19 @@
 """Variable-capacity best-fit packing of documents into training sequences of several permitted lengths.
 
 Documents longer than the largest length are cut into full sequences, each a bin of its own; what is left of every
-document is packed. Shards of a bounded number of documents, dealt by id hash, are packed independently, so a run of
-any size is many equal tasks and no task sees more than about ``per_shard`` rows.
+document is packed. Shards of a bounded number of documents, dealt by row number, are packed independently, so a run of
+any size is many equal tasks and no task sees more than about ``per_shard`` rows, whatever their ids.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import materialise, table
 
 #: permitted sequence lengths, and what a sequence costs besides its length, in tokens
 CAPACITIES, OVERHEAD = (512, 1024, 2048, 4096, 8192), 64
@@ -73,27 +73,30 @@ def _fill(size: int, first: int, to_come: int, left: dict[int, int]) -> int:
 def pack(lengths: DataFrame, capacities: Sequence[int] = CAPACITIES, overhead: int = OVERHEAD, per_shard: int = 16384) -> DataFrame:
     """One row per piece of a document: doc_id, piece, n_tokens, bin, bin_offset, bin_size.
 
-    ``lengths`` has doc_id and n_tokens. Null or no tokens: one row with n_tokens 0 and null bin. Equal lengths are
-    packed in order of id; repeated ids are packed as separate documents; a null id is packed like any other.
+    ``lengths`` has doc_id and n_tokens; other columns are not read. Null or no tokens: one row with n_tokens 0 and null
+    bin. Every row is a document of its own, also if its id is null or repeated, and no two share a bin name by
+    accident: bins are named by row or shard numbers. Equal lengths are packed in order of id, null last.
     """
     most = max(capacities)
-    docs = lengths.select(F.col("doc_id").cast("long").alias("doc_id"), F.greatest(F.coalesce("n_tokens", F.lit(0)), F.lit(0)).cast("long").alias("n"))
+    tokens = F.greatest(F.coalesce("n_tokens", F.lit(0)), F.lit(0)).cast("long")
+    numbered = lengths.select(F.col("doc_id").cast("long").alias("doc_id"), tokens.alias("n")).withColumn("row", F.monotonically_increasing_id())
+    docs = materialise(numbered, "lengths")  # texts are read once, and row numbers stay
     shards = max(1, -(-docs.count() // per_shard))
     full = docs.where(F.col("n") >= most).withColumn("piece", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"n div {most} - 1"))))
-    name = F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.col("piece").cast("string"))
+    name = F.format_string("d%d-%d", "row", "piece")
     whole = full.select("doc_id", "piece", F.lit(most).cast("long").alias("n_tokens"), name.alias("bin"), F.lit(0).cast("long").alias("bin_offset"), F.lit(most).cast("long").alias("bin_size"))
     none = F.lit(None)
     empty = docs.where("n = 0").select("doc_id", F.lit(0).cast("long").alias("piece"), F.col("n").alias("n_tokens"), none.cast("string").alias("bin"), none.cast("long").alias("bin_offset"), none.cast("long").alias("bin_size"))
-    rest = docs.select("doc_id", F.expr(f"n div {most}").alias("piece"), (F.col("n") % most).alias("n_tokens")).where("n_tokens > 0")
-    rest = rest.withColumn("shard", F.pmod(F.xxhash64("doc_id"), F.lit(shards)))
+    rest = docs.select("doc_id", "row", F.expr(f"n div {most}").alias("piece"), (F.col("n") % most).alias("n_tokens")).where("n_tokens > 0")
+    rest = rest.withColumn("shard", F.pmod(F.xxhash64("row"), F.lit(shards)))
 
-    def one(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["doc_id", "piece", "n_tokens"], kind="stable")
-        at, offset, size = best_fit(rows["n_tokens"].tolist(), capacities, overhead)
-        shard = int(rows["shard"].iloc[0])
-        return rows.assign(bin=[f"s{shard}-{b}" for b in at], bin_offset=offset, bin_size=[size[b] for b in at])[["doc_id", "piece", "n_tokens", "bin", "bin_offset", "bin_size"]]
+    def one(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by([("doc_id", "ascending"), ("row", "ascending")])
+        at, offset, size = best_fit(rows["n_tokens"].to_pylist(), capacities, overhead)
+        shard = rows["shard"][0].as_py()
+        return rows.select(["doc_id", "piece", "n_tokens"]).append_column("bin", pa.array([f"s{shard}-{b}" for b in at], pa.string())).append_column("bin_offset", pa.array(offset, pa.int64())).append_column("bin_size", pa.array([size[b] for b in at], pa.int64()))
 
-    return rest.groupBy("shard").applyInPandas(one, SCHEMA).unionByName(whole).unionByName(empty)
+    return rest.groupBy("shard").applyInArrow(one, SCHEMA).unionByName(whole).unionByName(empty)
 
 
 def word_lengths(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
