@@ -78,71 +78,107 @@ class Index:
         return [np.flatnonzero(row <= margin) for row in depth]
 
 
-def unit(raw: list[bytes]) -> np.ndarray:
-    x = np.stack([np.frombuffer(v, np.float32) for v in raw]).astype(np.float64)
+def unit(raw: list[bytes], width: int) -> np.ndarray:
+    """Unit vectors in double precision; scaled first, so no square overflows."""
+    x = np.stack([np.frombuffer(v, np.float32 if len(v) == 4 * width else np.float64) for v in raw]).astype(np.float64)
+    x /= np.abs(x).max(1)[:, None]
     return x / np.sqrt((x * x).sum(1))[:, None]
 
 
 def vectors(df: DataFrame, id_col: str, vec_col: str) -> DataFrame:
-    """(id, vec, digest): float32 bytes and their SHA-256; both null for vectors that link with nothing."""
+    """(id, vec, width, node): float32 bytes if those hold the vector exactly, else float64; node is 128 bits of their SHA-256.
+
+    All but id are null for vectors that link with nothing.
+    """
 
     def clean(batches):
         for batch in batches:
-            raw = []
-            for v in batch.column(1).to_pylist():
-                x = None if v is None or not v or any(c is None for c in v) else np.asarray(v, np.float32)
-                raw.append(x.tobytes() if x is not None and np.isfinite(x).all() and x.any() else None)
-            sha = [None if r is None else hashlib.sha256(r).digest() for r in raw]
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(raw, pa.binary()), pa.array(sha, pa.binary())], ["id", "vec", "digest"])
-
-    floats = F.col(vec_col).cast("array<float>")
-    return df.select(F.col(id_col).cast("long").alias("id"), floats.alias("v")).mapInArrow(clean, "id long, vec binary, digest binary")
+            v = batch.column(1)
+            flat = v.values.to_numpy(zero_copy_only=False).astype(np.float64, copy=False)  # null components become NaN
+            begin, end = v.offsets.to_numpy()[:-1], v.offsets.to_numpy()[1:]
+            known = v.is_valid().to_numpy(zero_copy_only=False)
+            raw: list[bytes | None] = []
+            for ok, a, b in zip(known.tolist(), begin.tolist(), end.tolist(), strict=True):
+                x = flat[a:b] if ok else flat[:0]
+                if len(x) and np.isfinite(x).all() and x.any():
+                    with np.errstate(over="ignore"):
+                        short = x.astype(np.float32)
+                    raw.append((short if (short == x).all() else x).tobytes())
+                else:
+                    raw.append(None)
+            width = [None if r is None else b - a for r, a, b in zip(raw, begin.tolist(), end.tolist(), strict=True)]
+            node = [None if r is None else hashlib.sha256(b"%d:" % w + r).digest()[:16] for r, w in zip(raw, width, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(raw, pa.binary()), pa.array(width, pa.int32()), pa.array(node, pa.binary())], ["id", "vec", "width", "node"])
+
+    wide = F.col(vec_col).cast("array<double>")
+    return df.select(F.col(id_col).cast("long").alias("id"), wide.alias("v")).mapInArrow(clean, "id long, vec binary, width int, node binary")
 
 
 def near_dedup(
-    df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", threshold: float = 0.95, lists: int | None = None, subspaces: int = 8, codewords: int = 64, sample: int = 16384, margin: float = 0.12, chunk: int = 4096
+    df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", threshold: float = 0.95, lists: int | None = None, subspaces: int = 8, codewords: int = 64, sample: int = 16384, margin: float | None = None, chunk: int = 4096
 ) -> DataFrame:
     """One row per vector: id, n_links, component_id, kept.
 
     Equal vectors are one class before anything is compared, so a vector that a third of the rows repeat is one point
     with a weight; its copies are linked with each other and with all that the point is linked with. Null, zero, empty,
-    null-holding and non-finite vectors, and those shorter or longer than most, link with nothing: n_links 0, their own
-    component, kept. Null ids are answered like any other. A list of more than ``chunk`` classes is searched in chunks
-    by different tasks. Other columns are not read.
+    null-holding and non-finite vectors link with nothing: n_links 0, their own component, kept. Vectors of one width
+    are compared with each other, each width by an index of its own (the driver loops over the widths that occur). Null
+    ids are answered like any other. A list of more than ``chunk`` classes is searched in chunks by different tasks.
+    Other columns are not read.
+
+    ``margin`` is how far beyond its own cell a query looks: three deviations of the offset that a link at the threshold
+    has along one direction, and never more than that offset itself, so vectors of up to nine components lose nothing.
+    A link that only one of its ends finds joins both and counts for the end that found it.
     """
-    spark = df.sparkSession
     rows = materialise(vectors(df, id_col, vec_col), "vectors")
-    width = rows.where("vec is not null").groupBy(F.length("vec").alias("n")).count().orderBy(F.desc("count"), "n").first()
-    blank = rows.select(F.col("id").alias(id_col), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.lit(True).alias("kept"))
-    if width is None:
-        return blank
-    rows = rows.withColumn("digest", F.when(F.length("vec") == width.n, F.col("digest")))
-    classes = materialise(rows.where("digest is not null").groupBy("digest").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("w"), F.first("vec").alias("vec")).withColumn("k", F.xxhash64("digest")), "classes")
-    total = classes.count()
-    fitted = classes.orderBy("k").limit(sample).select("vec").collect()  # at most `sample` vectors
-    index = spark.sparkContext.broadcast(Index.fit(unit([r.vec for r in fitted]), lists or min(1024, max(8, math.isqrt(total))), subspaces, codewords))
+    classes = materialise(rows.where("node is not null").groupBy("node").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("w"), F.first("width").alias("width"), F.first("vec").alias("vec")), "classes")
+    widths = [(r.width, r["count"]) for r in classes.groupBy("width").count().orderBy("width").collect()]
     reach = math.sqrt(max(0.0, 2 - 2 * threshold))
+    found = None
+    for width, total in widths:
+        own = classes.where(F.col("width") == width).select("node", "w", "vec")
+        margin_ = reach * min(1.0, 3 / math.sqrt(width)) if margin is None else margin
+        some = _search(own, width, total, threshold, reach, lists, subspaces, codewords, sample, margin_, chunk)
+        found = some if found is None else found.unionByName(some)
+    if found is None:
+        return rows.select(F.col("id").alias(id_col), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.lit(True).alias("kept"))
+    groups = components(found.where("other is not null").select("node", "other"))
+    named = groups.join(classes.select("node", "rep"), "node", "right").select("node", "rep", F.coalesce("component", "node").alias("component"))
+    roots = named.groupBy("component").agg(F.min("rep").alias("component_id"))
+    counts = found.where("n > 0").groupBy("node").agg(F.sum("n").alias("n"))
+    answers = named.join(roots, "component").join(counts, "node", "left").select("node", "component_id", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
+    per = classes.select("node", "w").join(answers, "node").select("node", "component_id", (F.col("n") + F.col("w") - 1).alias("n_links"))
+    out = rows.select("id", "node").join(per, "node", "left")
+    comp = F.coalesce("component_id", "id")
+    return out.select(F.col("id").alias(id_col), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), comp.alias("component_id"), F.col("id").eqNullSafe(comp).alias("kept"))
+
+
+def _search(classes: DataFrame, width: int, total: int, threshold: float, reach: float, lists: int | None, subspaces: int, codewords: int, sample: int, margin: float, chunk: int) -> DataFrame:
+    """(node, n, other) of classes (node, w, vec) of one width: weights of linked classes, and edges that join them."""
+    spark = classes.sparkSession
+    fitted = classes.orderBy("node").limit(sample).select("vec").collect()  # at most `sample` vectors
+    index = spark.sparkContext.broadcast(Index.fit(unit([r.vec for r in fitted], width), lists or min(1024, max(8, math.isqrt(total))), min(subspaces, width), codewords))
 
     def place(batches):
         for batch in batches:
             for lo in range(0, batch.num_rows, 2048):
                 part = batch.slice(lo, 2048)
-                home, codes, error, far = index.value.encode(unit(part.column("vec").to_pylist()))
+                home, codes, error, far = index.value.encode(unit(part.column("vec").to_pylist(), width))
                 lists_of = index.value.probes(home, far, margin)
                 at = np.repeat(np.arange(len(home)), [len(p) for p in lists_of])
                 at = np.concatenate([np.arange(len(home)), at])
                 to = np.concatenate([home, *lists_of])
                 base = np.arange(len(at)) < len(home)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("k").take(pa.array(at)), part.column("w").take(pa.array(at)), part.column("vec").take(pa.array(at)), pa.array(to.astype(np.int32)), pa.array(base), pa.array([c.tobytes() for c in codes[at]], pa.binary()), pa.array(error[at])],
-                    ["k", "w", "vec", "list", "base", "code", "error"],
+                    [part.column("node").take(pa.array(at)), part.column("w").take(pa.array(at)), part.column("vec").take(pa.array(at)), pa.array(to.astype(np.int32)), pa.array(base), pa.array([c.tobytes() for c in codes[at]], pa.binary()), pa.array(error[at])],
+                    ["node", "w", "vec", "list", "base", "code", "error"],
                 )
 
-    placed = materialise(classes.select("k", "w", "vec").mapInArrow(place, "k long, w long, vec binary, list int, base boolean, code binary, error double"), "placed")
+    placed = materialise(classes.mapInArrow(place, "node binary, w long, vec binary, list int, base boolean, code binary, error double"), "placed")
     sizes = placed.where("base").groupBy("list").count().collect()  # at most one row per list
     cuts = spark.createDataFrame([(r["list"], -(-r["count"] // chunk)) for r in sizes], "list int, chunks int")
     cut = placed.join(F.broadcast(cuts), "list")
-    keyed = cut.where("base").withColumn("chunk", F.pmod("k", "chunks").cast("int")).unionByName(cut.where("not base").withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))))
+    keyed = cut.where("base").withColumn("chunk", F.pmod(F.xxhash64("node"), "chunks").cast("int")).unionByName(cut.where("not base").withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))))
     keyed = keyed.repartition("list", "chunk").sortWithinPartitions("list", "chunk", F.desc("base"))
 
     def search(batches):
@@ -161,38 +197,33 @@ def near_dedup(
                 if flags[lo]:
                     base.append(part)
                 elif base:
-                    state = state or Chunk(index.value, here[0], base, threshold, reach)
+                    state = state or Chunk(index.value, here[0], base, threshold, reach, width)
                     yield state.answer(part)
                 lo = hi
 
-    found = materialise(keyed.mapInArrow(search, "k long, n long, other long"), "found")
-    groups = components(found.where("other is not null").select("k", "other"))
-    reps = classes.select(F.col("k").alias("node"), "rep")
-    named = groups.join(reps, "node", "right").select("node", "rep", F.coalesce("component", "node").alias("component"))
-    roots = named.groupBy("component").agg(F.min("rep").alias("component_id"))
-    counts = found.where("n > 0").groupBy(F.col("k").alias("node")).agg(F.sum("n").alias("n"))
-    answers = named.join(roots, "component").join(counts, "node", "left").select("node", "component_id", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
-    per = classes.select("digest", "w", F.col("k").alias("node")).join(answers, "node").select("digest", "component_id", (F.col("n") + F.col("w") - 1).alias("n_links"))
-    out = rows.select("id", "digest").join(per, "digest", "left")
-    comp = F.coalesce("component_id", "id")
-    return out.select(F.col("id").alias(id_col), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), comp.alias("component_id"), F.col("id").eqNullSafe(comp).alias("kept"))
+    return materialise(keyed.mapInArrow(search, "node binary, n long, other binary"), "found")
+
+
+def nodes(column: pa.Array) -> np.ndarray:
+    """16-byte names as a numpy column that compares."""
+    return np.frombuffer(b"".join(column.to_pylist()), "V16")
 
 
 class Chunk:
     """The base vectors of one chunk of a list, and the linked sets among them so far."""
 
-    def __init__(self, index: Index, at: int, base: list[pa.RecordBatch], threshold: float, reach: float):
+    def __init__(self, index: Index, at: int, base: list[pa.RecordBatch], threshold: float, reach: float, width: int):
         whole = pa.Table.from_batches(base)
         self.index, self.centre, self.threshold, self.reach = index, index.centres[at], threshold, reach
-        self.k, self.w = whole["k"].to_numpy(), whole["w"].to_numpy()
-        self.x = unit(whole["vec"].to_pylist())
+        self.k, self.w, self.width = nodes(whole["node"]), whole["w"].to_numpy(), width
+        self.x = unit(whole["vec"].to_pylist(), width)
         self.codes = np.stack([np.frombuffer(c, np.uint8) for c in whole["code"].to_pylist()])
         self.error = whole["error"].to_numpy()
         self.root = np.arange(len(self.k))
 
     def answer(self, part: pa.RecordBatch) -> pa.RecordBatch:
         """Links of some queries: weights of what each is linked with here, and edges that join the linked sets."""
-        k, x = part.column("k").to_numpy(), unit(part.column("vec").to_pylist())
+        k, x = nodes(part.column("node")), unit(part.column("vec").to_pylist(), self.width)
         parts = self.index.split(x - self.centre)
         near = np.zeros((len(k), len(self.k)))
         for s, book in enumerate(self.index.books):  # asymmetric distances: one table per query and subspace
@@ -201,14 +232,14 @@ class Chunk:
         ok = (np.einsum("ij,ij->i", x[q], self.x[b]) >= self.threshold) & (k[q] != self.k[b])
         q, b = q[ok], b[ok]
         n = np.bincount(q, self.w[b], len(k)).astype(np.int64)
-        ends: list[tuple[int, int]] = []
+        ends: list[tuple[bytes, bytes]] = []
         for i in np.unique(q):
             roots = np.unique(self.root[b[q == i]])
-            ends += [(int(k[i]), int(self.k[r])) for r in roots]
+            ends += [(k[i].tobytes(), self.k[r].tobytes()) for r in roots]
             if len(roots) > 1:
                 self.root[np.isin(self.root, roots)] = roots[0]
-        keys, other = [*k.tolist(), *(e[0] for e in ends)], [None] * len(k) + [e[1] for e in ends]
-        return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array([*n.tolist(), *[0] * len(ends)], pa.int64()), pa.array(other, pa.int64())], ["k", "n", "other"])
+        keys, other = [*part.column("node").to_pylist(), *(e[0] for e in ends)], [None] * len(k) + [e[1] for e in ends]
+        return pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array([*n.tolist(), *[0] * len(ends)], pa.int64()), pa.array(other, pa.binary())], ["node", "n", "other"])
 
 
 def op10_embedding_dedup(spark, sf_dir):
