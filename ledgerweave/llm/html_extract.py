@@ -21,7 +21,7 @@ from .common import table, text_blocks
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<(script|style)(?=[\s/>])(?:[^>\"']|\"[^\"]*\"|'[^']*')*+>.*?(?:</\1\s*>|\Z)"
-    r"|</?[a-zA-Z](?:[^>\"']|\"[^\"]*\"|'[^']*')*+>|<[!?][^>]*>|[^<]+|<",
+    r"|</?[a-zA-Z](?:[^>\"']|\"[^\"]*\"|'[^']*')*+>|</?[a-zA-Z][^<>]*>|<[!?][^>]*>|[^<]+|<",
     re.S | re.I,
 )
 _TAG = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)")
@@ -281,7 +281,9 @@ def labelled_page(rng: np.random.Generator) -> tuple[list[Block], list[int]]:
     aside = lambda: pick(advert, side, notice, form)() if maybe(0.12) else ""
     body = (f"<h1>{mark}{say(1, 10)}</h1>" if maybe(0.85) else "") + many(lambda: piece() + aside(), 1, 12)
     main = box(("content", "article", "post", "entry", "main", "story", "article-body", "post-content"), ("article", "article", "article", "main", "div", "section"), body + (talk() if maybe(0.15) else ""))
-    if maybe(0.25):
+    if maybe(0.08):  # paragraphs in no element of their own
+        main = body
+    elif maybe(0.25):
         main = pick("<main>", '<div class="container">', '<div id="page">', "<section>") + main
     before = "".join(f() for f, p in ((head, 0.4), (menu, 0.8), (notice, 0.25), (advert, 0.5), (side, 0.15)) if maybe(p))
     after = "".join(f() for f, p in ((side, 0.3), (advert, 0.25), (talk, 0.3), (form, 0.25), (notice, 0.15), (foot, 0.85)) if maybe(p))
