@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from .common import held_out, labelled_sample, materialise, table, text_blocks
 
-FIT_ROWS, MAX_FEATURES = 20_000, 4096
+FIT_ROWS, MAX_FEATURES = 20_000, 1 << 16
 NEAR = 6.0  # nats between the best parting of spelled letters and others whose words count too
 #: fixed values: what a sign may stand for
 LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "il", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l"}
@@ -48,6 +48,10 @@ def count_trigrams(docs: DataFrame) -> np.ndarray:
         total = np.zeros(_SIZE**3, np.int64)
         for batch in batches:
             for _, _, data, offs in text_blocks(batch, "text"):
+                begins = (data & 0xC0) != 0x80  # one symbol a character
+                at = np.zeros(len(data) + 1, np.int64)
+                np.cumsum(begins, out=at[1:])
+                data, offs = data[begins], at[offs]
                 c = _LETTERS[data]
                 if len(c) > 2:
                     code = (c[:-2] * _SIZE + c[1:-1]) * _SIZE + c[2:]
@@ -224,7 +228,8 @@ def words_of(batch: pa.RecordBatch, decoder: Decoder) -> Iterator[tuple[int, set
 def train(docs: DataFrame, labels: DataFrame, counts: np.ndarray, limit: int = FIT_ROWS) -> tuple[float, dict[str, float]]:
     """(intercept, weight by feature) from at most ``limit`` labelled rows outside the held-out fold.
 
-    Candidate features are those at least half of whose documents are toxic, three documents at least.
+    Candidate features are those at least half of whose documents are toxic, three documents at least, the strongest
+    ``MAX_FEATURES`` of them (a bound on what is broadcast; 20,000 rows give far fewer). All texts are scored.
     """
     spark = docs.sparkSession
     rows = materialise(labelled_sample(docs, labels, "toxic", limit), "labelled")
