@@ -22,13 +22,15 @@ LINK = r"(?i)<link\b[^>]*>"
 META = r"(?i)<meta\b[^>]*>"
 HREF = r"""(?i)\bhref\s*=\s*["']?([^"'\s>]+)"""
 BASE = r"""(?is)<base\b[^>]*?\bhref\s*=\s*["']?([^"'\s>]+)"""
+UNSEEN = r"(?is)<!--.*?(?:-->|\z)|<script\b.*?(?:</script\s*>|\z)|<style\b.*?(?:</style\s*>|\z)"
+#: fixed values: character references of the signs that urls hold
+REFERENCES = {"&#(?:38|[xX]26);": "&amp;", "&#(?:47|[xX]2[fF]);|&sol;": "/", "&#(?:58|[xX]3[aA]);|&colon;": ":", "&#(?:46|[xX]2[eE]);|&period;": ".", "&#(?:63|[xX]3[fF]);|&quest;": "?", "&#(?:61|[xX]3[dD]);|&equals;": "=", "&#(?:35|[xX]23);|&num;": "#", "&#(?:45|[xX]2[dD]);": "-", "&#(?:95|[xX]5[fF]);|&lowbar;": "_", "&amp;": "&"}
 REFRESH = r"""(?i)\burl\s*=\s*["']?([^"'\s>;]+)"""
 
 
 def parts(url: Column) -> tuple[Column, Column]:
     """(host, path): after the first '://' up to '/', '?', '#'; then up to '?', '#'. Both empty for null or no '://'."""
-    rest = F.when(F.instr(url, "://") > 0, F.substring_index(F.regexp_replace(url, r"(?s)^.*?://", "\u0001"), "\u0001", -1)).otherwise(F.lit(""))
-    rest = F.coalesce(rest, F.lit(""))
+    rest = F.coalesce(F.when(F.instr(url, "://") > 0, F.substr(url, F.instr(url, "://") + F.lit(3))), F.lit(""))
     return F.translate(F.regexp_extract(rest, r"^[^/?#]*", 0), UPPER, LOWER), F.regexp_extract(rest, r"^[^/?#]*([^?#]*)", 1)
 
 
@@ -77,15 +79,26 @@ def resolve(to: Column, url: Column) -> Column:
     return F.coalesce(named, F.when((root != "") & (to != "") & ~to.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), own))
 
 
+def decoded(text: Column) -> Column:
+    """A url from markup: character references of the signs that urls hold become those; others stay."""
+    for reference, sign in REFERENCES.items():
+        text = F.regexp_replace(text, reference, sign)
+    return text
+
+
 def page_edges(pages: DataFrame) -> DataFrame:
-    """(source, target) nodes of canonical links and refresh redirects that pages declare, relative to <base> or the page's url."""
+    """(source, target) nodes of canonical links and refresh redirects that pages declare, relative to <base> or the page's url.
+
+    Comments, scripts and styles declare nothing.
+    """
     tags = F.filter(F.regexp_extract_all("html", F.lit(LINK), F.lit(0)), lambda t: t.rlike(r"""(?i)\brel\s*=\s*["']?[^"'>]*\bcanonical\b"""))
     hops = F.filter(F.regexp_extract_all("html", F.lit(META), F.lit(0)), lambda t: t.rlike(r"""(?i)http-equiv\s*=\s*["']?refresh"""))
-    marked = F.col("html").rlike(r"(?i)canonical|http-equiv")
-    found = pages.where(marked).select("url", F.regexp_extract("html", BASE, 1).alias("base"), F.explode(F.concat(F.transform(tags, lambda t: F.regexp_extract(t, HREF, 1)), F.transform(hops, lambda t: F.regexp_extract(t, REFRESH, 1)))).alias("to"))
-    to = F.replace("to", F.lit("&amp;"), F.lit("&"))
-    base = F.coalesce(resolve(F.replace("base", F.lit("&amp;"), F.lit("&")), F.col("url")), F.col("url"))
-    found = found.select("url", to.alias("to"), base.alias("base")).select("url", resolve(F.col("to"), F.col("base")).alias("whole"))
+    marked = pages.where(F.col("html").rlike(r"(?i)canonical|http-equiv")).select("url", F.regexp_replace("html", UNSEEN, " ").alias("html"))
+    named = F.concat(F.transform(tags, lambda t: F.regexp_extract(t, HREF, 1)), F.transform(hops, lambda t: F.regexp_extract(t, REFRESH, 1)))
+    own = decoded(F.regexp_extract("html", BASE, 1))
+    found = marked.select("url", F.explode(F.transform(named, lambda t: F.struct(decoded(t).alias("to"), own.alias("base")))).alias("at"))  # exploded, so named once below
+    base = F.coalesce(resolve(F.col("at.base"), F.col("url")), F.col("url"))
+    found = found.select("url", F.col("at.to").alias("to"), base.alias("base")).select("url", resolve(F.col("to"), F.col("base")).alias("whole"))
     return found.select(node(F.col("url")).alias("source"), node(F.col("whole")).alias("target")).where("source is not null and target is not null and source <> target").distinct()
 
 

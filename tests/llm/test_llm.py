@@ -105,6 +105,12 @@ def test_shard_against_sorting():
         assert mine == want
 
 
+def brute_passages(texts):
+    import corpus_pipeline
+
+    return brute_suffix(texts, corpus_pipeline.PASSAGE)
+
+
 def brute_ngrams(texts):
     sets = []
     for t in texts:
@@ -180,6 +186,25 @@ def test_embeddings(spark):
         label = np.minimum(label, np.where(link, label[None], len(u)).min(1))
     assert [(got[i].n_links, got[i].component_id, got[i].kept) for i in range(len(u))] == [(int(link[i].sum()), int(label[i]), bool(label[i] == i)) for i in range(len(u))]
     assert all((got[i].n_links, got[i].component_id, got[i].kept) == (0, i, True) for i in range(900, 906))
+    far = [(1, [1e300] * 8), (2, [1e300] * 8), (3, [2e299] * 8), (4, [1.0] * 3), (5, [2.0] * 3), (6, [1.0] * 8), (6, [-1.0] * 8), (None, [1.0] * 3), (8, [1e-320] * 3)]
+    got = embedding_dedup.near_dedup(spark.createDataFrame([(*r, "clash") for r in far], "vec_id long, embedding array<double>, node string")).collect()
+    assert sorted((str(r.vec_id), r.n_links, r.component_id) for r in got) == [("1", 3, 1), ("2", 3, 1), ("3", 3, 1), ("4", 3, 4), ("5", 3, 4), ("6", 0, 6), ("6", 3, 1), ("8", 3, 4), ("None", 3, 4)]
+    assert embedding_dedup.near_dedup(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
+
+
+def test_embedding_recall_as_registered(spark):
+    """Every hundredth vector against all, production parameters."""
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(6000, 64))
+    x[3000:] = x[rng.integers(0, 600, 3000)] + rng.normal(size=(3000, 64)) * 0.27
+    x = x.astype(np.float32)
+    got = {r.vec_id: r for r in embedding_dedup.near_dedup(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")).collect()}
+    u = x.astype(np.float64)
+    u /= np.sqrt((u * u).sum(1))[:, None]
+    ask = np.arange(0, len(u), 100)
+    want = (u[ask] @ u.T >= 0.95).sum(1) - 1
+    mine = np.asarray([got[i].n_links for i in ask.tolist()])
+    assert want.sum() > 40 and (mine <= want).all() and mine.sum() >= 0.9 * want.sum()
 
 
 def test_embedding_recall():
@@ -215,6 +240,37 @@ def test_packing(spark):
     assert sum(size for _, size in bins) < 1.06 * used
     assert packing.best_fit([6, 5, 4, 3, 2], [10], 0)[2] == [10, 10]
     assert packing.pack(spark.createDataFrame([], "doc_id long, n_tokens long")).count() == 0
+    big = 2**60 + 1
+    odd = packing.pack(spark.createDataFrame([(7, 9000, "x")] * 2 + [(None, 8192, "x")] * 2 + [(None, 10, "x"), (big, 10, "x")], "doc_id long, n_tokens long, row string")).collect()
+    full = [r.bin for r in odd if r.n_tokens == 8192]
+    assert len(full) == len(set(full)) == 4 and {r.doc_id for r in odd} == {7, None, big}
+    assert len({(r.bin, r.bin_offset) for r in odd}) == len(odd) == 8
+
+
+def test_packing_against_every_packing():
+    rng = random.Random(5)
+    cost = lambda sizes, over: sum(s + over for s in sizes)
+
+    def best(items, loads, caps, over):
+        if not items:
+            return sum(min(c for c in caps if c >= x) + over for x in loads)
+        n, rest = items[0], items[1:]
+        found = [best(rest, [*loads, n], caps, over)]
+        found += [best(rest, [*loads[:i], x + n, *loads[i + 1 :]], caps, over) for i, x in enumerate(loads) if x + n <= max(caps)]
+        return min(found)
+
+    ratio = []
+    for _ in range(60):
+        caps, over = (8, 16, 32), rng.choice([0, 1, 4])
+        items = [rng.randint(1, 32) for _ in range(rng.randint(1, 6))]
+        ratio.append(cost(packing.best_fit(items, caps, over)[2], over) / best(items, [], caps, over))
+    assert min(ratio) >= 1 and max(ratio) <= 1.5 and sum(ratio) / len(ratio) < 1.06
+
+
+def test_shards_are_dealt_by_row(spark):
+    rows = packing.pack(spark.range(3000).selectExpr("cast(null as long) AS doc_id", "7L AS n_tokens"), per_shard=500)
+    sizes = [r["count"] for r in rows.groupBy(F.split("bin", "-")[0]).count().collect()]
+    assert len(sizes) == 6 and max(sizes) < 700
 
 
 def test_bpe(spark):
@@ -310,6 +366,11 @@ def test_urls(spark):
     assert (got[1].host, got[1].path, got[1].rule, got[1].verdict) == ("a.example.net", "/en/1", "example.net/en/", "allow")
     assert (got[2].rule, got[2].verdict) == ("net/", "block") and (got[3].host, got[3].path, got[3].rule, got[3].verdict) == ("", "", None, "allow")
     assert got[7].verdict == "block" and got[4].verdict == "allow"
+    odd = [(1, "http://a.net/x\x01y/z", None), (1, "http://a.net/x\x01y/z", None), (None, "http://q.org/1", "<!-- <link rel=canonical href=http://bad.net/x> --><script>'<link rel=canonical href=http://bad.net/x>'</script>"), (2, "http://q.org/2", "<link rel=canonical href='http&#58;//bad&#x2e;net&#x2F;x'>"), (3, "http://q.org/3", "<!-- open <link rel=canonical href=http://bad.net/x>")]
+    frame_ = spark.createDataFrame([(*r, "clash") for r in odd], "page_id long, url string, html string, node string")
+    got_ = sorted((str(r.page_id), r.host, r.rule, r.verdict) for r in url_filter.url_filter(frame_).collect())
+    assert got_ == [("1", "a.net", "net/", "block")] * 2 + [("2", "q.org", None, "block"), ("3", "q.org", None, "allow"), ("None", "q.org", None, "allow")]
+    assert url_filter.url_filter(frame_.limit(0)).count() == 0
     assert [got[i].verdict for i in (5, 6, 8, 9, 10, 11)] == ["block", "allow", "block", "block", "block", "block"]
     assert [got[i].rule for i in (5, 6, 8)] == [None] * 3
 
@@ -444,7 +505,7 @@ def test_pipeline_stages(spark, tmp_path):
     order = sorted(left)
     comp = brute_ngrams([left[i] for i in order])
     kept = [i for k, i in enumerate(order) if comp[k][1] == k]
-    cut = brute_suffix([left[i] for i in kept], suffix_dedup.LENGTH)
+    cut = brute_passages([left[i] for i in kept])
     want = sorted((i, len(re.findall(rb"[^\x20\x09-\x0D]+", c[3]))) for i, c in zip(kept, cut, strict=True))
     got = P.run(spark, folder).groupBy("doc_id").agg(F.sum("n_tokens").alias("n")).collect()
     assert sorted((r.doc_id, r.n) for r in got) == want
