@@ -1,12 +1,15 @@
-"""Evidence, audit chain and decisions (P-12, S-22, W-2, W-13, W-15..W-17, X-9, X-10, K-2..K-4, O-3, P-31)."""
+"""Evidence, audit chain and decisions (P-12, S-22, W-2, W-13, W-15, W-16, X-9, K-2, K-3, O-3, P-31)."""
 
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 GENESIS = "0" * 64
 
@@ -47,12 +50,32 @@ def broken_links(chained: DataFrame, group: str = "chain") -> DataFrame:
 
 
 def pack_evidence(items: DataFrame, key: str, order: str, size: str, budget: int) -> DataFrame:
-    """W-13: per key, in order, every item that still fits the budget - later small ones too; a fold, not a running sum."""
-    rows = items.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(size).cast("long").alias("n")))).alias("a"))
-    start = F.struct(F.lit(0).cast("long").alias("used"), F.lit(0).cast("long").alias("kept"))
-    fits = lambda s, x: s["used"] + x["n"] <= budget
-    fold = F.aggregate("a", start, lambda s, x: F.struct(F.when(fits(s, x), s["used"] + x["n"]).otherwise(s["used"]).alias("used"), F.when(fits(s, x), s["kept"] + 1).otherwise(s["kept"]).alias("kept")))
-    return rows.select(key, fold.alias("s"), F.size("a").cast("long").alias("items")).select(key, F.col("s.used").alias("used"), F.col("s.kept").alias("kept"), "items")
+    """W-13: (key, used, kept, items): per key, in order, every item that still fits the budget, later small ones too.
+
+    A key's rows pass one task in order, which keeps three numbers of them, whatever their count; null sizes count 0.
+    """
+    rows = items.select(F.col(key).alias("key"), F.col(order).alias("o"), F.coalesce(F.col(size).cast("long"), F.lit(0).cast("long")).alias("n"))
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        here, used, kept, seen = None, 0, 0, 0
+        out: list[tuple] = []
+        for batch in batches:
+            for k, n in zip(batch.column("key").to_pylist(), batch.column("n").to_pylist(), strict=True):
+                if not seen or k != here:
+                    if seen:
+                        out.append((here, used, kept, seen))
+                    here, used, kept, seen = k, 0, 0, 0
+                seen += 1
+                if used + n <= budget:
+                    used, kept = used + n, kept + 1
+        if seen:
+            out.append((here, used, kept, seen))
+        cols = list(zip(*out, strict=True)) or [[]] * 4
+        yield pa.RecordBatch.from_arrays([pa.array(cols[0], kind), *(pa.array(c, pa.int64()) for c in cols[1:])], [key, "used", "kept", "items"])
+
+    kind = to_arrow_type(rows.schema["key"].dataType)
+    ordered = rows.repartition("key").sortWithinPartitions("key", "o").select("key", "n")
+    return ordered.mapInArrow(fold, f"`{key}` {rows.schema['key'].dataType.simpleString()}, used long, kept long, items long")
 
 
 def latest(df: DataFrame, key: str, seq: str, *cols: str) -> DataFrame:

@@ -132,6 +132,11 @@ def excluded_tax_sample(s: DataFrame, pairs: DataFrame, cfg: MatchConfig = Match
     return drawn.crossJoin(n).withColumn("sampling_probability", F.least(F.lit(1.0), F.lit(cfg.excluded_tax_sample_size) / F.col("population")))
 
 
+def augmented(pairs: DataFrame, graph_pairs: DataFrame) -> DataFrame:
+    """G-6, J-9: candidates and the pairs that only the graph finds; all are evaluated."""
+    return pairs.select("left_id", "right_id").unionByName(graph_pairs.select("left_id", "right_id")).distinct()
+
+
 def evaluated(s: DataFrame, pairs: DataFrame, cfg: MatchConfig = MatchConfig(), ascii_only: bool = False, sampled: DataFrame | None = None) -> DataFrame:
     """R-15 and steps 1 and 4 of the outcome order: score, near miss, conflict reasons, outcome, tier."""
     rows = pairs.select("left_id", "right_id").withColumn("sampled", F.lit(False))
@@ -167,8 +172,9 @@ def governed(evaluations: DataFrame, members: DataFrame, graph_pairs: DataFrame
     return e.withColumn("outcome", F.when(same, "Authority_Grouped").otherwise(F.col("outcome"))).drop("lm", "rm")
 
 
-def review_queue(evaluations: DataFrame, tax_reviews: DataFrame) -> DataFrame:
-    """R-12, O-13: one reason a pair; shared-tax reviews come before evaluation outcomes."""
+def review_queue(evaluations: DataFrame, tax_reviews: DataFrame, cluster_reviews: DataFrame) -> DataFrame:
+    """R-12, O-13: one reason a pair; cluster failures overwrite shared-tax reviews, evaluation outcomes fill what is left."""
     own = evaluations.where(F.col("outcome").isin("Review_Candidate", "Conflict_Review", "Graph_Context_Review")).select("left_id", "right_id", F.col("outcome").alias("reason"), F.lit(2).alias("rank"))
     tax = tax_reviews.select("left_id", "right_id", F.lit("shared_tax_id").alias("reason"), F.lit(1).alias("rank"))
-    return own.unionByName(tax).groupBy("left_id", "right_id").agg(F.min_by("reason", "rank").alias("reason"))
+    broken = cluster_reviews.select("left_id", "right_id", F.lit("cluster_conflict").alias("reason"), F.lit(0).alias("rank"))
+    return own.unionByName(tax).unionByName(broken).groupBy("left_id", "right_id").agg(F.min_by("reason", "rank").alias("reason"))

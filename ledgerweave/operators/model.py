@@ -1,4 +1,4 @@
-"""Scoring, metrics and training of pair models (C-11..C-14, E-14..E-21, W-8..W-10, L-1..L-8, G-8, G-9)."""
+"""Scoring, metrics and training of pair models (C-11..C-14, E-14..E-21, W-8..W-10, L-1..L-3, L-5, L-6, L-8, G-8)."""
 
 from __future__ import annotations
 
@@ -45,12 +45,24 @@ def reliability(df: DataFrame, p: str, y: str, bins: int = 10) -> DataFrame:
     return all_.join(full, "bin", "left").crossJoin(total).select("bin", F.coalesce("n", F.lit(0)).alias("n"), "mean_p", "observed", F.coalesce(F.col("n") / F.col("total") * F.abs(F.col("mean_p") - F.col("observed")), F.lit(0.0)).alias("ece_part"))
 
 
+SLICES = 1024
+
+
 def threshold_sweep(df: DataFrame, p: str, y: str) -> DataFrame:
-    """W-8: one row per distinct score with counts at or above it: scores aggregate first, so the ordered pass is over
-    distinct scores, not rows."""
+    """W-8: one row per distinct score with counts at or above it.
+
+    Scores aggregate first; running counts are taken in ``SLICES`` slices of 0..1 (others join the end slices), whose
+    totals - one row a slice - are summed on their own, so no task orders all scores.
+    """
     per = df.groupBy(F.col(p).alias("threshold")).agg(F.sum(y).alias("pos"), F.count(F.lit(1)).alias("n"))
-    w = Window.orderBy(F.desc("threshold")).rowsBetween(Window.unboundedPreceding, 0)
-    return per.select("threshold", F.sum("pos").over(w).alias("tp"), (F.sum("n").over(w) - F.sum("pos").over(w)).alias("fp")).withColumn("precision", F.col("tp") / (F.col("tp") + F.col("fp")))
+    per = per.withColumn("slice", F.least(F.greatest(F.floor(F.coalesce("threshold", F.lit(0.0)) * SLICES), F.lit(0)), F.lit(SLICES)))
+    above = Window.orderBy(F.desc("slice")).rowsBetween(Window.unboundedPreceding, -1)
+    totals = per.groupBy("slice").agg(F.sum("pos").alias("p"), F.sum("n").alias("m"))  # at most SLICES + 1 rows
+    totals = totals.select("slice", *[F.coalesce(F.sum(c).over(above), F.lit(0)).alias(c) for c in ("p", "m")])
+    w = Window.partitionBy("slice").orderBy(F.desc("threshold")).rowsBetween(Window.unboundedPreceding, 0)
+    tp, n = F.col("p") + F.sum("pos").over(w), F.col("m") + F.sum("n").over(w)
+    out = per.join(F.broadcast(totals), "slice").select("threshold", tp.alias("tp"), (n - tp).alias("fp"))
+    return out.withColumn("precision", F.col("tp") / (F.col("tp") + F.col("fp")))
 
 
 def best_threshold(df: DataFrame, p: str, y: str, target: float) -> float:

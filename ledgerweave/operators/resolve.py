@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as S
+from .validate import blank_reused
 
 FIELDS = ("registration_id", "tax_id", "lei", "bank_account_hash", "parent_lei")
 
@@ -30,8 +31,8 @@ def _valid() -> list[Column]:
 
 
 def memberships(s: DataFrame) -> DataFrame:
-    """R-7, R-8: (supplier_id, root, entity_id) for every record; root is the group's smallest id."""
-    rows = prepared(s)
+    """R-7, R-8, P-10: (supplier_id, root, entity_id) for every record; root is the group's smallest id."""
+    rows = prepared(blank_reused(s))
     pass1 = rows.where("registration_id <> ''").groupBy("country", "registration_id").agg(*_valid()).where("ok and n > 1").select("country", "registration_id", F.col("root").alias("r1"))
     one = rows.join(pass1, ["country", "registration_id"], "left").withColumn("g1", F.coalesce("r1", "supplier_id")).drop("r1")
     touched = one.where("lei <> ''").select(F.col("country").alias("c2"), F.col("lei").alias("l2"), "g1").distinct()
@@ -59,6 +60,15 @@ def cluster_conflicts(s: DataFrame) -> DataFrame:
     return rows.groupBy("country", "registration_id").agg(*_valid(), F.size(F.collect_set(F.when(F.col("tax_id") != "", F.col("tax_id")))).alias("n_tax_ids")).where("not ok and n > 1").select("country", "registration_id", "n", F.col("n_tax_ids").cast("long").alias("n_tax_ids"))
 
 
+def cluster_reviews(s: DataFrame, members: DataFrame) -> DataFrame:
+    """R-10: neighbours by id in a (country, registration) bucket that is no clique, unless one entity holds both already."""
+    rows = prepared(s).where("registration_id <> ''").join(members.select("supplier_id", "root"), "supplier_id")
+    broken = cluster_conflicts(s).select("country", "registration_id")
+    w = Window.partitionBy("country", "registration_id").orderBy("supplier_id")
+    pairs = rows.join(broken, ["country", "registration_id"]).select(F.col("supplier_id").alias("left_id"), F.lead("supplier_id").over(w).alias("right_id"), "root", F.lead("root").over(w).alias("root2"))
+    return pairs.where("right_id is not null and root <> root2").select("left_id", "right_id")
+
+
 def shared_tax_reviews(s: DataFrame, members: DataFrame) -> DataFrame:
     """R-11, W-7: neighbours by id that share a tax id in a country but not an entity."""
     rows = prepared(s).where("tax_id <> ''").join(members.select("supplier_id", "root"), "supplier_id")

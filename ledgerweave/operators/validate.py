@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as S
@@ -65,17 +65,26 @@ def key_sets_differ(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
     return x.join(y, key, "left_anti").withColumn("side", F.lit("left")).unionByName(y.join(x, key, "left_anti").withColumn("side", F.lit("right")))
 
 
+def _claims(s: DataFrame) -> dict[str, Column]:
+    return {"registration_id": S.authority("registration_id"), "lei": S.identifier("lei") if "lei" in s.columns else F.lit("")}
+
+
 def reused_authority(s: DataFrame, limit: int = 25) -> DataFrame:
     """P-10, E-8: (country, field, value) that more than ``limit`` records claim."""
-    fields = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), S.authority(f).alias("value")) for f in ("registration_id", "tax_id")])).alias("f")
+    claimed = [F.struct(F.lit(f).alias("field"), value.alias("value")) for f, value in _claims(s).items()]
+    fields = F.explode(F.array(*claimed)).alias("f")
     return s.select("country", fields).where("f.value <> ''").groupBy("country", "f.field", "f.value").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > limit)
 
 
 def blank_reused(s: DataFrame, limit: int = 25) -> DataFrame:
-    """P-10: registrations that too many records share no longer identify."""
-    hot = reused_authority(s, limit).where("field = 'registration_id'").select("country", F.col("value").alias("hot"))
-    joined = s.withColumn("_v", S.authority("registration_id")).join(hot, (s["country"] == hot["country"]) & (F.col("_v") == hot["hot"]), "left").drop(hot["country"])
-    return joined.withColumn("registration_id", F.when(F.col("hot").isNull(), F.col("registration_id")).otherwise("")).drop("_v", "hot")
+    """P-10: registrations and LEIs that too many records of a country share no longer identify: they become ''."""
+    hot, out = reused_authority(s, limit), s
+    for field, value in _claims(s).items():
+        if field in s.columns:
+            own = hot.where(F.col("field") == field).select(F.col("country").alias("_c"), F.col("value").alias("_hot"))
+            joined = out.withColumn("_v", value).join(own, (F.col("country") == F.col("_c")) & (F.col("_v") == F.col("_hot")), "left")
+            out = joined.withColumn(field, F.when(F.col("_hot").isNull(), F.col(field)).otherwise("")).drop("_v", "_c", "_hot")
+    return out
 
 
 def accept(suppliers: DataFrame, spend: DataFrame) -> DataFrame:

@@ -148,7 +148,7 @@ def staged_suppliers(spark, d):
     return validate.staged_suppliers(suppliers(spark, d))
 
 
-@query(with_sql(f"SELECT country, field, value, count(*) AS n FROM (SELECT country, 'registration_id' AS field, {_authority('registration_id')} AS value FROM s UNION ALL SELECT country, 'tax_id', {_authority('tax_id')} FROM s) WHERE value <> '' GROUP BY 1, 2, 3 HAVING count(*) > 2"))
+@query(with_sql(f"SELECT country, field, value, count(*) AS n FROM (SELECT country, 'registration_id' AS field, {_authority('registration_id')} AS value FROM s UNION ALL SELECT country, 'lei', {_id('lei')} FROM s) WHERE value <> '' GROUP BY 1, 2, 3 HAVING count(*) > 2"))
 def reused_authority(spark, d):
     """P-10, E-8."""
     return validate.reused_authority(suppliers(spark, d), 2)
@@ -314,8 +314,8 @@ def review_queue(spark, d):
     s = suppliers(spark, d)
     members = resolve.memberships(s)
     paths = graph.association_pairs(s, graph.GraphPolicy(max_expansions=10_000_000))
-    done = match.governed(_evaluated(spark, d), members, paths)
-    return match.review_queue(done, resolve.shared_tax_reviews(s, members))
+    done = match.governed(match.evaluated(s, match.augmented(_pairs(spark, d), paths), CFG), members, paths)
+    return match.review_queue(done, resolve.shared_tax_reviews(s, members), resolve.cluster_reviews(s, members))
 
 
 @query()

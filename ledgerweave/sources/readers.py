@@ -1,4 +1,4 @@
-"""Scans (A-1..A-17, A-22): strict and sniffed delimited text, JSON pages, JSON lines, benchmark pairs."""
+"""Scans (A-1, A-3..A-7, A-11..A-13, A-15..A-17): strict and sniffed delimited text, JSON pages, JSON lines, benchmark pairs."""
 
 from __future__ import annotations
 
@@ -30,6 +30,15 @@ def decode(data: bytes) -> tuple[str, str]:
     raise SourceRefused("undecodable")
 
 
+def _whole(head: bytes) -> bool:
+    """Is the head of a file UTF-8 but for a character it may cut at its end."""
+    try:
+        head.decode("utf-8")
+    except UnicodeDecodeError as e:
+        return e.start >= len(head) - 3 and len(head) == 1 << 16
+    return True
+
+
 def sniff_delimiter(text: str) -> str:
     """A-5: the sign whose most common count a line, times how often it occurs, is largest over 50 lines."""
     lines = [x for x in text.splitlines() if x.strip()][:50]
@@ -88,22 +97,24 @@ def read_canonical(spark: SparkSession, path: str, fields: tuple[str, ...] = SUP
 def read_delimited(spark: SparkSession, path: str) -> DataFrame:
     """A-3: a delimited source of unknown encoding, delimiter and banner rows; all columns are strings.
 
-    Only the head of one file is sniffed on the driver; rows are read by Spark.
+    Delimiter and header are sniffed on the driver from the head of one file; every file's encoding is told from all of
+    it. A row is left out if all its cells are those of the header or of a row above it.
     """
     head = bytes(spark.read.format("binaryFile").load(path).select(F.substring("content", 1, 1 << 16)).first()[0])
-    text, encoding = decode(head)
+    text = head.decode("utf-8-sig", "ignore") if _whole(head) else decode(head)[0]
     sign = sniff_delimiter(text)
     rows = list(csv.reader(io.StringIO(text), delimiter=sign))[:50]
     skip = find_header_row(rows)
     names = [c.strip() for c in rows[skip]]
     schema = ", ".join(f"`{c}` string" for c in names) + ", _corrupt string"
-    if encoding == "cp1252":
-        df = _decoded(spark, path, sign, schema, len(names))
+    files = spark.read.format("binaryFile").load(path)
+    if files.where(~F.is_valid_utf8(F.col("content").cast("string"))).isEmpty():
+        df = spark.read.schema(schema).csv(path, sep=sign, columnNameOfCorruptRecord="_corrupt", mode="PERMISSIVE")
     else:
-        charset = "ISO-8859-1" if encoding == "latin-1" else "UTF-8"
-        df = spark.read.schema(schema).csv(path, sep=sign, encoding=charset, columnNameOfCorruptRecord="_corrupt", mode="PERMISSIVE").cache()
-    banner = [r[0].strip() if r else "" for r in rows[: skip + 1]]
-    body = df.where(~F.coalesce(F.trim(f"`{names[0]}`"), F.lit("")).isin(*banner))
+        df = _decoded(spark, path, sign, schema, len(names))
+    told = F.array(*[F.coalesce(F.trim(F.regexp_replace(f"`{c}`", "^\ufeff", "")), F.lit("")) for c in names])
+    above = [[c.strip().lstrip("\ufeff") for c in (*r, *[""] * len(names))][: len(names)] for r in rows[: skip + 1]]
+    body = df.where(~F.coalesce(told.isin(*[F.array(*map(F.lit, r)) for r in above]), F.lit(False)))
     if bad := body.where("_corrupt is not null").limit(1).collect():
         raise SourceRefused(f"ragged row: {bad[0]['_corrupt'][:80]}")
     return body.drop("_corrupt")

@@ -1,4 +1,4 @@
-"""Sinks (K-1, K-5..K-14): snapshots with a pointer flipped last, JSONL and Parquet exports, verified archives."""
+"""Sinks (K-1, K-4, K-6, K-8, K-9, K-13): snapshots with numbered pointers written last, JSONL and Parquet exports, verified archives."""
 
 from __future__ import annotations
 
@@ -13,18 +13,39 @@ def _write_text(spark: SparkSession, path: str, text: str) -> None:
     spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(path)
 
 
+def _pointers(spark: SparkSession, root: str) -> list[str]:
+    """Names of the pointers that were written whole, oldest first; refuses a root that holds snapshots but none of them."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    fs = path(root).getFileSystem(conf)
+    if not fs.exists(path(root)):
+        return []
+    held = [s.getPath().getName() for s in fs.listStatus(path(root))]
+    at = path(root, "_pointers")
+    whole = sorted(s.getPath().getName() for s in fs.listStatus(at) if fs.exists(path(s.getPath(), "_SUCCESS"))) if fs.exists(at) else []
+    if not whole and any(n.startswith("snapshot=") for n in held) and "_pointers" in held and fs.listStatus(at):
+        raise RuntimeError(f"{root} holds snapshots, but no pointer was written whole")
+    return whole
+
+
 def write_snapshot(tables: dict[str, DataFrame], root: str) -> str:
-    """K-1: every table under a new snapshot, then the pointer; a failure before leaves the last valid set in place."""
+    """K-1: every table under a new snapshot, then a new pointer; nothing is overwritten, so a failure at any moment leaves the last valid set in place."""
     spark = next(iter(tables.values())).sparkSession
     name = uuid.uuid4().hex
     for table, df in tables.items():
         df.write.mode("errorifexists").parquet(f"{root}/snapshot={name}/{table}")
-    _write_text(spark, f"{root}/_current", json.dumps({"snapshot": name, "tables": sorted(tables)}))
+    told = _pointers(spark, root)
+    number = int(told[-1].split("-")[0]) + 1 if told else 1
+    _write_text(spark, f"{root}/_pointers/{number:012d}-{name}", json.dumps({"snapshot": name, "tables": sorted(tables)}))
     return name
 
 
+def has_snapshot(spark: SparkSession, root: str) -> bool:
+    return bool(_pointers(spark, root))
+
+
 def read_snapshot(spark: SparkSession, root: str, table: str) -> DataFrame:
-    now = json.loads(spark.read.text(f"{root}/_current").first()[0])["snapshot"]
+    now = json.loads(spark.read.text(f"{root}/_pointers/{_pointers(spark, root)[-1]}").first()[0])["snapshot"]
     return spark.read.parquet(f"{root}/snapshot={now}/{table}")
 
 

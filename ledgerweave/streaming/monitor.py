@@ -61,15 +61,10 @@ def run_to_table(stream: DataFrame, name: str, mode: str = "complete") -> DataFr
 
 def upsert_latest(batch: DataFrame, batch_id: int, path: str, keys: tuple[str, ...] = ("supplier_id", "month", "currency")) -> None:
     """T-2: foreachBatch sink: the newest observation of each key so far, as a new version the pointer names last."""
-    from ..sources.sinks import read_snapshot, write_snapshot
+    from ..sources.sinks import has_snapshot, read_snapshot, write_snapshot
 
     spark = batch.sparkSession
-    try:
-        seen = batch.unionByName(read_snapshot(spark, path, "observations"))
-    except Exception as e:
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-        seen = batch
+    seen = batch.unionByName(read_snapshot(spark, path, "observations")) if has_snapshot(spark, path) else batch
     rest = [c for c in batch.columns if c not in keys]
     newest = seen.groupBy(*keys).agg(F.max_by(F.struct(*rest), "snapshot_seq").alias("r")).select(*keys, "r.*")
     write_snapshot({"observations": newest}, path)

@@ -194,3 +194,37 @@ def test_mapping(spark):
     assert got[0].amount == Decimal("1234.56") and got[0].invoice_date == date(2026, 3, 15) and got[0].extras == {"Note": "n"} and got[1].amount == Decimal("-250.00") and got[2].rejected_reason == "unreadable invoice_date"
     with pytest.raises(profile.MappingRefused):
         profile.infer_mapping(df.withColumn("BLDAT", F.lit("01/02/2026")), "spend")
+
+
+def test_graph_only_pairs_are_reviewed(spark):
+    from ledgerweave.operators import match
+
+    fields = "supplier_id string, name string, country string, registration_id string, tax_id string, postcode string, address string"
+    s = spark.createDataFrame([("A", "Zqx", "GB", "", "", "", ""), ("B", "Yvw", "GB", "", "", "", ""), ("C", "Kjh", "GB", "", "", "", "")], fields)
+    none = spark.createDataFrame([], "left_id string, right_id string")
+    paths = spark.createDataFrame([("A", "B")], "left_id string, right_id string")
+    members = s.selectExpr("supplier_id", "supplier_id AS root")
+    done = match.governed(match.evaluated(s, match.augmented(none, paths)), members, paths)
+    assert [(r.left_id, r.right_id, r.reason) for r in match.review_queue(done, none, none).collect()] == [("A", "B", "Graph_Context_Review")]
+
+
+def test_reused_authority_no_longer_identifies(spark):
+    from ledgerweave.operators import resolve, validate
+
+    rows = [(f"S{i:02}", "n", "GB", "SC123456" if i < 30 else "R1", "", "LEI9") for i in range(32)]
+    s = spark.createDataFrame(rows, "supplier_id string, name string, country string, registration_id string, tax_id string, lei string")
+    got = {r.field: r.n for r in validate.reused_authority(s).collect()}
+    assert got == {"registration_id": 30, "lei": 32}
+    roots = {r.supplier_id: r.root for r in resolve.memberships(s).collect()}
+    assert len(set(roots.values())) == 31 and roots["S31"] == roots["S30"] == "S30"
+
+
+def test_threshold_sweep_in_slices(spark):
+    import random
+
+    from ledgerweave.operators import model
+
+    rng = random.Random(1)
+    rows = [(rng.choice([rng.random(), 0.5, 0.0, 1.0]), rng.randint(0, 1)) for _ in range(500)]
+    got = {r.threshold: (r.tp, r.fp) for r in model.threshold_sweep(spark.createDataFrame(rows, "p double, y int"), "p", "y").collect()}
+    assert got == {t: (sum(y for p, y in rows if p >= t), sum(1 - y for p, y in rows if p >= t)) for t in {p for p, _ in rows}}

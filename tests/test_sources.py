@@ -68,3 +68,33 @@ def test_oracle(spark, name):
 @pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) - set(catalog.ORACLES)))
 def test_rows_only(spark, name):
     assert catalog.QUERIES[name](spark, DIR).agg(F.count(F.lit(1))).first()[0] >= 0
+
+
+def test_rows_like_a_banner_stay(spark, tmp_path):
+    (tmp_path / "a.csv").write_bytes("\n,,\nid,name,amount\n,Beta,20\n1,Alpha,30\n2,Gamma,40\n3,Delta,50\n".encode())
+    got = readers.read_delimited(spark, str(tmp_path / "a.csv")).collect()
+    assert sorted((r.id or "", r.name, r.amount) for r in got) == [("", "Beta", "20"), ("1", "Alpha", "30"), ("2", "Gamma", "40"), ("3", "Delta", "50")]
+
+
+def test_encoding_is_told_from_every_file(spark, tmp_path):
+    folder = tmp_path / "many"
+    folder.mkdir()
+    (folder / "a.csv").write_bytes(b"id,name\n1,Alpha\n2,Beta\n")
+    (folder / "b.csv").write_bytes("id,name\n3,Café\n".encode("cp1252"))
+    assert sorted((r.id, r.name) for r in readers.read_delimited(spark, str(folder)).collect()) == [("1", "Alpha"), ("2", "Beta"), ("3", "Café")]
+
+
+def test_snapshot_survives_a_torn_pointer(spark, tmp_path):
+    root = str(tmp_path / "root")
+    assert not sinks.has_snapshot(spark, root)
+    sinks.write_snapshot({"t": spark.range(3)}, root)
+    (tmp_path / "root" / "_pointers" / "000000000002-torn").mkdir()  # written, but not whole
+    assert sinks.read_snapshot(spark, root, "t").count() == 3
+    sinks.write_snapshot({"t": spark.range(4)}, root)
+    assert sinks.read_snapshot(spark, root, "t").count() == 4
+    import shutil
+
+    shutil.rmtree(tmp_path / "root" / "_pointers")
+    (tmp_path / "root" / "_pointers" / "000000000001-torn").mkdir(parents=True)
+    with pytest.raises(RuntimeError):
+        sinks.has_snapshot(spark, root)
