@@ -95,11 +95,11 @@ def page_edges(pages: DataFrame) -> DataFrame:
     hops = F.filter(F.regexp_extract_all("html", F.lit(META), F.lit(0)), lambda t: t.rlike(r"""(?i)http-equiv\s*=\s*["']?refresh"""))
     marked = pages.where(F.col("html").rlike(r"(?i)canonical|http-equiv")).select("url", F.regexp_replace("html", UNSEEN, " ").alias("html"))
     named = F.concat(F.transform(tags, lambda t: F.regexp_extract(t, HREF, 1)), F.transform(hops, lambda t: F.regexp_extract(t, REFRESH, 1)))
-    own = decoded(F.regexp_extract("html", BASE, 1))
-    found = marked.select("url", F.explode(F.transform(named, lambda t: F.struct(decoded(t).alias("to"), own.alias("base")))).alias("at"))  # exploded, so named once below
-    base = F.coalesce(resolve(F.col("at.base"), F.col("url")), F.col("url"))
-    found = found.select("url", F.col("at.to").alias("to"), base.alias("base")).select("url", resolve(F.col("to"), F.col("base")).alias("whole"))
-    return found.select(node(F.col("url")).alias("source"), node(F.col("whole")).alias("target")).where("source is not null and target is not null and source <> target").distinct()
+    own = F.array(decoded(F.regexp_extract("html", BASE, 1)))
+    base = F.transform(own, lambda b: F.coalesce(resolve(b, F.col("url")), F.col("url")))[0]  # as below, an expression that names its input often gets it by a lambda
+    found = marked.select("url", F.explode(F.transform(named, lambda t: F.struct(decoded(t).alias("to"), base.alias("base")))).alias("at"))
+    target = F.transform(F.transform(F.array("at"), lambda at: resolve(at["to"], at["base"])), node)[0]
+    return found.select(F.transform(F.array("url"), node)[0].alias("source"), target.alias("target")).where("source is not null and target is not null and source <> target").distinct()
 
 
 def url_filter(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES, edges: DataFrame | None = None, default: str = "allow") -> DataFrame:
