@@ -281,7 +281,7 @@ def labelled_page(rng: np.random.Generator) -> tuple[list[Block], list[int]]:
     aside = lambda: pick(advert, side, notice, form)() if maybe(0.12) else ""
     body = (f"<h1>{mark}{say(1, 10)}</h1>" if maybe(0.85) else "") + many(lambda: piece() + aside(), 1, 12)
     main = box(("content", "article", "post", "entry", "main", "story", "article-body", "post-content"), ("article", "article", "article", "main", "div", "section"), body + (talk() if maybe(0.15) else ""))
-    if maybe(0.08):  # paragraphs in no element of their own
+    if maybe(0.2):  # paragraphs in no element of their own
         main = body
     elif maybe(0.25):
         main = pick("<main>", '<div class="container">', '<div id="page">', "<section>") + main
