@@ -1,4 +1,4 @@
-"""Evidence, audit chain and decisions (P-12, S-22, W-2, W-13, W-15, W-16, X-9, K-2, K-3, O-3, P-31)."""
+"""Evidence, audit chain and decisions (P-12, S-22, W-2, W-13, W-15..W-17, J-17, E-23, E-29, X-9, K-2, K-3, O-3, P-31)."""
 
 from __future__ import annotations
 
@@ -49,6 +49,25 @@ def broken_links(chained: DataFrame, group: str = "chain") -> DataFrame:
     return chained.withColumn("good", good).where("not good").drop("good")
 
 
+def chain_coverage(events: DataFrame, links: DataFrame, *keys: str) -> DataFrame:
+    """J-17, E-29: one row: events, links, events without a link, links without an event, links whose contents differ.
+
+    ``events`` holds what is hashed (timestamp, event, payload), ``links`` both hashes; they meet on ``keys``.
+    """
+    told = F.struct("timestamp", "event", "payload")
+    a, b = events.select(*keys, told.alias("told")), links.select(*keys, "previous_hash", "event_hash")
+    both = a.withColumn("_a", F.lit(True)).join(b.withColumn("_b", F.lit(True)), list(keys), "full")
+    differs = F.col("_a") & F.col("_b") & (event_hash("previous_hash", "told.timestamp", "told.event", "told.payload") != F.col("event_hash"))
+    return both.agg(
+        F.count("_a").alias("events"), F.count("_b").alias("links"), F.count_if(F.col("_b").isNull()).alias("unlinked"), F.count_if(F.col("_a").isNull()).alias("orphans"), F.count_if(differs).alias("altered")
+    )
+
+
+def with_stale(actions: DataFrame, snapshot: str, column: str = "snapshot_id") -> DataFrame:
+    """W-17: actions with ``stale``: made under another snapshot than the current one; unknown snapshots are stale."""
+    return actions.withColumn("stale", ~F.col(column).eqNullSafe(F.lit(snapshot)))
+
+
 def pack_evidence(items: DataFrame, key: str, order: str, size: str, budget: int) -> DataFrame:
     """W-13: (key, used, kept, items): per key, in order, every item that still fits the budget, later small ones too.
 
@@ -90,6 +109,11 @@ def page(df: DataFrame, limit: int, offset: int, *order) -> DataFrame:
     return df.orderBy(*order).offset(offset).limit(limit)
 
 
+def page_with_total(df: DataFrame, limit: int, offset: int, *order) -> tuple[DataFrame, int]:
+    """E-23: a page and the count of all rows."""
+    return page(df, limit, offset, *order), df.count()
+
+
 def append_new(new: DataFrame, path: str, key: str) -> int:
     """K-2, K-3: appends rows whose content id the table lacks; returns how many."""
     spark = new.sparkSession

@@ -71,9 +71,9 @@ def degrees(edge_rows: DataFrame) -> DataFrame:
     return both.groupBy("node_id").agg(F.sum("count").alias("degree"))
 
 
-def neighbors(edge_rows: DataFrame, node_id: str, hops: int = 1, limit: int = 500, max_posting: int = 200, relation: str | None = None) -> DataFrame:
-    """G-2: nodes within one or two hops; nodes with more than ``max_posting`` edges are reached but not expanded."""
-    if hops not in (1, 2) or not 1 <= limit <= 500:
+def neighbors(edge_rows: DataFrame, node_id: str, hops: int = 1, limit: int | None = 500, max_posting: int = 200, relation: str | None = None) -> DataFrame:
+    """G-2: nodes within one or two hops, the first ``limit`` of them (None: all); nodes with more than ``max_posting`` edges are reached but not expanded."""
+    if hops not in (1, 2) or not (limit is None or 1 <= limit <= 500):
         raise ValueError("hops must be 1 or 2 and limit 1..500")
     e = edge_rows if relation is None else edge_rows.where(F.col("relation") == relation)
     around = e.select(F.col("source").alias("a"), F.col("target").alias("b")).union(e.select("target", "source"))
@@ -82,7 +82,17 @@ def neighbors(edge_rows: DataFrame, node_id: str, hops: int = 1, limit: int = 50
     found = open_.where(F.col("a") == node_id).select(F.col("b").alias("node_id"), F.lit(1).alias("hop"))
     if hops == 2:
         found = found.union(open_.join(found.select(F.col("node_id").alias("a")), "a").select("b", F.lit(2)))
-    return found.where(F.col("node_id") != node_id).groupBy("node_id").agg(F.min("hop").alias("hop")).orderBy("hop", "node_id").limit(limit)
+    near = found.where(F.col("node_id") != node_id).groupBy("node_id").agg(F.min("hop").alias("hop"))
+    return near if limit is None else near.orderBy("hop", "node_id").limit(limit)
+
+
+def neighborhood(edge_rows: DataFrame, node_id: str, hops: int = 1, limit: int = 500, max_posting: int = 200, relation: str | None = None) -> tuple[DataFrame, bool]:
+    """G-2: the nodes of ``neighbors`` with ``expanded`` (false for those with more than ``max_posting`` edges), and whether the limit cut any off."""
+    found = neighbors(edge_rows, node_id, hops, limit, max_posting, relation)
+    e = edge_rows if relation is None else edge_rows.where(F.col("relation") == relation)
+    big = degrees(e).where(F.col("degree") > max_posting).select("node_id", F.lit(False).alias("expanded"))
+    every = neighbors(edge_rows, node_id, hops, None, max_posting, relation)
+    return found.join(big, "node_id", "left").fillna(True, ["expanded"]), every.limit(limit + 1).count() > limit
 
 
 def two_edge_paths(attrs: DataFrame, policy: GraphPolicy = GraphPolicy()) -> DataFrame:

@@ -1,11 +1,13 @@
-"""Scoring, metrics and training of pair models (C-11..C-14, E-14..E-21, W-8..W-10, L-1..L-3, L-5, L-6, L-8, G-8)."""
+"""Scoring, metrics and training of pair models (C-11..C-14, E-14..E-21, W-8..W-10, L-1..L-6, L-8, G-8)."""
 
 from __future__ import annotations
 
+import re
+import tempfile
 from collections.abc import Mapping
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import sigmoid
@@ -138,6 +140,37 @@ def fit_platt(scores: np.ndarray, labels: np.ndarray, rounds: int = 3000, rate:
     return a, b
 
 
+def fit_calibration(rows: DataFrame, score: str, y: str, split: str = "split", group: str = "group", penalties: tuple[float, ...] = (0.001, 0.01, 0.1), rounds: int = 1500) -> dict:
+    """L-4: slope and intercept of a logistic curve over one score, per penalty on the slope; the least validation Brier wins.
+
+    Each split needs ten rows and both labels, scores lie in 0..1, and no group stands in two splits. Training rows
+    aggregate to distinct (score, label) first; at most FIT_ROWS of these are fitted on the driver, more are refused.
+    """
+    sizes = {r[split]: r for r in rows.groupBy(split).agg(F.count(F.lit(1)).alias("n"), F.count_distinct(y).alias("kinds")).collect()}
+    for k in ("train", "validation", "test"):
+        if k not in sizes or sizes[k].n < 10 or sizes[k].kinds < 2:
+            raise ValueError(f"{k} needs ten rows and both labels")
+    if not rows.where(F.col(score).isNull() | ~F.col(score).between(0, 1)).isEmpty() or not leaks(rows, group, split).isEmpty():
+        raise ValueError("scores must lie in 0..1 and no group in two splits")
+    part = lambda k: rows.where(F.col(split) == k).select(F.col(score).cast("double").alias("x"), F.col(y).cast("int").alias("t"))
+    few = part("train").groupBy("x", "t").agg(F.count(F.lit(1)).alias("n")).limit(FIT_ROWS + 1).toPandas()
+    if len(few) > FIT_ROWS:
+        raise ValueError(f"more than {FIT_ROWS} distinct training scores")
+    x, t, share = few["x"].to_numpy(), few["t"].to_numpy(), few["n"].to_numpy() / few["n"].sum()
+    best: dict | None = None
+    for penalty in penalties:
+        a, b = 1.0, 0.0
+        for _ in range(rounds):
+            g = share * (1 / (1 + np.exp(-np.clip(a * x + b, -40, 40))) - t)
+            a, b = a - 0.5 * (float(g @ x) + penalty * a), b - 0.5 * float(g.sum())
+        found = {"slope": a, "intercept": b, "penalty": penalty, "training_rows": int(few["n"].sum())}
+        for k in ("validation", "test"):
+            found[k] = brier(part(k).withColumn("p", sigmoid(F.col("x") * a + b)), "p", "t").first().brier
+        if best is None or found["validation"] < best["validation"]:
+            best = found
+    return best
+
+
 def fold_constants(weights: dict[str, float], intercept: float, constants: dict[str, float]) -> tuple[dict[str, float], float]:
     """L-5: the same predictions with constant features folded into the intercept."""
     return {f: 0.0 if f in constants else w for f, w in weights.items()}, intercept + sum(weights[f] * c for f, c in constants.items())
@@ -155,8 +188,19 @@ def eligible_labels(decisions: DataFrame) -> DataFrame:
     return definite.groupBy("pair_key").agg(F.max_by("human_label", "seq").alias("label"), F.count_distinct("human_label").alias("kinds")).where("kinds = 1").select("pair_key", "label")
 
 
+def checkpointed(spark: SparkSession) -> None:
+    """Makes sure a checkpoint folder is set: the one that spark.checkpoint.dir names; a local master without one gets its own, others raise."""
+    sc = spark.sparkContext
+    if not sc.getCheckpointDir():
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not re.fullmatch(r"local(\[[^-]*\])?", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoints-"))
+
+
 def label_components(matches: DataFrame, rounds: int = 50) -> DataFrame:
     """G-8: (node, root) of source keys joined by Match pairs (a, b): smallest label spread until nothing changes."""
+    checkpointed(matches.sparkSession)
     both = matches.select(F.col("a").alias("u"), F.col("b").alias("v")).union(matches.select("b", "a")).distinct().persist()
     now = both.select(F.col("u").alias("node")).distinct().withColumn("root", F.col("node"))
     for _ in range(rounds):

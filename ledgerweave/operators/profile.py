@@ -1,4 +1,4 @@
-"""Column profiles and source mappings (E-10..E-13, S-10, S-11, S-14, P-14, P-21, P-22, P-25, J-21, O-9)."""
+"""Column profiles and source mappings (E-10..E-13, S-10, S-11, S-14, P-14, P-21, P-22, P-25, S-26, J-21, O-9)."""
 
 from __future__ import annotations
 
@@ -21,6 +21,11 @@ SUPPLIER_HEADERS = {
     "registration_id": ("registrationid", "registrationnumber", "companynumber", "companieshouse", "crn", "regno", "registrationno", "legalregistrationnumber", "orgnumber", "organisationnumber", "organizationnumber"),
     "tax_id": ("taxid", "vatnumber", "vatregistrationnumber", "vatno", "vat", "stceg", "taxnumber", "taxregistrationnumber", "gstin", "tin", "ustid", "siret", "abn"),
     "postcode": ("postcode", "postalcode", "zip", "zipcode", "pstlz", "pincode"),
+    "address": ("address", "address1", "addressline1", "street", "stras", "streetaddress", "fulladdress", "registeredaddress"),
+    "aliases": ("aliases", "alternatenames", "alsoknownas", "aka", "name2", "tradingnames", "previousname"),
+    "lei": ("lei", "leicode", "legalentityidentifier"),
+    "parent_lei": ("parentlei", "parentlegalentityidentifier", "ultimateparentlei"),
+    "bank_account_hash": ("bankaccounthash", "bankhash", "accounthash"),
 }
 SPEND_HEADERS = {
     "invoice_id": ("invoiceid", "invoiceno", "invoicenumber", "documentno", "documentnumber", "belnr", "billnumber", "voucherno", "transactionid", "xblnr", "referencenumber"),
@@ -32,6 +37,13 @@ SPEND_HEADERS = {
     "description": ("description", "text", "sgtxt", "lineitemtext", "narrative", "details", "itemdescription", "memo"),
 }
 
+AUXILIARY_HEADERS = {
+    "tax_amount": ("taxamount", "vatamount", "tax", "vat", "wmwst", "mwskzamt", "taxvalue", "salestax", "vatvalue"),
+    "gross_amount": ("grossamount", "gross", "amountgross", "totalinclvat", "totalincludingvat", "grosstotal"),
+    "document_type": ("documenttype", "blart", "doctype", "invoicetype", "transactiontype"),
+    "company_code": ("companycode", "bukrs", "entity", "legalentity", "orgunit"),
+}
+
 
 def normalize_header(name: str) -> str:
     """S-10."""
@@ -73,6 +85,13 @@ class SourceMapping:
     transforms: dict[str, list[str]] = field(default_factory=dict)
     date_order: str = "ymd"
     decimal_style: str = "point"
+    #: S-26: the system that ids are told apart by, if they need it; what stands between the parts of an id
+    source_system: str | None = None
+    key_separator: str = ":"
+    #: "supplier" where invoice numbers repeat between suppliers
+    invoice_key_scope: str = "dataset"
+    #: columns that are known but not canonical; they stay among the extras
+    auxiliary: dict[str, str] = field(default_factory=dict)
 
 
 class MappingRefused(ValueError):
@@ -84,6 +103,8 @@ def infer_mapping(df: DataFrame, target: str) -> SourceMapping:
     wanted = SUPPLIER_HEADERS if target == "suppliers" else SPEND_HEADERS
     heads = {normalize_header(c): c for c in df.columns}
     columns = {f: next(heads[s] for s in known if s in heads) for f, known in wanted.items() if any(s in heads for s in known)}
+    known = {} if target == "suppliers" else AUXILIARY_HEADERS
+    auxiliary = {f: c for f, names in known.items() for c in [next((heads[n] for n in names if n in heads and heads[n] not in columns.values()), None)] if c}
     order, style = "ymd", "point"
     if "invoice_date" in columns:
         order = V.date_order(df, columns["invoice_date"]).first().date_order
@@ -93,7 +114,7 @@ def infer_mapping(df: DataFrame, target: str) -> SourceMapping:
         style = V.decimal_style(df, columns["amount"]).first().decimal_style
         if style in ("ambiguous", "conflicting"):
             raise MappingRefused(f"{style} decimals in {columns['amount']}")
-    return SourceMapping(target, columns, {}, order, "point" if style == "plain" else style)
+    return SourceMapping(target, columns, {}, order, "point" if style == "plain" else style, auxiliary=auxiliary)
 
 
 def apply_mapping(df: DataFrame, mapping: SourceMapping) -> DataFrame:
@@ -115,6 +136,47 @@ def apply_mapping(df: DataFrame, mapping: SourceMapping) -> DataFrame:
     return out.withColumn("rejected_reason", F.when(reason != "", reason))
 
 
+def with_keys(mapped: DataFrame, mapping: SourceMapping) -> DataFrame:
+    """S-26: ids unique in the whole dataset: system and supplier before the own number, as the mapping says.
+
+    A native id that holds the separator is rejected, as two different ids could give one key. Empty ids stay empty.
+    """
+    sign, out = mapping.key_separator, mapped
+    own = [f for f in ("supplier_id", "invoice_id") if f in mapped.columns]
+    clash = F.concat_ws(", ", *[F.when(F.contains(F.col(f), F.lit(sign)), F.lit(f"{f} holds the key separator {sign}")) for f in own])
+    out = out.withColumn("rejected_reason", F.coalesce("rejected_reason", F.when(clash != "", clash)))
+    scoped = mapping.invoice_key_scope == "supplier" and len(own) == 2
+    keyed = {}
+    for f in own:
+        parts = [F.lit(mapping.source_system)] if mapping.source_system else []
+        if f == "invoice_id" and scoped:
+            parts.append(F.when(F.col("supplier_id") != "", F.col("supplier_id")))
+        keyed[f] = F.when(F.coalesce(F.col(f), F.lit("")) == "", F.lit("")).otherwise(F.concat_ws(sign, *parts, f))
+    return out.withColumns(keyed)
+
+
+def key_conflicts(mapped: DataFrame, key: str) -> DataFrame:
+    """S-26: keys that rows of different contents share; such a source is refused."""
+    rest = [c for c in mapped.columns if c not in (key, "rejected_reason")]
+    row = F.to_json(F.struct(*rest), {"ignoreNullFields": "false"})
+    return mapped.where("rejected_reason is null").select(key, F.sha2(row, 256).alias("h")).groupBy(key).agg(F.count_distinct("h").alias("variants")).where("variants > 1")
+
+
+def change_counts(df: DataFrame, mapping: SourceMapping) -> DataFrame:
+    """E-12: (field, changed): values of each canonical field that its transforms alter beyond white space at the ends."""
+    mapped = {f: S.apply_transforms(F.col(f"`{c}`"), mapping.transforms.get(f, ["trim"])) for f, c in mapping.columns.items() if f != "amount"}
+    if "invoice_date" in mapped:
+        mapped["invoice_date"] = V.parse_date(F.col(f"`{mapping.columns['invoice_date']}`"), mapping.date_order).cast("string")
+    counts = [F.struct(F.lit(f).alias("field"), F.count_if(v != S.strip(F.col(f"`{mapping.columns[f]}`").cast("string"))).alias("changed")) for f, v in mapped.items()]
+    return df.agg(F.array(*counts).alias("c")).select(F.explode("c").alias("c")).select("c.field", "c.changed")
+
+
+def reconciliation(lines: DataFrame, *keys: str) -> DataFrame:
+    """E-13: per publisher (or other keys): lines, sum of amounts, distinct references and references that repeat."""
+    per = lines.groupBy(*keys, "reference").agg(F.count(F.lit(1)).alias("n"), F.sum("amount").cast("decimal(38,2)").alias("total"))
+    return per.groupBy(*keys).agg(F.sum("n").alias("lines"), F.sum("total").cast("decimal(38,2)").alias("total"), F.count("reference").alias("references"), F.count_if(F.col("reference").isNotNull() & (F.col("n") > 1)).alias("repeated_references"))
+
+
 def infer_type(df: DataFrame, column: str, first: int = 400) -> str:
     """S-14: date, currency, country, number or text of more than nine tenths of the first filled values."""
     x = S.strip(F.col(column).cast("string"))

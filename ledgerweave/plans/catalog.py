@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as S
 from ..functions import values as V
-from ..operators import evidence, graph, match, model, profile, resolve, risk, validate
+from ..operators import benchmark, evidence, explain, feedback, graph, match, model, profile, resolve, risk, validate
 from ..operators import spend as E
 from ..streaming import monitor
 from .lenses import spend, suppliers, table, with_sql
@@ -548,3 +548,173 @@ def audit_chain(spark, d):
 def audit_broken_links(spark, d):
     """W-16: none in an untouched chain."""
     return evidence.broken_links(_chained(spark, d))
+
+
+# ------------------------------------------------------------------ explanations, benchmarks, reviews
+
+_NAME = f"(SELECT supplier_id, {_key('name')} AS nk FROM s)"
+_FIRST_WORDS = f"bl AS (SELECT a.supplier_id AS left_id, b.supplier_id AS right_id FROM (SELECT s.supplier_id, country, nk FROM s JOIN {_NAME} USING (supplier_id)) a JOIN (SELECT s.supplier_id, country, nk FROM s JOIN {_NAME} USING (supplier_id)) b ON a.country = b.country AND split_part(a.nk, ' ', 1) = split_part(b.nk, ' ', 1) AND a.supplier_id < b.supplier_id WHERE a.nk <> '')"
+
+
+@query(with_sql(_OUTCOME.replace("SELECT left_id, right_id, score,", "SELECT left_id, right_id, score, name_levenshtein,") + f""" SELECT left_id, right_id,
+  CASE WHEN conflict THEN '{explain.FACT_CONFLICT}' ELSE '{explain.FACT_NAME}' || printf('%.3f', name_levenshtein) END || '. {explain.FACT_TIER}'
+  || CASE outcome WHEN 'Conflict_Review' THEN 'Conflict_Review' WHEN 'Review_Candidate' THEN 'Uncalibrated_Review' ELSE 'Uncalibrated_Diagnostic' END || '{explain.PAIR_CLOSE}' AS explanation FROM o"""))
+def pair_explanations(spark, d):
+    """S-34."""
+    return explain.explained(_evaluated(spark, d)).select("left_id", "right_id", "explanation")
+
+
+@query(with_sql(_RESOLVED + f""", k AS (SELECT entity_id, supplier_id, name, country, p.registration_id AS r, p.lei AS l, row_number() OVER w AS i, count(*) OVER (PARTITION BY entity_id) AS n FROM p JOIN m USING (supplier_id) WINDOW w AS (PARTITION BY entity_id ORDER BY supplier_id)),
+h AS (SELECT entity_id, any_value(n) AS n, string_agg(to_json(left(name, 120)), ', ' ORDER BY supplier_id) FILTER (i <= 3) || CASE WHEN any_value(n) > 3 THEN ' and ' || (any_value(n) - 3) || ' more source labels' ELSE '' END AS labels FROM k GROUP BY 1),
+t AS (SELECT a.entity_id, a.supplier_id AS x, b.supplier_id AS y, list_filter([CASE WHEN a.r <> '' AND a.r = b.r THEN 'registration ID ' || to_json(a.r) END, CASE WHEN a.l <> '' AND a.l = b.l THEN 'LEI ' || to_json(a.l) END], lambda z: z IS NOT NULL) AS proof,
+  1 - levenshtein(c.nk, e.nk) / greatest(length(c.nk), length(e.nk)) AS lev FROM k a JOIN k b ON a.entity_id = b.entity_id AND a.i = 1 AND b.i = 2 JOIN {_NAME} c ON c.supplier_id = a.supplier_id JOIN {_NAME} e ON e.supplier_id = b.supplier_id)
+SELECT h.entity_id, n AS n_members, CASE WHEN n = 1 THEN 'Source label ' || labels || '{explain.SINGLE_CLOSE}' ELSE 'Grouped source labels ' || labels || ': The first source pair shares supplied ' || array_to_string(proof, ' and ') || '; all ' || (n * (n - 1) // 2)
+  || ' group pair checks passed direct legal identity and conflict rules. Name similarity for ' || x || ' / ' || y || ' is ' || printf('%.3f', lev) || '{explain.GROUP_CLOSE}' END AS rationale FROM h LEFT JOIN t ON t.entity_id = h.entity_id"""))
+def group_rationales(spark, d):
+    """S-35."""
+    s = suppliers(spark, d)
+    return explain.rationales(s, resolve.memberships(s))
+
+
+@query(with_sql("WITH " + _FIRST_WORDS + " SELECT left_id, right_id FROM bl"))
+def baseline_pairs(spark, d):
+    """C-15."""
+    return benchmark.baseline_pairs(suppliers(spark, d))
+
+
+@query()
+def baseline_matches(spark, d):
+    """C-16, with a similarity that SQL lacks."""
+    s = suppliers(spark, d)
+    return benchmark.baseline_matches(s, benchmark.baseline_pairs(s))
+
+
+_TRUE = "SELECT a.supplier_id AS left_id, b.supplier_id AS right_id FROM s a JOIN s b ON a.country = b.country AND right(a.postcode, 1) = right(b.postcode, 1) AND a.supplier_id < b.supplier_id"
+
+
+def _same_place(spark, d):
+    """Pairs of one country and last digit of the postcode, in the place of published positives."""
+    a = suppliers(spark, d).select("country", F.substring("postcode", -1, 1).alias("part"), "supplier_id")
+    return a.withColumnRenamed("supplier_id", "left_id").join(a.withColumnRenamed("supplier_id", "right_id"), ["country", "part"]).where("left_id < right_id").select("left_id", "right_id")
+
+
+@query(with_sql(_PAIRS + ", " + _FIRST_WORDS + f", tr AS ({_TRUE}) SELECT method, positives, retrieved, round(retrieved / nullif(positives, 0), 9) AS recall FROM (SELECT 'indexed' AS method, (SELECT count(*) FROM tr) AS positives, (SELECT count(*) FROM tr JOIN pairs USING (left_id, right_id)) AS retrieved UNION ALL SELECT 'baseline', (SELECT count(*) FROM tr), (SELECT count(*) FROM tr JOIN bl USING (left_id, right_id)))"))
+def candidate_recall(spark, d):
+    """E-19, J-26, O-10."""
+    found = benchmark.candidate_recall(_same_place(spark, d), indexed=_pairs(spark, d), baseline=benchmark.baseline_pairs(suppliers(spark, d)))
+    return found.withColumn("recall", F.round("recall", 9))
+
+
+@query(with_sql(_PAIRS + f", tr AS ({_TRUE}), ru AS (SELECT supplier_id, CASE WHEN country IN ('GB', 'US') THEN '' ELSE lower(country) END AS rule FROM s) SELECT coalesce(nullif(array_to_string(list_sort(list_distinct(list_filter([nullif(a.rule, ''), nullif(b.rule, '')], lambda z: z IS NOT NULL))), '+'), ''), 'base') AS rule, count(*) AS positives, count(hits) AS indexed FROM tr LEFT JOIN pairs USING (left_id, right_id) JOIN ru a ON a.supplier_id = left_id JOIN ru b ON b.supplier_id = right_id GROUP BY 1"))
+def recovery_by_rule(spark, d):
+    """E-19."""
+    rules = suppliers(spark, d).select("supplier_id", F.when(F.col("country").isin("GB", "US"), "").otherwise(F.lower("country")).alias("rule"))
+    return benchmark.recovery_by_rule(_same_place(spark, d), rules, indexed=_pairs(spark, d))
+
+
+@query(with_sql(_FEATURES + " SELECT left_id, right_id, round(name_levenshtein, 9) AS name_levenshtein FROM feat WHERE name_levenshtein < .88 AND (right(left_id, 1) < '5') <> (right(right_id, 1) < '5')"))
+def hard_cross_pairs(spark, d):
+    """P-28, P-33: two sources are made of the suppliers by their last digit."""
+    s = suppliers(spark, d)
+    side = lambda c: F.concat(F.when(F.substring(c, -1, 1) < "5", "S1-").otherwise("S2-"), c)
+    pairs = _pairs(spark, d).select(side("left_id").alias("left_id"), side("right_id").alias("right_id"))
+    crossed = benchmark.cross_source(pairs).select(F.substr("left_id", F.lit(4)).alias("left_id"), F.substr("right_id", F.lit(4)).alias("right_id"))
+    return benchmark.hard_pairs(match.features(s, crossed, CFG)).select("left_id", "right_id", F.round("name_levenshtein", 9).alias("name_levenshtein"))
+
+
+@query(with_sql("WITH seen AS (SELECT DISTINCT postcode, address FROM s) SELECT DISTINCT postcode AS \"group\", 'name_collision' AS reason FROM seen WHERE address IN (SELECT address FROM seen GROUP BY 1 HAVING count(*) > 1) UNION ALL SELECT postcode, 'oversized_variants' FROM seen GROUP BY 1 HAVING count(*) > 8"))
+def unusable_groups(spark, d):
+    """E-27, with postcodes as companies and addresses as names."""
+    return benchmark.unusable_groups(suppliers(spark, d), "postcode", "address")
+
+
+def _reviews(spark, d):
+    """Decisions from events: one evaluation a user, pairs of two users, labels by type."""
+    e = table(spark, d, "events")
+    label = F.when(F.col("event_type") == "error", "Unsure").when(F.col("event_type") == "purchase", "NonMatch").otherwise("Match")
+    return e.select(F.col("user_id").alias("evaluation_id"), F.expr("user_id div 2").alias("pair_key"), label.alias("human_label"), F.col("event_id").alias("seq"))
+
+
+_STATES = """WITH e AS (SELECT user_id AS ev, user_id // 2 AS pair_key, event_id AS seq, CASE event_type WHEN 'error' THEN 'Unsure' WHEN 'purchase' THEN 'NonMatch' ELSE 'Match' END AS y FROM events),
+l AS (SELECT ev, any_value(pair_key) AS pair_key, max(seq) AS seq, arg_max(y, seq) AS y FROM e GROUP BY 1),
+st AS (SELECT pair_key, arg_max(y, seq) AS human_label, CASE WHEN arg_max(y, seq) = 'Unsure' THEN 'unsure' WHEN count(DISTINCT y) FILTER (y <> 'Unsure') > 1 THEN 'conflicting' ELSE 'eligible' END AS state FROM l GROUP BY 1)"""
+
+
+@query(_STATES + " SELECT pair_key, human_label, state FROM st")
+def review_states(spark, d):
+    """J-13, J-14, E-25, P-34."""
+    return feedback.pair_states(_reviews(spark, d)).select("pair_key", "human_label", "state")
+
+
+@query(_STATES + " SELECT (SELECT count(*) FROM e) AS review_events, count(*) FILTER (state = 'eligible') AS eligible_pairs, count(*) FILTER (state = 'unsure') AS unsure_pairs, count(*) FILTER (state = 'conflicting') AS conflicting_pairs FROM st")
+def review_statistics(spark, d):
+    """E-21."""
+    return feedback.statistics(_reviews(spark, d))
+
+
+@query("SELECT doc_id, lang FROM documents LEFT JOIN labels USING (doc_id) WHERE labels.doc_id IS NULL")
+def unlabelled_documents(spark, d):
+    """J-15."""
+    return feedback.missing(table(spark, d, "documents").select("doc_id", "lang"), table(spark, d, "labels"), "doc_id")
+
+
+@query(with_sql(_RESOLVED + """, pr AS (SELECT left_source, right_source, human_label FROM (SELECT root AS left_source, supplier_id AS right_source, 'Match' AS human_label FROM m WHERE root <> supplier_id UNION ALL SELECT root, lead(root) OVER (ORDER BY root), 'NonMatch' FROM (SELECT DISTINCT root FROM m)) WHERE right_source IS NOT NULL),
+a AS (SELECT supplier_id AS source, root, CAST('0x' || left(sha256(root), 8) AS BIGINT) / 4294967296.0::DOUBLE AS h FROM m), b AS (SELECT *, CASE WHEN h < .6 THEN 'train' WHEN h < .75 THEN 'validation' WHEN h < .85 THEN 'calibration' ELSE 'test' END AS split FROM a)
+SELECT CASE WHEN l.split = r.split THEN l.split END AS split, human_label, count(*) AS n FROM pr JOIN b l ON l.source = left_source JOIN b r ON r.source = right_source GROUP BY 1, 2"""))
+def review_splits(spark, d):
+    """G-8, G-9, J-29, E-20: Match pairs within entities, NonMatch pairs between neighbouring ones."""
+    members = _members(spark, d).select("supplier_id", "root")
+    inside = members.where("root <> supplier_id").select(F.col("root").alias("left_source"), F.col("supplier_id").alias("right_source"), F.lit("Match").alias("human_label"))
+    after = F.lead("root").over(Window.orderBy("root"))  # a dimension of suppliers
+    between = members.select("root").distinct().select(F.col("root").alias("left_source"), after.alias("right_source"), F.lit("NonMatch").alias("human_label")).where("right_source is not null")
+    pairs = inside.unionByName(between)
+    return feedback.partition_counts(feedback.with_splits(pairs, feedback.assignments(pairs)))
+
+
+@query("WITH c AS (SELECT *, max(turn) OVER (PARTITION BY conv_id) AS last FROM conversations) SELECT count(*) AS events, count(*) FILTER (turn < last) AS links, count(*) FILTER (turn >= last) AS unlinked, CAST(0 AS BIGINT) AS orphans, count(*) FILTER (turn < last AND turn % 3 = 1) AS altered FROM c")
+def audit_coverage(spark, d):
+    """J-17, E-29: every conversation's last event has no link, every third one was altered."""
+    whole = _chained(spark, d)
+    last = whole.groupBy("chain").agg(F.max("sequence").alias("last"))
+    links = whole.join(last, "chain").where("sequence < last").drop("last")
+    events = whole.withColumn("payload", F.when(F.col("sequence") % 3 == 1, "altered").otherwise(F.col("payload")))
+    return evidence.chain_coverage(events, links, "chain", "sequence")
+
+
+@query(with_sql(_RESOLVED + ", was AS (SELECT supplier_id, CASE WHEN hash_of % 3 = 0 THEN entity_id ELSE supplier_id END AS was FROM (SELECT *, CAST(right(root, 6) AS BIGINT) AS hash_of FROM m) WHERE CAST(right(supplier_id, 6) AS BIGINT) % 13 <> 0) SELECT entity_id, count(*) > 1 AND count(was) = count(*) AND min(was) <> max(was) IS TRUE AS newly_grouped FROM m LEFT JOIN was USING (supplier_id) GROUP BY 1"))
+def newly_grouped(spark, d):
+    """J-27: in the snapshot before, two thirds of the groups were single records and every thirteenth supplier was unknown."""
+    now = _members(spark, d)
+    number = lambda c: F.substring(c, -6, 6).cast("long")
+    before = now.where(number("supplier_id") % 13 != 0).select("supplier_id", F.when(number("root") % 3 == 0, F.col("entity_id")).otherwise(F.col("supplier_id")).alias("entity_id"))
+    return risk.newly_grouped(now, before)
+
+
+_KEYS = profile.SourceMapping("spend", {"invoice_id": "doc", "supplier_id": "vendor", "invoice_date": "day"}, {"supplier_id": ["upper", "strip_leading_zeros"]}, source_system="ERP1", invoice_key_scope="supplier")
+
+
+def _postings(spark, d):
+    """Lines as an export would hold them: vendor numbers with zeros, document numbers that repeat between vendors, some with the separator."""
+    n = F.col("l_linenumber").cast("string")
+    doc = F.when(F.col("l_orderkey") % 50 == 0, F.concat(n, F.lit(":"), n)).otherwise(n)
+    return table(spark, d, "lineitem").select(doc.alias("doc"), F.lpad(F.col("l_suppkey").cast("string"), 6, "0").alias("vendor"), F.date_format("l_shipdate", "yyyy-MM-dd").alias("day"))
+
+
+@query("SELECT CASE WHEN l_orderkey % 50 = 0 THEN 'invoice_id holds the key separator :' END AS rejected_reason, 'ERP1:' || l_suppkey AS supplier_id, 'ERP1:' || l_suppkey || ':' || CASE WHEN l_orderkey % 50 = 0 THEN l_linenumber || ':' || l_linenumber ELSE l_linenumber || '' END AS invoice_id, count(*) AS n FROM lineitem GROUP BY ALL")
+def surrogate_keys(spark, d):
+    """S-26, P-22."""
+    keyed = profile.with_keys(profile.apply_mapping(_postings(spark, d), _KEYS), _KEYS)
+    return keyed.groupBy("rejected_reason", "supplier_id", "invoice_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT 'invoice_id' AS field, CAST(0 AS BIGINT) AS changed UNION ALL SELECT 'supplier_id', count(*) FILTER (length(l_suppkey || '') < 6) FROM lineitem UNION ALL SELECT 'invoice_date', CAST(0 AS BIGINT)")
+def change_counts(spark, d):
+    """E-12."""
+    return profile.change_counts(_postings(spark, d), _KEYS)
+
+
+@query(with_sql("WITH r AS (SELECT currency, category || '-' || CAST(invoice_date AS VARCHAR) AS reference, count(*) AS n, sum(amount) AS t FROM v GROUP BY 1, 2) SELECT currency, CAST(sum(n) AS BIGINT) AS lines, CAST(sum(t) AS DECIMAL(38,2)) AS total, count(reference) AS \"references\", count(*) FILTER (n > 1) AS repeated_references FROM r GROUP BY 1"))
+def source_reconciliation(spark, d):
+    """E-13."""
+    lines = spend(spark, d).withColumn("reference", F.concat_ws("-", "category", F.col("invoice_date").cast("string")))
+    return profile.reconciliation(lines, "currency")

@@ -163,6 +163,46 @@ def read_pairs_benchmark(spark: SparkSession, left: str, right: str, labels: str
     return records, pairs.select(F.concat(F.lit("l:"), F.col(a)).alias("left_id"), F.concat(F.lit("r:"), F.col(b)).alias("right_id"), F.col(y).cast("int").alias("label"))
 
 
+def read_grouped_truth(spark: SparkSession, sources: list[str], truth: str, groups: int, seed: str = "1729") -> tuple[DataFrame, DataFrame]:
+    """A-14: records of several TSVs and their groups, for the ``groups`` truth rows of the smallest seeded hash.
+
+    A truth row names its own entity and, comma separated, those that match it. An entity in two groups, or one that no
+    source holds, is refused. Returns (records with group, positive pairs with ordered ends).
+    """
+    read = lambda p: spark.read.csv(p, sep="\t", header=True)
+    rows = hash_sample(read(truth), "source1_entity_id", groups, seed)
+    named = F.filter(F.transform(F.split(F.coalesce("matched_entity_ids", F.lit("")), ","), lambda x: F.trim(x)), lambda x: x != "")
+    pairs = rows.select(F.col("source1_entity_id").alias("group"), F.explode(named).alias("entity_id")).distinct()
+    members = rows.select(F.col("source1_entity_id").alias("group"), F.col("source1_entity_id").alias("entity_id")).union(pairs).distinct()
+    if not members.groupBy("entity_id").count().where("count > 1").isEmpty():
+        raise ValueError("a record belongs to several groups")
+    found = None
+    for path in sources:
+        part = read(path).select("entity_id", *[F.coalesce(c, F.lit("")).alias(n) for c, n in (("business_name", "name"), ("business_address", "address"), ("country", "country"))], F.lit("").alias("postcode"))
+        found = part if found is None else found.unionByName(part)
+    if not members.join(found, "entity_id", "left_anti").isEmpty():
+        raise ValueError("the sources lack records of the chosen groups")
+    records = found.join(members, "entity_id").withColumnRenamed("entity_id", "supplier_id")
+    ordered = pairs.where("group <> entity_id").select(F.least("group", "entity_id").alias("left_id"), F.greatest("group", "entity_id").alias("right_id"))
+    return records, ordered
+
+
+def read_labels(spark: SparkSession, path: str) -> DataFrame:
+    """A-22: JSON lines of reviewed pairs; a line that isn't such a label refuses the file."""
+    schema = "evaluation_id string, config_id string, split string, similarity_score double, human_label string, entity_group_ids array<string>, _bad string"
+    rows = spark.read.schema(schema).json(path, columnNameOfCorruptRecord="_bad")
+    ok = F.col("_bad").isNull() & F.col("evaluation_id").isNotNull() & F.col("human_label").isin("Match", "NonMatch") & (F.size("entity_group_ids") > 0)
+    if not rows.where(~F.coalesce(ok, F.lit(False))).isEmpty():
+        raise ValueError("a line is no definite label")
+    return rows.drop("_bad")
+
+
+def files_digest(spark: SparkSession, *paths: str) -> str:
+    """E-28: one digest of a set of files: the hashes of names and contents, by name. Contents are hashed where they are read."""
+    rows = spark.read.format("binaryFile").load(list(paths)).select(F.element_at(F.split("path", "/"), -1).alias("name"), F.sha2("content", 256).alias("h"))
+    return rows.agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("name", "h"))), lambda x: F.concat_ws("\n", x["name"], x["h"])), "\n"), 256)).first()[0]
+
+
 def hash_sample(df: DataFrame, key: str, n: int, seed: str) -> DataFrame:
     """A-12, O-6: all rows of the n keys with the smallest seeded hash; a sampling operator."""
     keys = df.select(key).distinct().orderBy(F.sha2(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")), 256)).limit(n)

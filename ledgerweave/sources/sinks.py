@@ -1,4 +1,4 @@
-"""Sinks (K-1, K-4, K-6, K-8, K-9, K-13): snapshots with numbered pointers written last, JSONL and Parquet exports, verified archives."""
+"""Sinks (K-1, K-4..K-14, A-10): snapshots with numbered pointers written last, JSONL and Parquet exports, verified archives."""
 
 from __future__ import annotations
 
@@ -58,6 +58,79 @@ def export_jsonl(tables: dict[str, DataFrame], path: str) -> None:
     out.write.mode("errorifexists").text(path)
 
 
+def write_json(spark: SparkSession, path: str, value: dict) -> None:
+    """K-12: a JSON artifact, written under another name beside its place and moved there whole; an old one is replaced."""
+    jvm = spark.sparkContext._jvm
+    at, tmp = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(f"{path}.{uuid.uuid4().hex}.tmp")
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    out = fs.create(tmp, False)
+    try:
+        out.write(bytearray(json.dumps(value, sort_keys=True, ensure_ascii=False).encode()))
+    finally:
+        out.close()
+    if fs.exists(at):
+        fs.delete(at, False)
+    if not fs.rename(tmp, at):
+        raise RuntimeError(f"{path} was not put in place")
+
+
+def read_json(spark: SparkSession, path: str) -> dict:
+    """A-22: a JSON artifact."""
+    return json.loads(spark.read.text(path, wholetext=True).first()[0])
+
+
+def export_labels(rows: DataFrame, path: str, form: str = "jsonl") -> int:
+    """K-5, K-7: labels as JSON lines or Parquet; the job's commit puts all files in place, a path in use is refused."""
+    if form not in ("jsonl", "parquet"):
+        raise ValueError("form must be jsonl or parquet")
+    writer = rows.write.mode("errorifexists")
+    writer.json(path) if form == "jsonl" else writer.parquet(path)
+    spark = rows.sparkSession
+    return (spark.read.schema(rows.schema).json(path) if form == "jsonl" else spark.read.parquet(path)).count()
+
+
+def _content_mark(df: DataFrame) -> dict:
+    """Rows and a digest sum that doesn't depend on their order or files."""
+    h = F.conv(F.substring(F.sha2(F.to_json(F.struct(*sorted(df.columns)), {"ignoreNullFields": "false"}), 256), 1, 15), 16, 10).cast("decimal(38,0)")
+    row = df.agg(F.count(F.lit(1)).alias("n"), F.sum(h).alias("h")).first()
+    return {"rows": row.n, "columns": df.columns, "digest": str(row.h or 0)}
+
+
+class PreparedRefused(ValueError):
+    """A prepared dataset that isn't what its manifest says."""
+
+
+def write_prepared(tables: dict[str, DataFrame], root: str, mappings: dict[str, dict]) -> dict:
+    """K-10, K-11: every canonical table as CSV with its mapping, and the manifest last, so a torn directory never validates."""
+    spark, manifest = next(iter(tables.values())).sparkSession, {"version": "prepared-v1", "mappings": mappings, "tables": {}}
+    for name, df in tables.items():
+        text = df.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in df.columns])
+        text.write.mode("errorifexists").csv(f"{root}/{name}", header=True, quoteAll=True, escape='"', emptyValue="", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+        manifest["tables"][name] = _content_mark(_read_prepared(spark, f"{root}/{name}", df.columns))
+        if manifest["tables"][name] != _content_mark(text):
+            raise PreparedRefused(f"{name} was not written as it is")
+    write_json(spark, f"{root}/manifest.json", manifest)
+    return manifest
+
+
+def _read_prepared(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
+    schema = ", ".join(f"`{c}` string" for c in columns)
+    return spark.read.schema(schema).csv(path, header=True, multiLine=True, escape='"', enforceSchema=False, emptyValue="", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).fillna("")
+
+
+def read_prepared(spark: SparkSession, root: str) -> dict[str, DataFrame]:
+    """A-10: the tables of a prepared directory, each checked against its manifest; changed ones are refused."""
+    manifest = read_json(spark, f"{root}/manifest.json")
+    if manifest.get("version") != "prepared-v1":
+        raise PreparedRefused("unknown manifest")
+    out = {}
+    for name, mark in manifest["tables"].items():
+        out[name] = _read_prepared(spark, f"{root}/{name}", mark["columns"])
+        if _content_mark(out[name]) != mark:
+            raise PreparedRefused(f"{name} changed after it was prepared")
+    return out
+
+
 def archive_then_compact(df: DataFrame, old, archive: str, keep: str) -> int:
     """K-13: old rows are archived and the copy verified before the rest is written; returns how many went."""
     gone, rest = df.where(old), df.where(~old)
