@@ -1,4 +1,4 @@
-"""Evidence, audit chain and decisions (P-12, S-22, W-2, W-13, W-15..W-17, J-17, E-23, E-29, X-9, K-2, K-3, O-3, P-31)."""
+"""Evidence, audit chain and decisions (P-12, P-13, S-22, W-2, W-13, W-15..W-17, J-17, J-18, E-23, E-29, X-9, K-2, K-3, O-3, P-31)."""
 
 from __future__ import annotations
 
@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
+from ..functions import text as S
+
 GENESIS = "0" * 64
 
 
@@ -19,6 +21,31 @@ def excerpt(*cols: str):
     return F.concat_ws("; ", *[F.concat(F.lit(c + ": "), F.coalesce(F.col(c).cast("string"), F.lit(""))) for c in cols])
 
 
+#: fixed values: what a staged action shows of its records and of itself
+SOURCE_FIELDS = ("supplier_id", "name", "country", "registration_id", "tax_id", "postcode", "address", "lei", "parent_lei", "bank_account_hash")
+INTENT_FIELDS = ("action_id", "snapshot", "entity_id", "operation", "target_binding", "payload", "source_records")
+
+
+def source_records(s: DataFrame) -> DataFrame:
+    """P-13: records as an action carries them; what a source lacks is ''."""
+    return s.select(*[(F.coalesce(F.col(c).cast("string"), F.lit("")) if c in s.columns else F.lit("")).alias(c) for c in SOURCE_FIELDS])
+
+
+def intents(actions: DataFrame) -> DataFrame:
+    """P-13: what an action intends, with the digest that binds it."""
+    rows = actions.select(*INTENT_FIELDS)
+    return rows.withColumn("intent_hash", S.fingerprint(*[F.col(c) for c in sorted(INTENT_FIELDS)]))
+
+
+def pending_dispatch(outbox: DataFrame, jobs: DataFrame, now: float, limit: int | None = 100, again: float = 30.0) -> DataFrame:
+    """J-18: messages of queued or running jobs that were never published under their epoch, or longer than ``again`` seconds
+    ago; oldest first. ``limit`` is how many one round hands out (None: all)."""
+    due = outbox.where((F.col("epoch") > F.col("published_epoch")) | (F.col("last_published") < now - again))
+    live = jobs.where(F.col("state").isin("queued", "running")).select("action_id", "intent_hash", "state")
+    rows = due.join(live, "action_id")
+    return rows if limit is None else rows.orderBy("last_published", "action_id").limit(limit)
+
+
 def event_hash(previous, timestamp, event, payload):
     return F.sha2(F.concat_ws("\n", previous, timestamp, event, payload), 256)
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import hashlib
+import json
+from dataclasses import asdict, dataclass, fields
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -14,11 +16,22 @@ RELATIONS = {"registration_id": "HAS_REGISTRATION", "lei": "HAS_LEI", "parent_le
 
 @dataclass(frozen=True)
 class GraphPolicy:
+    """S-36, G-5: limits of path discovery; out-of-range values are refused."""
+
     max_posting: int = 40
     max_neighbors: int = 40
     max_paths: int = 2
     max_expansions: int = 20_000
 
+    def __post_init__(self) -> None:
+        if any(type(getattr(self, f.name)) is not int or getattr(self, f.name) < 1 for f in fields(self)) or self.max_posting < 2 or self.max_paths > 5:
+            raise ValueError("limits are positive integers, postings of two rows or more, at most five paths")
+
+    @property
+    def policy_id(self) -> str:
+        """Digest of the policy's canonical JSON."""
+        return hashlib.sha256(json.dumps(asdict(self), sort_keys=True).encode()).hexdigest()
+
 
 class ExpansionBudget(RuntimeError):
     """G-5: more path expansions than the policy allows."""

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import hashlib
+import json
+from dataclasses import asdict, dataclass, fields
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -32,8 +34,23 @@ class MatchConfig:
     soundex: bool = True
 
     def __post_init__(self) -> None:
-        if not 0 <= self.near_miss_floor <= self.review_threshold <= 1 or self.max_posting < 1 or self.ngram_size < 1:
-            raise ValueError("match configuration out of range")
+        for f in fields(self):
+            v = getattr(self, f.name)
+            whole, number = type(v) is int and v >= 0, type(v) in (int, float) and 0 <= v <= 1
+            if not {"int": whole, "float": number, "bool": type(v) is bool}[f.type]:
+                raise ValueError(f"{f.name} = {v!r}")
+        least = {"min_shared_grams": 1, "max_posting": 2, "max_candidates_per_record": 1, "max_evaluations": 1}
+        if low := [name for name, n in least.items() if getattr(self, name) < n]:
+            raise ValueError(f"too small: {low}")
+        if not 2 <= self.ngram_size <= 5 or not 16 <= self.max_feature_chars <= 1000:
+            raise ValueError("grams are of 2 to 5 letters, features of 16 to 1000")
+        if not self.near_miss_floor < self.review_threshold or self.name_weight == 0:
+            raise ValueError("near_miss_floor lies below review_threshold, name_weight above 0")
+
+    @property
+    def config_id(self) -> str:
+        """Digest of the configuration's canonical JSON."""
+        return hashlib.sha256(json.dumps(asdict(self), sort_keys=True, separators=(",", ":")).encode()).hexdigest()
 
 
 class BudgetExceeded(RuntimeError):
@@ -81,6 +98,7 @@ def candidates(posts: DataFrame, cfg: MatchConfig = MatchConfig()) -> DataFrame:
 
 
 def within_budget(pairs: DataFrame, cfg: MatchConfig) -> DataFrame:
+    """C-5: the pairs, if they may all be evaluated. Costs a count, so callers that don't need the limit leave it out."""
     if (n := pairs.count()) > cfg.max_evaluations:
         raise BudgetExceeded(f"{n} pairs exceed {cfg.max_evaluations}")
     return pairs

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
+import math
 import re
 import tempfile
 from collections.abc import Mapping
@@ -103,6 +106,97 @@ def leaks(df: DataFrame, group: str, split: str = "split") -> DataFrame:
     return df.groupBy(group).agg(F.count_distinct(split).alias("splits")).where("splits > 1")
 
 
+def split_faults(rows: DataFrame, splits: tuple[str, ...] = ("train", "validation", "test"), least: int = 10) -> DataFrame:
+    """L-1: (fault, key, n) of labelled pairs that can't be split as they are; no rows if they can.
+
+    ``rows`` holds evaluation_id, pair_key, split, human_label, entity_group_ids and record_keys. Ids and pairs stand
+    once, groups and records in one split; labels are definite, splits known, both ends named; each split has ``least`` rows
+    and both labels. One shuffle: every row gives its keys, which aggregate before it.
+    """
+    one = lambda kind, key: F.struct(F.lit(kind).alias("kind"), key.cast("string").alias("key"))
+    many = lambda kind, keys: F.transform(F.array_distinct(keys), lambda k: one(kind, k))
+    none = F.array().cast("array<struct<kind:string,key:string>>")
+    eid = F.col("evaluation_id")
+    bad = lambda kind, good: F.when(~F.coalesce(good, F.lit(False)), F.array(one(kind, eid))).otherwise(none)
+    named = lambda c: F.forall(c, lambda k: F.coalesce(F.trim(k) != "", F.lit(False)))
+    groups, ends = F.col("entity_group_ids"), F.col("record_keys")
+    keys = F.concat(
+        F.array(one("repeated evaluation", eid), one("repeated pair", F.col("pair_key")), one("split", F.col("split"))),
+        F.coalesce(many("group in several splits", groups), none), F.coalesce(many("record in several splits", ends), none),
+        bad("label", F.col("human_label").isin("Match", "NonMatch")), bad("unknown split", F.col("split").isin(*splits)),
+        bad("groups", (F.size(groups) > 0) & named(groups)), bad("records", (F.size(ends) == 2) & named(ends) & (ends[0] != ends[1])),
+        bad("no id", (F.trim(eid) != "") & (F.trim("pair_key") != "")),
+    )
+    spark = rows.sparkSession
+    seen = rows.select(F.explode(keys).alias("k"), "split", "human_label", F.lit(1).alias("one")).select("k.*", "split", "human_label", "one")
+    all_splits = spark.createDataFrame([("split", s, s, None, 0) for s in splits], "kind string, key string, split string, human_label string, one int")
+    told = seen.unionByName(all_splits).groupBy("kind", "key").agg(F.sum("one").alias("n"), (F.min("split") != F.max("split")).alias("apart"), F.count_if(F.col("human_label") == "Match").alias("yes"), F.count_if(F.col("human_label") == "NonMatch").alias("no"))
+    kind, n = F.col("kind"), F.col("n")
+    small = (n < least) | (F.col("yes") == 0) | (F.col("no") == 0)
+    wrong = F.when(kind.isin("repeated evaluation", "repeated pair"), (n > 1) & F.col("key").isNotNull()).when(kind.endswith("in several splits"), F.col("apart")).when(kind == "split", F.col("key").isin(*splits) & small).otherwise(True)
+    return told.where(wrong).select(F.when(kind == "split", "small split or one label").otherwise(kind).alias("fault"), "key", "n")
+
+
+class ModelRefused(ValueError):
+    """A model artifact that isn't whole or doesn't fit its use."""
+
+
+def unusable_features(df: DataFrame, *features: str) -> DataFrame:
+    """S-37: rows with a feature that is null, not a number or outside 0..1."""
+    good = [F.coalesce(F.col(f).cast("double").between(0, 1) & ~F.isnan(F.col(f).cast("double")), F.lit(False)) for f in features]
+    return df.where(~F.forall(F.array(*good), lambda x: x))
+
+
+def training_support(train: DataFrame, *features: str) -> dict:
+    """S-37, E-18: rows, ranges and constants of the training features; unusable ones and no rows at all are refused."""
+    if not unusable_features(train, *features).isEmpty():
+        raise ModelRefused("features are numbers of 0..1")
+    n, rows = train.count(), feature_ranges(train, *features).collect()  # one row a feature
+    if not n:
+        raise ModelRefused("no training rows")
+    return {"rows": n, "ranges": {r.feature: [r.low, r.high] for r in rows}, "constants": {r.feature: r.low for r in rows if r.constant}}
+
+
+def _model_id(artifact: dict) -> str:
+    return hashlib.sha256(json.dumps({k: v for k, v in artifact.items() if k != "model_id"}, sort_keys=True).encode()).hexdigest()
+
+
+def model_artifact(fit: dict, support: dict, config_id: str, domain: str, calibration: dict | None = None) -> dict:
+    """S-37: a fitted model as an artifact that names what it was made for and carries its own digest."""
+    artifact = {"version": "pair-model-v1", "config_id": config_id, "domain": domain, "weights": dict(fit["weights"]), "intercept": fit["intercept"], "threshold": fit["threshold"], "support": support, "calibration": calibration}
+    return artifact | {"model_id": _model_id(artifact)}
+
+
+def check_artifact(artifact: dict, features: tuple[str, ...], config_id: str, domain: str) -> dict:
+    """S-37: the artifact, if it is whole, unchanged and made for this configuration and domain; else ModelRefused.
+
+    Coefficients are finite, those of features that were constant in training 0, ranges lie in 0..1, a calibration never
+    turns the order round and rests on ten rows or more.
+    """
+    finite = lambda v: type(v) in (int, float) and math.isfinite(v)
+    inside = lambda v: finite(v) and 0 <= v <= 1
+    try:
+        if artifact["version"] != "pair-model-v1" or (artifact["config_id"], artifact["domain"]) != (config_id, domain):
+            raise ModelRefused("another version, configuration or domain")
+        weights, support, calibration = artifact["weights"], artifact["support"], artifact["calibration"]
+        if set(weights) != set(features) or not all(map(finite, [*weights.values(), artifact["intercept"]])):
+            raise ModelRefused("one finite coefficient a feature")
+        if not inside(artifact["threshold"]):
+            raise ModelRefused("the threshold lies in 0..1")
+        ranges = support["ranges"]
+        if type(support["rows"]) is not int or support["rows"] < 1 or set(ranges) != set(features) or not all(inside(a) and inside(b) and a <= b for a, b in ranges.values()):
+            raise ModelRefused("one range of 0..1 a feature")
+        if support["constants"] != {f: a for f, (a, b) in ranges.items() if a == b} or any(weights[f] != 0 for f in support["constants"]):
+            raise ModelRefused("features that were constant in training have no weight")
+        if calibration is not None and not (finite(calibration["slope"]) and calibration["slope"] >= 0 and finite(calibration["intercept"]) and calibration["rows"] >= 10):
+            raise ModelRefused("calibration")
+        if artifact["model_id"] != _model_id(artifact):
+            raise ModelRefused("the digest differs")
+    except (KeyError, TypeError, ValueError) as e:
+        raise e if isinstance(e, ModelRefused) else ModelRefused(f"not whole: {e!r}") from e
+    return artifact
+
+
 def fit_pair_model(train: DataFrame, validation: DataFrame, features: list[str], y: str, target: float = 0.95, penalties: tuple[float, ...] = (1e-4, 1e-3, 1e-2), rounds: int = 1800) -> dict:
     """L-2: full-batch logistic descent per penalty, constant features frozen at 0; best by validation recall, then Brier.
 

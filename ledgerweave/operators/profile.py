@@ -177,6 +177,12 @@ def reconciliation(lines: DataFrame, *keys: str) -> DataFrame:
     return per.groupBy(*keys).agg(F.sum("n").alias("lines"), F.sum("total").cast("decimal(38,2)").alias("total"), F.count("reference").alias("references"), F.count_if(F.col("reference").isNotNull() & (F.col("n") > 1)).alias("repeated_references"))
 
 
+def modal_width(rows: DataFrame, width: str, *keys: str) -> DataFrame:
+    """E-11: the commonest width of each key's rows, the greater of equally common ones."""
+    sizes = rows.groupBy(*keys, width).agg(F.count(F.lit(1)).alias("n"))
+    return sizes.groupBy(*keys).agg(F.max(F.struct("n", width)).alias("m")).select(*keys, F.col(f"m.{width}").alias("width"), F.col("m.n").alias("n"))
+
+
 def infer_type(df: DataFrame, column: str, first: int = 400) -> str:
     """S-14: date, currency, country, number or text of more than nine tenths of the first filled values."""
     x = S.strip(F.col(column).cast("string"))

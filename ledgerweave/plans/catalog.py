@@ -718,3 +718,45 @@ def source_reconciliation(spark, d):
     """E-13."""
     lines = spend(spark, d).withColumn("reference", F.concat_ws("-", "category", F.col("invoice_date").cast("string")))
     return profile.reconciliation(lines, "currency")
+
+
+@query(with_sql("SELECT supplier_id, name, country, registration_id, tax_id, postcode, address, lei, parent_lei, '' AS bank_account_hash FROM s"))
+def source_records(spark, d):
+    """P-13."""
+    return evidence.source_records(suppliers(spark, d))
+
+
+@query("SELECT o_orderkey AS action_id, o_custkey % 3 AS epoch, o_custkey % 2 AS published_epoch, o_orderkey % 100 AS last_published, md5(l_comment_of || '') AS intent_hash, state FROM (SELECT o_orderkey, o_custkey FROM orders) JOIN (SELECT l_orderkey AS o_orderkey, l_partkey AS l_comment_of, CASE l_returnflag WHEN 'A' THEN 'queued' WHEN 'R' THEN 'running' ELSE 'done' END AS state FROM lineitem WHERE l_linenumber = 1) USING (o_orderkey) WHERE state <> 'done' AND (o_custkey % 3 > o_custkey % 2 OR o_orderkey % 100 < 50)")
+def pending_dispatch(spark, d):
+    """J-18: orders as messages, their first lines as jobs; all that is due at second 80."""
+    outbox = table(spark, d, "orders").select(F.col("o_orderkey").alias("action_id"), F.expr("o_custkey % 3").alias("epoch"), F.expr("o_custkey % 2").alias("published_epoch"), F.expr("o_orderkey % 100").alias("last_published"))
+    state = F.when(F.col("l_returnflag") == "A", "queued").when(F.col("l_returnflag") == "R", "running").otherwise("done")
+    jobs = table(spark, d, "lineitem").where("l_linenumber = 1").select(F.col("l_orderkey").alias("action_id"), F.md5(F.col("l_partkey").cast("string")).alias("intent_hash"), state.alias("state"))
+    return evidence.pending_dispatch(outbox, jobs, 80.0, None)
+
+
+@query("WITH w AS (SELECT source, len(text) - len(replace(text, ' ', '')) + 1 AS width, count(*) AS n FROM documents WHERE text IS NOT NULL GROUP BY ALL) SELECT source, max(struct_pack(n := n, w := width)).w AS width, max(n) AS n FROM w GROUP BY 1")
+def modal_width(spark, d):
+    """E-11: blanks in a text, plus one, as its width."""
+    text = F.length("text") - F.length(F.replace("text", F.lit(" "), F.lit(""))) + 1
+    return profile.modal_width(table(spark, d, "documents").where("text is not null").select("source", text.cast("long").alias("width")), "width", "source")
+
+
+@query("""WITH r AS (SELECT CAST(o_orderkey % 5000 AS VARCHAR) AS e, 'p' || o_orderkey AS p, CASE o_orderkey % 4 WHEN 0 THEN 'train' WHEN 1 THEN 'validation' WHEN 2 THEN 'test' ELSE 'spare' END AS s, CASE o_orderstatus WHEN 'O' THEN 'Match' WHEN 'F' THEN 'NonMatch' ELSE 'Unsure' END AS l,
+  CASE WHEN o_orderkey % 7 = 0 THEN [] ELSE ['g' || o_custkey] END AS g, ['c' || o_custkey, 'c' || (o_custkey + o_orderkey % 3)] AS k FROM orders)
+SELECT 'repeated evaluation' AS fault, e AS key, count(*) AS n FROM r GROUP BY 2 HAVING count(*) > 1 UNION ALL SELECT 'repeated pair', p, count(*) FROM r GROUP BY 2 HAVING count(*) > 1
+UNION ALL SELECT 'group in several splits', x, count(*) FROM (SELECT unnest(g) AS x, s FROM r) GROUP BY 2 HAVING min(s) <> max(s) UNION ALL SELECT 'record in several splits', x, count(*) FROM (SELECT unnest(list_distinct(k)) AS x, s FROM r) GROUP BY 2 HAVING min(s) <> max(s)
+UNION ALL SELECT 'label', e, count(*) FROM r WHERE l = 'Unsure' GROUP BY 2 UNION ALL SELECT 'unknown split', e, count(*) FROM r WHERE s = 'spare' GROUP BY 2 UNION ALL SELECT 'groups', e, count(*) FROM r WHERE len(g) = 0 GROUP BY 2
+UNION ALL SELECT 'records', e, count(*) FROM r WHERE k[1] = k[2] GROUP BY 2 UNION ALL SELECT 'small split or one label', s, count(*) FROM r WHERE s <> 'spare' GROUP BY 2 HAVING count(*) < 10 OR count(*) FILTER (l = 'Match') = 0 OR count(*) FILTER (l = 'NonMatch') = 0""")
+def split_faults(spark, d):
+    """L-1: orders as labelled pairs, with many faults of each kind."""
+    key = F.col("o_orderkey")
+    status = F.col("o_orderstatus")
+    group, other = F.concat(F.lit("g"), "o_custkey"), F.concat(F.lit("c"), (F.col("o_custkey") + key % 3).cast("string"))
+    rows = table(spark, d, "orders").select(
+        (key % 5000).cast("string").alias("evaluation_id"), F.concat(F.lit("p"), key.cast("string")).alias("pair_key"),
+        F.when(key % 4 == 0, "train").when(key % 4 == 1, "validation").when(key % 4 == 2, "test").otherwise("spare").alias("split"),
+        F.when(status == "O", "Match").when(status == "F", "NonMatch").otherwise("Unsure").alias("human_label"),
+        F.when(key % 7 == 0, F.array().cast("array<string>")).otherwise(F.array(group)).alias("entity_group_ids"), F.array(F.concat(F.lit("c"), "o_custkey"), other).alias("record_keys"),
+    )
+    return model.split_faults(rows)

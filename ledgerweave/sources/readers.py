@@ -1,25 +1,62 @@
-"""Scans (A-1, A-3..A-7, A-11..A-13, A-15..A-17): strict and sniffed delimited text, JSON pages, JSON lines, benchmark pairs."""
+"""Scans (A-1, A-3..A-7, A-9, A-11..A-17, A-22): strict and sniffed delimited text, JSON pages, JSON lines, benchmark pairs, published payments."""
 
 from __future__ import annotations
 
 import csv
+import hashlib
 import io
+import json
+import re
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
+from pathlib import Path
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import text as S
+from ..functions import values as V
+from ..operators.benchmark import representatives
+from ..operators.profile import normalize_header
+
 SUPPLIER_FIELDS = ("supplier_id", "name", "country", "registration_id", "tax_id", "postcode")
 SUPPLIER_OPTIONAL = ("address", "aliases", "lei", "parent_lei", "bank_account_hash")
 SPEND_FIELDS = ("invoice_id", "supplier_id", "invoice_date", "amount", "currency", "category", "description")
 
 
+#: fixed values: kinds of other names that name the same entity
+OTHER_NAMES = ("PREVIOUS_LEGAL_NAME", "ALTERNATIVE_LEGAL_NAME")
+#: bytes of a source that is loaded on the driver, and of one line of published awards
+MAX_SOURCE_BYTES, MAX_LINE_BYTES = 20_000_000, 5_000_000
+#: characters of an observed name, address or postcode
+MAX_FIELD = 1000
+
+
 class SourceRefused(ValueError):
     """A source that can't be read without guessing or losing rows."""
 
 
+def load_bytes(source: bytes | str | Path, most: int = MAX_SOURCE_BYTES) -> bytes:
+    """A-9: a small source given as bytes, as a path or as its text (any string of several lines, or that names no file).
+
+    A driver-side loader for interactive uploads; tables are read by Spark. More than ``most`` bytes are refused.
+    """
+    if isinstance(source, str):
+        named = "\n" not in source and len(source) < 4096 and Path(source).is_file()
+        source = Path(source) if named else source.encode()
+    if isinstance(source, Path):
+        if source.stat().st_size > most:
+            raise SourceRefused(f"{source} holds more than {most} bytes")
+        source = source.read_bytes()
+    if not isinstance(source, bytes | bytearray):
+        raise SourceRefused("give a path, text or bytes")
+    if len(source) > most:
+        raise SourceRefused(f"more than {most} bytes")
+    return bytes(source)
+
+
 def decode(data: bytes) -> tuple[str, str]:
     """A-4: text and the encoding that fits, tried in a fixed order."""
     for name in ("utf-8-sig", "utf-8", "cp1252", "latin-1"):
@@ -51,18 +88,18 @@ def sniff_delimiter(text: str) -> str:
 
 
 def find_header_row(rows: list[list[str]]) -> int:
-    """A-6: first of twenty rows of modal width whose cells are filled, distinct and mostly not numbers."""
-    widths = Counter(len(r) for r in rows if len(r) > 1)
-    if not widths:
-        raise SourceRefused("no table")
-    most = max(widths.values())
-    width = max(w for w, n in widths.items() if n == most)
+    """A-6, E-11: the first of twenty rows that is as wide as rows mostly are, with filled, distinct cells of which at
+    most a third are numbers; the first row if there is none. A row is as wide as it has filled cells."""
+    widths = Counter(sum(bool(c.strip()) for c in r) or len(r) for r in rows)
+    often = max(widths.values(), default=0)
+    width = max((w for w, n in widths.items() if n == often), default=0)
     for i, r in enumerate(rows[:20]):
-        cells = [c.strip() for c in r]
-        numbers = sum(c.replace(".", "").replace(",", "").lstrip("-").isdigit() for c in cells)
-        if len(r) == width and all(cells) and len({c.lower() for c in cells}) == width and numbers * 3 <= width:
+        cells = [c.strip() for c in r[:width]]
+        plain = {normalize_header(c) for c in cells}
+        numbers = sum(re.fullmatch(r"-?[\d.,]+", c) is not None for c in cells)
+        if len(r) >= max(width, 2) and all(cells) and len(plain) == width and numbers <= width // 3:
             return i
-    raise SourceRefused("no header row")
+    return 0
 
 
 def read_canonical(spark: SparkSession, path: str, fields: tuple[str, ...] = SUPPLIER_FIELDS, optional: tuple[str, ...] = SUPPLIER_OPTIONAL) -> DataFrame:
@@ -105,7 +142,9 @@ def read_delimited(spark: SparkSession, path: str) -> DataFrame:
     sign = sniff_delimiter(text)
     rows = list(csv.reader(io.StringIO(text), delimiter=sign))[:50]
     skip = find_header_row(rows)
-    names = [c.strip() for c in rows[skip]]
+    names = [c.strip() for c in rows[skip]] if rows else []
+    if not names or not all(names) or len({normalize_header(c) for c in names}) < len(names):
+        raise SourceRefused(f"header {names}")
     schema = ", ".join(f"`{c}` string" for c in names) + ", _corrupt string"
     files = spark.read.format("binaryFile").load(path)
     if files.where(~F.is_valid_utf8(F.col("content").cast("string"))).isEmpty():
@@ -132,26 +171,70 @@ def _decoded(spark: SparkSession, path: str, sign: str, schema: str, width: int)
     return spark.read.format("binaryFile").load(path).select("content").mapInPandas(parse, schema)
 
 
+def _award_suppliers(spark: SparkSession, path: str) -> DataFrame:
+    """Suppliers of active awards with the ``status`` of their observation. Processes without an id of their own, lines
+    that aren't JSON and lines over MAX_LINE_BYTES refuse the source."""
+    lines = spark.read.text(path)
+    doc = F.from_json("value", "ocid string, awards array<struct<status:string,suppliers:array<struct<id:string>>>>, parties array<string>")
+    rows = lines.select(F.octet_length("value").alias("bytes"), doc.alias("d")).select("bytes", "d.*")
+    told = rows.groupBy("ocid").agg(F.count(F.lit(1)).alias("n"), F.max("bytes").alias("bytes"))
+    if not told.where(F.expr("ocid is null or ocid = '' or n > 1") | (F.col("bytes") > MAX_LINE_BYTES)).isEmpty():
+        raise SourceRefused(f"{path}: every line is one process with an id of its own, of at most {MAX_LINE_BYTES} bytes")
+    awarded = rows.select("ocid", F.explode("awards").alias("a")).where("a.status = 'active'").select("ocid", F.explode("a.suppliers.id").alias("party_id")).distinct()
+    shape = "id string, name string, roles array<string>, identifier struct<scheme:string,id:string>, address struct<streetAddress:string,locality:string,region:string,postalCode:string>"
+    parties = rows.select("ocid", F.explode("parties").alias("raw")).withColumn("p", F.from_json("raw", shape))
+    one = parties.groupBy("ocid", F.col("p.id").alias("party_id")).agg(F.min("raw").alias("a"), F.max("raw").alias("b"), F.min_by("p", "raw").alias("p"))
+    met = awarded.join(one, ["ocid", "party_id"], "left")
+    company, name = F.upper(F.trim(F.coalesce("p.identifier.id", F.lit("")))), F.trim(F.coalesce("p.name", F.lit("")))
+    address = F.concat_ws(" ", *[F.coalesce(f"p.address.{c}", F.lit("")) for c in ("streetAddress", "locality", "region")])
+    seen = met.select("ocid", "party_id", company.alias("company_id"), name.alias("name"), address.alias("address"), F.coalesce("p.address.postalCode", F.lit("")).alias("postcode"), "a", "b", "p")
+    seen = seen.withColumn("name_key", S.name_key("name"))
+    valid = F.col("company_id").rlike(r"^([0-9]{8}|[A-Z]{2}[0-9]{6})$") & ~F.col("company_id").rlike(r"^(.)\1*$")
+    faults = (
+        ("ambiguous_party", F.col("a") != F.col("b")),
+        ("unjoined", ~F.coalesce(F.array_contains("p.roles", "supplier"), F.lit(False))),
+        ("other_scheme", ~F.coalesce(F.col("p.identifier.scheme") == "GB-COH", F.lit(False))),
+        ("invalid_id", ~valid),
+        ("invalid_name", (F.col("name_key") == "") | (F.length("name") > MAX_FIELD)),
+        ("oversized_address", (F.length("address") > MAX_FIELD) | (F.length("postcode") > MAX_FIELD)),
+    )
+    status = F.coalesce(*[F.when(test, F.lit(fault)) for fault, test in faults], F.lit("usable"))
+    return seen.withColumn("status", status).drop("a", "b", "p")
+
+
 def read_ocds(spark: SparkSession, path: str) -> DataFrame:
-    """A-16, J-20, P-35: (ocid, company_id, name, address) of active awards' suppliers with a valid company number."""
-    schema = "ocid string, awards array<struct<status:string,suppliers:array<struct<id:string>>>>, parties array<struct<id:string,name:string,roles:array<string>,identifier:struct<scheme:string,id:string>,address:struct<streetAddress:string>>>"
-    rows = spark.read.schema(schema).json(path).dropDuplicates(["ocid"])
-    awarded = rows.select("ocid", F.explode("awards").alias("a")).where("a.status = 'active'").select("ocid", F.explode("a.suppliers.id").alias("pid")).distinct()
-    parties = rows.select("ocid", F.explode("parties").alias("p")).select("ocid", F.col("p.id").alias("pid"), "p")
-    clear = parties.groupBy("ocid", "pid").agg(F.count(F.lit(1)).alias("n"), F.first("p").alias("p")).where("n = 1")
-    key = F.upper(F.trim("p.identifier.id"))
-    found = awarded.join(clear, ["ocid", "pid"]).where("p.identifier.scheme = 'GB-COH'").select("ocid", key.alias("company_id"), F.trim("p.name").alias("name"), F.coalesce("p.address.streetAddress", F.lit("")).alias("address"))
-    return found.where(F.col("company_id").rlike(r"^([0-9]{8}|[A-Z]{2}[0-9]{6})$") & ~F.col("company_id").rlike(r"^(.)\1*$"))
+    """A-16, J-20, P-35, E-26: active awards' suppliers with a valid company number, one observation per company and
+    name key: that of the smallest digest. Their country is unknown (ZZ), as a company number doesn't tell it.
+
+    Companies to leave out whole (E-27) are those of ``benchmark.unusable_groups(rows, 'company_id', 'name_key')``.
+    """
+    usable = _award_suppliers(spark, path).where("status = 'usable'").drop("status")
+    sid = F.substring(S.fingerprint(F.col("company_id"), F.col("name_key")), 1, 32)
+    return representatives(usable, "company_id", "name_key").withColumn("supplier_id", sid).withColumn("country", F.lit("ZZ"))
+
+
+def ocds_counts(spark: SparkSession, path: str) -> DataFrame:
+    """A-16: awarded suppliers by what became of them."""
+    return _award_suppliers(spark, path).groupBy("status").agg(F.count(F.lit(1)).alias("n"))
 
 
 def read_gleif(spark: SparkSession, path: str) -> DataFrame:
-    """A-15: (lei, name, country, postcode) of legal and other names of JSON pages."""
+    """A-15: one record per LEI and distinct name key, in order of first use: the legal name, then earlier and alternative
+    ones. The record's id hides the LEI. A LEI that stands twice refuses the pages."""
     name = "struct<name:string,type:string>"
-    schema = f"data array<struct<id:string,attributes:struct<entity:struct<legalName:struct<name:string>,otherNames:array<{name}>,legalAddress:struct<country:string,postalCode:string>>>>>"
-    rows = spark.read.schema(schema).json(path, multiLine=True).select(F.explode("data").alias("d"))
-    e = "d.attributes.entity"
-    names = F.array_distinct(F.concat(F.array(f"{e}.legalName.name"), F.coalesce(F.transform(f"{e}.otherNames", lambda n: n["name"]), F.array().cast("array<string>"))))
-    return rows.select(F.col("d.id").alias("lei"), F.explode(names).alias("name"), F.col(f"{e}.legalAddress.country").alias("country"), F.col(f"{e}.legalAddress.postalCode").alias("postcode"))
+    entity = f"legalName:struct<name:string>,otherNames:array<{name}>,legalAddress:struct<addressLines:array<string>,city:string,country:string,postalCode:string>"
+    pages = spark.read.schema(f"data array<struct<id:string,attributes:struct<entity:struct<{entity}>>>>").json(path, multiLine=True)
+    rows = pages.select(F.explode("data").alias("d")).select(F.col("d.id").alias("lei"), "d.attributes.entity.*")
+    if not rows.groupBy("lei").agg(F.count(F.lit(1)).alias("n")).where("n > 1 or lei is null").isEmpty():
+        raise SourceRefused("every LEI of the pages stands once")
+    others = F.transform(F.filter(F.coalesce("otherNames", F.array().cast(f"array<{name}>")), lambda n: n["type"].isin(*OTHER_NAMES)), lambda n: n["name"])
+    street = F.concat(F.coalesce("legalAddress.addressLines", F.array().cast("array<string>")), F.array(F.coalesce("legalAddress.city", F.lit(""))))
+    where = F.array_join(street, " ").alias("address"), F.coalesce("legalAddress.country", F.lit("")).alias("country"), F.coalesce("legalAddress.postalCode", F.lit("")).alias("postcode")
+    named = rows.select("lei", *where, F.posexplode(F.concat(F.array("legalName.name"), others)).alias("at", "name")).withColumn("key", S.name_key("name")).where("key <> ''")
+    first = named.groupBy("lei", "key").agg(F.min(F.struct("at", "name", "address", "country", "postcode")).alias("r"))
+    nth = F.row_number().over(Window.partitionBy("lei").orderBy("r.at")) - 1
+    sid = F.concat(F.substring(F.sha2("lei", 256), 1, 24), F.lit(":"), nth.cast("string"))
+    return first.select(sid.alias("supplier_id"), "lei", "r.name", "r.address", "r.country", "r.postcode")
 
 
 def read_pairs_benchmark(spark: SparkSession, left: str, right: str, labels: str) -> tuple[DataFrame, DataFrame]:
@@ -209,11 +292,68 @@ def hash_sample(df: DataFrame, key: str, n: int, seed: str) -> DataFrame:
     return df.join(F.broadcast(keys), key, "left_semi")  # at most n rows
 
 
-def union_payments(*sources: tuple[DataFrame, dict[str, str], str]) -> DataFrame:
-    """A-17, E-13: lines of several publishers under canonical names, each with a line id of its own."""
+@dataclass(frozen=True)
+class Publication:
+    """A publisher's payment file: its receipt's SHA-256 and the headers of canonical fields (``postcode`` may lack)."""
+
+    publisher: str
+    path: str
+    sha256: str
+    headers: dict[str, str]
+
+
+def _payment_lines(of: Publication):
+    """Parser of one publication; whole files are the unit of work."""
+    fields = ("name", "entity", "amount", "date", "transaction", "category", "description")
+    if not set(fields) <= set(of.headers):
+        raise SourceRefused(f"{of.publisher}: headers of {sorted(set(fields) - set(of.headers))} are not named")
+
+    def parse(files: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in files:
+            for path, content in zip(part["path"], part["content"], strict=True):
+                if hashlib.sha256(bytes(content)).hexdigest() != of.sha256:
+                    raise SourceRefused(f"{path}: the bytes are not those of the receipt")
+                text, _ = decode(bytes(content))
+                rows = [r for r in csv.reader(io.StringIO(text, newline=""), delimiter=sniff_delimiter(text)) if any(c.strip() for c in r)]
+                top = find_header_row(rows[:50])
+                head = [c.strip() for c in rows[top]] if rows else []
+                if not set(of.headers.values()) <= set(head):
+                    raise SourceRefused(f"{path}: the published headers changed")
+                made = []
+                for line, r in enumerate(rows[top + 1 :], top + 2):
+                    if len(r) != len(head):
+                        raise SourceRefused(f"{path}:{line}: {len(r)} cells")
+                    row = dict(zip(head, r, strict=True))
+                    got = {f: row[h].strip() for f, h in of.headers.items()}
+                    if not got["name"] or not got["entity"]:
+                        raise SourceRefused(f"{path}:{line}: no supplier or entity")
+                    seen = json.dumps([got["entity"], got["name"], got.get("postcode", "")], ensure_ascii=False)
+                    sid = f"{of.publisher}-{hashlib.sha256(seen.encode()).hexdigest()[:24]}"
+                    made.append((f"{of.publisher}-{of.sha256[:12]}-line{line}", sid, *[got[f] for f in fields], got.get("postcode", ""), path.rsplit("/", 1)[-1], line, row))
+                yield pd.DataFrame(made, columns=["invoice_id", "supplier_id", *fields, "postcode", "source_file", "source_line", "original"])
+
+    return parse
+
+
+def read_payments(spark: SparkSession, *publications: Publication) -> DataFrame:
+    """A-17, E-13: every payment line of several publishers, none merged, in sterling.
+
+    A line's id is made of its publisher, the receipt and its place in the file, a supplier's of publisher, entity, name
+    and postcode as written; its country is unknown (ZZ). Bytes that differ from the receipt, changed headers, lines
+    without a supplier and amounts that don't parse fail the scan. ``profile.reconciliation`` gives totals per file.
+    """
+    schema = "invoice_id string, supplier_id string, name string, entity string, amount string, date string, transaction string, category string, description string, postcode string, source_file string, source_line int, original map<string,string>"
     out = None
-    for df, columns, name in sources:
-        rows = df.select(*[F.col(f"`{c}`").alias(f) for f, c in columns.items()], F.lit(name).alias("publisher"))
-        rows = rows.withColumn("line_id", F.concat(F.lit(name + ":"), F.monotonically_increasing_id().cast("string")))
-        out = rows if out is None else out.unionByName(rows, allowMissingColumns=True)
-    return out
+    for p in publications:
+        rows = spark.read.format("binaryFile").load(p.path).select("path", "content").mapInPandas(_payment_lines(p), schema).withColumn("publisher", F.lit(p.publisher))
+        out = rows if out is None else out.unionByName(rows)
+    said = F.concat_ws(" ", F.lit("no amount:"), "invoice_id", "amount")
+    amount = F.coalesce(V.parse_amount("amount", "point"), F.raise_error(said).cast("decimal(38,10)")).cast("decimal(38,2)")
+    return out.select("publisher", "invoice_id", "supplier_id", "name", "entity", "postcode", F.lit("ZZ").alias("country"), F.col("date").alias("invoice_date"), F.col("amount").alias("published_amount"), amount.alias("amount"),
+        F.lit("GBP").alias("currency"), "category", "description", F.col("transaction").alias("reference"), "source_file", "source_line", "original")
+
+
+def payment_suppliers(lines: DataFrame) -> DataFrame:
+    """A-17: the suppliers that payment lines name."""
+    empty = [F.lit("").alias(c) for c in ("registration_id", "tax_id")]
+    return lines.select("supplier_id", "name", "country", *empty, "postcode").distinct()

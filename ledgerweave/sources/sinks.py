@@ -1,4 +1,4 @@
-"""Sinks (K-1, K-4..K-14, A-10): snapshots with numbered pointers written last, JSONL and Parquet exports, verified archives."""
+"""Sinks (K-1, K-4..K-14, A-10, A-19): snapshots with numbered pointers written last, JSONL and Parquet exports, verified archives."""
 
 from __future__ import annotations
 
@@ -49,6 +49,17 @@ def read_snapshot(spark: SparkSession, root: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{root}/snapshot={now}/{table}")
 
 
+#: tables that the engine keeps, with the key they are read in order of
+RECORDS = {"suppliers": "supplier_id", "invoices": "invoice_id", "entities": "entity_id"}
+
+
+def records(spark: SparkSession, root: str, table: str) -> DataFrame:
+    """A-19: a table of the active snapshot in order of its key; other names than the engine's own are refused."""
+    if table not in RECORDS:
+        raise ValueError(f"no table {table!r}")
+    return read_snapshot(spark, root, table).orderBy(RECORDS[table])
+
+
 def export_jsonl(tables: dict[str, DataFrame], path: str) -> None:
     """K-6: rows of several tables as JSON lines that name their table."""
     out = None
