@@ -4,7 +4,11 @@ from __future__ import annotations
 
 import hashlib
 import json
+import math
+from bisect import bisect_right
 from dataclasses import asdict, dataclass, fields
+from decimal import Decimal
+from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -136,18 +140,62 @@ def weighted_score(cfg: MatchConfig = MatchConfig()) -> Column:
     return top / sum((F.when(F.col(f).isNotNull(), w).otherwise(0.0) for f, w in parts), F.lit(0.0))
 
 
+def pair_at(x: int) -> tuple[int, int]:
+    """The x-th pair (i, j), i < j, if pairs are counted by j, then by i."""
+    j = (1 + math.isqrt(1 + 8 * x)) // 2
+    return x - j * (j - 1) // 2, j
+
+
 def excluded_tax_sample(s: DataFrame, pairs: DataFrame, cfg: MatchConfig = MatchConfig()) -> DataFrame:
-    """C-7, J-6: pairs that share a tax id but aren't candidates, the sample that a seeded hash picks, with the population.
+    """C-7, J-6: pairs that share a tax id but aren't candidates: a seeded uniform sample, with the population.
 
-    The reference draws with a sequential generator; a hash draw has the same size, population and probability and
-    does not depend on row order.
+    The reference draws with a sequential generator; this draw has the same size, population and probability and does
+    not depend on row order. The population is counted by arithmetic. Pairs are listed only if they are at most twice as
+    many as the candidates among them, or twenty times the sample; else numbers of pairs are drawn, those of candidates
+    thrown back, so a tax id of very many records is never joined with itself. Ids of records are unique.
     """
-    rows = prepared(s).where("tax_id <> ''").select("supplier_id", "tax_id")
-    a, b = rows.toDF("left_id", "tax_id"), rows.toDF("right_id", "tax_id")
-    missed = a.join(b, "tax_id").where("left_id < right_id").select("left_id", "right_id").distinct().join(pairs, ["left_id", "right_id"], "left_anti")
-    n = missed.agg(F.count(F.lit(1)).alias("population"))
-    drawn = missed.orderBy(F.sha2(F.concat_ws(":", F.lit(str(cfg.random_seed)), "left_id", "right_id"), 256)).limit(cfg.excluded_tax_sample_size)
-    return drawn.crossJoin(n).withColumn("sampling_probability", F.least(F.lit(1.0), F.lit(cfg.excluded_tax_sample_size) / F.col("population")))
+    size = cfg.excluded_tax_sample_size
+    rows = prepared(s).where("tax_id <> ''").select("supplier_id", "tax_id").distinct()
+    n = F.col("n").cast("decimal(18,0)")
+    taxes = rows.groupBy("tax_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("tax_id", F.substring(F.sha2("tax_id", 256), 1, 3).alias("b"), (n * (n - 1) / 2).cast("decimal(38,0)").alias("weight"))
+    known = pairs.select("left_id", "right_id").distinct().join(rows.toDF("left_id", "tax_id"), "left_id").join(rows.toDF("right_id", "tax_id"), ["right_id", "tax_id"]).select("left_id", "right_id")
+    buckets = sorted((r.b, int(r.w)) for r in taxes.groupBy("b").agg(F.sum("weight").cast("decimal(38,0)").alias("w")).collect())  # at most 4,096 rows
+    total, taken = sum(w for _, w in buckets), known.count()
+    population = total - taken
+    if total <= 2 * taken + 20 * size:
+        left, right = rows.toDF("left_id", "tax_id"), rows.toDF("right_id", "tax_id")
+        missed = left.join(right, "tax_id").where("left_id < right_id").select("left_id", "right_id").join(known, ["left_id", "right_id"], "left_anti")
+        drawn = missed.orderBy(F.sha2(F.concat_ws(":", F.lit(str(cfg.random_seed)), "left_id", "right_id"), 256)).limit(size)
+    else:
+        drawn = _drawn_pairs(rows, taxes, known, buckets, total, size, cfg.random_seed)
+    return drawn.select("left_id", "right_id", F.lit(population).cast("decimal(38,0)").alias("population"), F.lit(min(1.0, size / population) if population else 1.0).alias("sampling_probability"))
+
+
+def _drawn_pairs(rows: DataFrame, taxes: DataFrame, known: DataFrame, buckets: list[tuple[str, int]], total: int, size: int, seed: int) -> DataFrame:
+    """``size`` pairs of a tax id, none of ``known``, in the order in which their numbers are drawn. Fewer than half of all
+    pairs are known. Collects a few rows a draw; records are ranked in cells of their tax id, so no task sorts all of one."""
+    spark, kind = rows.sparkSession, rows.schema["supplier_id"].dataType.simpleString()
+    ends = list(accumulate(w for _, w in buckets))
+    placed = taxes.withColumn("first", F.sum("weight").over(Window.partitionBy("b").orderBy("tax_id")).cast("decimal(38,0)") - F.col("weight"))
+    m = 4 * size + 40
+    while True:
+        numbers = dict.fromkeys(int(hashlib.sha256(f"{seed}:{k}".encode()).hexdigest(), 16) % total for k in range(m))
+        at = [(k, bisect_right(ends, x), x) for k, x in enumerate(numbers)]
+        draws = spark.createDataFrame([(k, buckets[i][0], Decimal(x - (ends[i] - buckets[i][1]))) for k, i, x in at], "k int, b string, x decimal(38,0)")
+        inside = (F.col("x") >= F.col("first")) & (F.col("x") - F.col("first") < F.col("weight"))
+        hits = placed.join(F.broadcast(draws), "b").where(inside).select("k", "tax_id", (F.col("x") - F.col("first")).alias("x")).collect()  # m rows
+        asked = spark.createDataFrame([(r.k, r.tax_id, rank) for r in hits for rank in pair_at(int(r.x))], "k int, tax_id string, rank long")
+        members = rows.join(F.broadcast(asked.select("tax_id").distinct()), "tax_id", "left_semi").withColumn("cell", F.substring(F.sha2(F.col("supplier_id").cast("string"), 256), 1, 3))
+        cells = members.groupBy("tax_id", "cell").agg(F.count(F.lit(1)).alias("n"))  # at most 4,096 a tax id
+        cells = cells.withColumn("first", F.sum("n").over(Window.partitionBy("tax_id").orderBy("cell")) - F.col("n"))
+        wanted = cells.join(F.broadcast(asked), "tax_id").where("rank >= first and rank < first + n").select("k", "tax_id", "cell", (F.col("rank") - F.col("first")).alias("nth"))
+        nth = (F.row_number().over(Window.partitionBy("tax_id", "cell").orderBy("supplier_id")) - 1).alias("nth")
+        ranked = members.join(wanted.select("tax_id", "cell").distinct(), ["tax_id", "cell"], "left_semi").select("tax_id", "cell", "supplier_id", nth)
+        found = wanted.join(ranked, ["tax_id", "cell", "nth"]).groupBy("k").agg(F.min("supplier_id").alias("left_id"), F.max("supplier_id").alias("right_id"))
+        fresh = sorted(found.join(known, ["left_id", "right_id"], "left_anti").select("k", "left_id", "right_id").collect())  # m rows at most
+        if len(fresh) >= size:
+            return spark.createDataFrame([tuple(r)[1:] for r in fresh[:size]], f"left_id {kind}, right_id {kind}")
+        m *= 2
 
 
 def augmented(pairs: DataFrame, graph_pairs: DataFrame) -> DataFrame:

@@ -228,3 +228,29 @@ def test_threshold_sweep_in_slices(spark):
     rows = [(rng.choice([rng.random(), 0.5, 0.0, 1.0]), rng.randint(0, 1)) for _ in range(500)]
     got = {r.threshold: (r.tp, r.fp) for r in model.threshold_sweep(spark.createDataFrame(rows, "p double, y int"), "p", "y").collect()}
     assert got == {t: (sum(y for p, y in rows if p >= t), sum(1 - y for p, y in rows if p >= t)) for t in {p for p, _ in rows}}
+
+
+def test_pair_numbers():
+    assert [match.pair_at(x) for x in range(10)] == [(i, j) for j in range(5) for i in range(j)]
+    assert match.pair_at(10**38 - 1) == (10**38 - 1 - (j := match.pair_at(10**38 - 1)[1]) * (j - 1) // 2, j) and 0 <= match.pair_at(10**38 - 1)[0] < j
+
+
+def test_excluded_tax_sample_draws_without_listing(spark):
+    rows = [(f"S{i:03}", f"N{i}", "GB", "", "HOT99" if i < 60 else f"T{i % 5}X" if i < 90 else "", "") for i in range(100)]
+    s = spark.createDataFrame(rows, "supplier_id string, name string, country string, registration_id string, tax_id string, postcode string").withColumn("lei", F.lit("")).withColumn("parent_lei", F.lit(""))
+    tax = {r[0]: r[4] for r in rows}
+    every = {(a, b) for a in tax for b in tax if a < b and tax[a] and tax[a] == tax[b]}
+    known = {p for p in every if int(p[0][1:]) % 3 == 0} | {("S001", "S095"), ("S001", "S070")}
+    pairs = spark.createDataFrame(sorted(known), "left_id string, right_id string")
+    seen = set()
+    for seed in range(3):
+        for size in (0, 12, 10_000):  # numbers are drawn for the first two, all pairs listed for the last
+            cfg = match.MatchConfig(excluded_tax_sample_size=size, random_seed=seed)
+            got = match.excluded_tax_sample(s, pairs, cfg).collect()
+            drawn = [(r.left_id, r.right_id) for r in got]
+            assert len(set(drawn)) == len(drawn) == min(size, len(every - known)) and set(drawn) <= every - known
+            assert all(int(r.population) == len(every - known) and r.sampling_probability == min(1.0, size / len(every - known)) for r in got)
+            if size == 12:
+                assert drawn == [(r.left_id, r.right_id) for r in match.excluded_tax_sample(s.repartition(3), pairs, cfg).collect()]
+                seen |= set(drawn)
+    assert len(seen) > 24
