@@ -21,9 +21,9 @@ def by_entity(spend: DataFrame, members: DataFrame) -> DataFrame:
 
 
 def leaders(per_entity: DataFrame) -> DataFrame:
-    """W-3: the entity with the largest total of each currency, the smaller id where equal."""
-    top = per_entity.groupBy("currency").agg(F.max("total").alias("total"))
-    return per_entity.join(F.broadcast(top), ["currency", "total"]).groupBy("currency", "total").agg(F.min("entity_id").alias("entity_id"))
+    """W-3: the entity with the largest total of each currency, the smaller id where equal; one without a total only where no entity has one."""
+    first = F.min(F.struct(F.col("total").isNull(), F.negative("total"), "total", "entity_id")).alias("first")
+    return per_entity.groupBy("currency").agg(first).select("currency", "first.total", "first.entity_id")
 
 
 def scoped(spend: DataFrame, suppliers: list[str] | None = None, currencies: list[str] | None = None) -> DataFrame:
