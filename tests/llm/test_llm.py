@@ -4,6 +4,8 @@ import hashlib
 import itertools
 import random
 import re
+import time
+from collections import Counter
 from urllib.parse import urljoin
 
 import numpy as np
@@ -105,6 +107,37 @@ def test_shard_against_sorting():
         assert mine == want
 
 
+@pytest.mark.parametrize("length", [1, 3, 7, 8, 14, 21, 22, 64])
+def test_shard_across_lanes(length):
+    rng = np.random.default_rng(length)
+    base = rng.integers(97, 123, 300, dtype=np.uint8).tobytes()
+    segs = [rng.integers(97, 97 + k, int(rng.integers(0, 200)), dtype=np.uint8).tobytes() for k in (1, 2, 3) for _ in range(5)]
+    segs = list(dict.fromkeys([*segs, base, base[7:250], base[40:] + b"x", base[:150] + b"y" + base[150:], b"ab" * 90]))
+    windows = [(s, i) for s, b in enumerate(segs) for i in range(len(b) - length + 1)]
+    seen = Counter(segs[s][i : i + length] for s, i in windows)
+    for shard in (1 << 20, 300):
+        found = suffix_dedup.repeated_windows([(0, segs, [1] * len(segs))], length, shard)
+        assert {(s, i): m for _, s, mask in found for i, m in enumerate(mask.tolist())} == {(s, i): seen[segs[s][i : i + length]] > 1 for s, i in windows}
+    made = suffix_dedup.Shard(segs, length)
+    assert sorted(made.array.tolist()) == [int(made.begin[s]) + i for s, i in windows]  # what starts no window is no place to look at
+
+
+def test_shard_of_one_long_segment():
+    """One long segment costs about what its bytes in short ones cost: its windows aren't gone through one by one."""
+    text = np.random.default_rng(3).integers(97, 123, 120_000, dtype=np.uint8).tobytes()
+    text += text[:60_000]
+    took = []
+    for segs in ([text[i : i + 1800] for i in range(0, 60_000, 1800)] + [text[i : i + 1801] for i in range(60_000, len(text), 1801)], [text]):
+        runs = []
+        for _ in range(3):
+            start = time.process_time()
+            made = suffix_dedup.Shard(segs, 400)
+            runs.append(time.process_time() - start)
+        took.append(min(runs))
+    assert int(made.mask.sum()) == 2 * (60_000 - 399)
+    assert took[1] < 8 * took[0]
+
+
 def brute_passages(texts):
     import corpus_pipeline
 
